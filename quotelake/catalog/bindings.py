@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -30,8 +31,19 @@ def query(sql: str | None = None):
     return register
 
 
+SMALL_FILE = 256 << 20
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. A small single file is one row group, hence one task: spread its rows.
+
+    Real tables have many row groups and are read as they are.
+    """
+    path = f"{sf}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in ("documents", "conversations") and os.path.isfile(path) and os.path.getsize(path) < SMALL_FILE:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def pick(pool: list[str], index: Column) -> Column:

@@ -211,9 +211,8 @@ def pair_score_blend(spark, sf):
     queries = _turns(spark, sf)
     cands = D.candidates(queries, B.passages(spark, sf), ["query_id"], "query")
     cands = cands.withColumn("cands", F.filter("cands", lambda c: c["score"] > 0))
-    df = rerank.rerank(queries.join(cands, "query_id"), "query")
-    df = df.withColumn("raw", F.transform("ranked", lambda c: 10.0 * c["lexical"] - 2.0))
-    df = rerank.blend_pair_scores(df, "ranked", "raw")
+    df = rerank.rerank(queries.join(cands, "query_id"), "query", ["query_id"])
+    df = rerank.blend_pair_scores(df, ["query_id"], lambda c: 10.0 * c["lexical"] - 2.0)
     df = df.select("query_id", F.posexplode("ranked").alias("pos", "c"))
     return df.select(
         "query_id", (F.col("pos") + 1).alias("rank"), "c.edition", "c.work", "c.section", "c.item",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -40,58 +42,69 @@ def bow_dims(text: Column, dim: int = C.EMBED_DIM) -> Column:
     return F.transform(F.filter(found, lambda w: F.length(w) > 2), lambda w: word_bucket(w, dim))
 
 
-def densify(dim: int = C.EMBED_DIM):
-    """Arrow function: lists of buckets -> unit count vectors."""
+class BowEmbedder:
+    """Deterministic default embedder: hashed bag of words, queries carry the instruction prefix.
 
-    @F.arrow_udf("array<double>")
-    def to_dense(buckets: pa.Array) -> pa.Array:
-        n = len(buckets)
-        lengths = np.diff(buckets.offsets.to_numpy())
-        rows = np.repeat(np.arange(n), lengths)
-        mat = np.zeros((n, dim))
-        np.add.at(mat, (rows, buckets.flatten().to_numpy(zero_copy_only=False)), 1.0)
-        norm = np.sqrt((mat * mat).sum(axis=1, keepdims=True))
-        mat /= np.where(norm == 0, 1.0, norm)
-        return pa.ListArray.from_arrays(
-            pa.array(np.arange(n + 1, dtype="int32") * dim), pa.array(mat.ravel())
-        )
+    The bucket of a word is looked up once per worker and word.
+    """
 
-    return to_dense
+    def __init__(self, dim: int = C.EMBED_DIM):
+        self.dim = dim
+        self.prefix = C.QUERY_PREFIX
+        self._buckets: dict[str, int] = {}
 
+    def __getstate__(self):
+        return {"dim": self.dim, "prefix": self.prefix, "_buckets": {}}
 
-# An embedder maps (text column, is_query) to an array<double> column.
-Embedder = Callable[[Column, bool], Column]
+    def _bucket(self, word: str) -> int:
+        found = self._buckets.get(word)
+        if found is None:
+            found = int(hashlib.md5(word.encode()).hexdigest(), 16) % self.dim
+            self._buckets[word] = found
+        return found
 
+    def _dims(self, text: str) -> list[int]:
+        return [self._bucket(w) for w in re.findall(r"[a-z']+", text.lower()) if len(w) > 2]
 
-def bow_embedder(dim: int = C.EMBED_DIM) -> Embedder:
-    """Deterministic default embedder: hashed bag of words, queries carry the instruction prefix."""
-    dense = densify(dim)
+    def encode(self, texts: list, is_query: bool) -> np.ndarray:
+        lead = self._dims(self.prefix) if is_query else []
+        found = [lead + self._dims(t or "") for t in texts]
+        rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        flat = np.fromiter((d for f in found for d in f), dtype="int64", count=len(rows))
+        mat = np.bincount(rows * self.dim + flat, minlength=len(found) * self.dim)
+        return unit_rows(mat.reshape(len(found), self.dim))
 
-    def embed(text: Column, is_query: bool) -> Column:
-        return dense(bow_dims(with_query_prefix(text) if is_query else text, dim))
 
-    return embed
+class ModelEmbedder:
+    """Embedder around any sentence model; the model loads once per Python worker."""
 
+    def __init__(self, load_model: Callable[[], Callable[[list[str]], np.ndarray]], dim: int):
+        self.load_model, self.dim, self.prefix = load_model, dim, C.QUERY_PREFIX
+        self._model = None
 
-def model_embedder(load_model: Callable[[], Callable[[list[str]], np.ndarray]]) -> Embedder:
-    """Embedder around any sentence model; the model loads once per Python worker."""
+    def __getstate__(self):
+        return {**self.__dict__, "_model": None}
 
-    @F.arrow_udf("array<double>")
-    def encode(batches: "Iterator[pa.Array]") -> "Iterator[pa.Array]":  # noqa: F821
-        model = load_model()
-        for texts in batches:
-            mat = np.asarray(model(texts.to_pylist()), dtype="float64")
-            norm = np.linalg.norm(mat, axis=1, keepdims=True)
-            mat /= np.where(norm == 0, 1.0, norm)
-            offsets = np.arange(len(mat) + 1, dtype="int32") * mat.shape[1]
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(mat.ravel()))
+    def encode(self, texts: list, is_query: bool) -> np.ndarray:
+        if self._model is None:
+            self._model = self.load_model()
+        lead = self.prefix if is_query else ""
+        return unit_rows(np.asarray(self._model([lead + (t or "") for t in texts])))
 
-    def embed(text: Column, is_query: bool) -> Column:
-        full = F.concat(F.lit(C.QUERY_PREFIX), text) if is_query else text
-        return encode(F.coalesce(full, F.lit("")))
 
-    return embed
+def unit_rows(mat: np.ndarray) -> np.ndarray:
+    mat = mat.astype("float64")
+    norm = np.sqrt((mat * mat).sum(axis=1, keepdims=True))
+    return mat / np.where(norm == 0, 1.0, norm)
 
 
-def embed_frame(df: DataFrame, text: str, out: str, embedder: Embedder, is_query: bool) -> DataFrame:
-    return df.withColumn(out, embedder(F.col(text), is_query))
+def embed_column(embedder, text: Column, is_query: bool) -> Column:
+    """Unit vectors as a column (for storing); searches encode inside the blocked product."""
+
+    @F.arrow_udf("array<double>")
+    def encode(texts: pa.Array) -> pa.Array:
+        mat = embedder.encode(texts.to_pylist(), is_query)
+        offsets = np.arange(len(mat) + 1, dtype="int32") * mat.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(mat.ravel()))
+
+    return encode(text)

@@ -51,14 +51,17 @@ def semantic_gate(
     """Rule score raised by agreement of editions; `cands` holds the candidate arrays."""
     df = rule_gate(windows, text).join(cands, keys, "left")
     cc = settings.concordance
-    top1 = F.get(F.col("cands"), 0)["score"]
-    return df.withColumn(
-        "quote_prob",
-        S.concordance_score(
-            F.col("rule_score"), RR.best_dual(F.col("cands"), cc.search_k), top1,
-            T.word_count(F.col(text)), cc,
-        ),
+    df = df.withColumns(
+        {
+            "best_dual": RR.best_dual(F.col("cands"), cc.search_k),
+            "top1": F.get(F.col("cands"), 0)["score"],
+            "_nw": T.word_count(F.col(text)),
+        }
     )
+    prob = S.concordance_score(
+        F.col("rule_score"), F.col("best_dual"), F.col("top1"), F.col("_nw"), cc
+    )
+    return df.withColumn("quote_prob", prob).drop("_nw")
 
 
 def passed(df: DataFrame, threshold: float = C.QUOTE_THRESHOLD) -> DataFrame:

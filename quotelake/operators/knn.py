@@ -22,9 +22,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SCORE_UNIT = 1_000_000  # scores are compared at six decimals, ties by corpus id
 
 
-def _pack_queries(df: DataFrame, keys: list[str], vec: str, block: int) -> DataFrame:
+def _pack_queries(df: DataFrame, keys: list[str], what: str, block: int, encode=None) -> DataFrame:
+    """Blocks of at most `block` queries: one list per key and the vectors (or texts) as one list."""
     fields = [t.StructField(k, t.ArrayType(df.schema[k].dataType)) for k in keys]
-    schema = t.StructType([*fields, t.StructField("_qv", t.ArrayType(t.DoubleType()))])
+    is_text = isinstance(df.schema[what].dataType, t.StringType) and encode is None
+    kind = t.StringType() if is_text else t.DoubleType()
+    schema = t.StructType([*fields, t.StructField("_qv", t.ArrayType(kind))])
     arrow = to_arrow_schema(schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,13 +35,17 @@ def _pack_queries(df: DataFrame, keys: list[str], vec: str, block: int) -> DataF
             for at in range(0, whole.num_rows, block):
                 part = whole.slice(at, block)
                 cols = [_one_list(part.column(k)) for k in keys]
-                vecs = part.column(vec).flatten().cast(pa.float64())
-                cols.append(_one_list(vecs))
+                body = part.column(what)
+                if encode is not None:
+                    body = pa.array(encode(body.to_pylist(), True).ravel())
+                elif not is_text:
+                    body = body.flatten().cast(pa.float64())
+                cols.append(_one_list(body))
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow
                 )
 
-    return df.select(*keys, vec).mapInArrow(pack, schema)
+    return df.select(*keys, what).mapInArrow(pack, schema)
 
 
 def _one_list(values: pa.Array) -> pa.Array:
@@ -74,14 +81,18 @@ def knn_topk(
     shard_bytes: int = 32 << 20,
     broadcast_bytes: int = 256 << 20,
     salts: int = 32,
+    dim: int | None = None,
+    encode=None,
 ) -> DataFrame:
     """Query keys, `corpus_id`, `score`, `rank` of the exact k nearest corpus vectors.
 
-    Vectors are expected to be unit length, so the product is the cosine. Two cheap actions look
-    at the corpus (its row count and one vector) to size the shards.
+    Vectors are expected to be unit length, so the product is the cosine. A count of the corpus
+    sizes the shards. With `encode` the query column holds texts; if the corpus is one shard they
+    are encoded next to the product, so query vectors never leave the Python worker.
     """
-    first = corpus.select(F.size(corpus_vec).alias("d")).filter("d > 0").first()
-    dim = first["d"] if first else 1
+    if dim is None:
+        first = corpus.select(F.size(corpus_vec).alias("d")).filter("d > 0").first()
+        dim = first["d"] if first else 1
     total = corpus.count() * (dim * 8 + 8)
     shards = max(1, -(-total // shard_bytes))
     small = total <= broadcast_bytes
@@ -103,7 +114,8 @@ def knn_topk(
             F.flatten(F.transform("rows", lambda r: r["v"])).alias("_cv"),
         )
     )
-    blocks = _pack_queries(queries, query_keys, query_vec, block)
+    late = encode if shards == 1 else None
+    blocks = _pack_queries(queries, query_keys, query_vec, block, None if late else encode)
     blocks = blocks.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     if small:
         pairs = blocks.join(F.broadcast(packed), "_shard")
@@ -128,7 +140,8 @@ def knn_topk(
         for batch in batches:
             for r in range(batch.num_rows):
                 keys = [batch.column(key)[r].values for key in query_keys]
-                q = batch.column("_qv")[r].values.to_numpy().reshape(-1, dim)
+                q = batch.column("_qv")[r].values
+                q = late(q.to_pylist(), True) if late else q.to_numpy().reshape(-1, dim)
                 c = batch.column("_cv")[r].values.to_numpy().reshape(-1, dim)
                 ids = batch.column("_ci")[r].values.to_numpy()
                 rows, cids, scores, ranks = _top(q, c, ids, k)

@@ -1,12 +1,12 @@
 """Re-ranking of retrieved passages: semantic and lexical blend, optional pair scorer.
 
-Candidates of a query are at most k, so they live in one array per query; after the single
-shuffle that builds the array every step is array work inside the row.
+Candidates of a query are at most k. They are shuffled once into one array per query; scoring
+unfolds and refolds that array inside its partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -31,14 +31,15 @@ def best_dual(cands: Column, k: int) -> Column:
     """Best mean score of a reference that shows up in two or more editions among the first k."""
     top = F.slice(cands, 1, k)
 
-    def ref(c):
-        return T.reference(c["work"], c["section"], c["item"])
+    def same(a, b):
+        return (a["work"] == b["work"]) & (a["section"] == b["section"]) & (a["item"] == b["item"])
 
     def mean_if_dual(c):
-        same = F.filter(top, lambda o: ref(o) == ref(c))
-        editions = F.size(F.array_distinct(F.transform(same, lambda o: o["edition"])))
-        total = F.aggregate(same, F.lit(0.0), lambda acc, o: acc + o["score"])
-        return F.when(editions >= 2, total / F.size(same))
+        group = F.filter(top, lambda o: same(o, c))
+        total = F.aggregate(group, F.lit(0.0), lambda acc, o: acc + o["score"])
+        return F.when(
+            F.exists(group, lambda o: o["edition"] != c["edition"]), total / F.size(group)
+        )
 
     return F.array_max(F.transform(top, mean_if_dual))
 
@@ -59,55 +60,77 @@ def final_score(
     return T.clamp01(total)
 
 
+def _regroup(rows: DataFrame, keys: list[str], carried: list[str], body: Column, out: str) -> DataFrame:
+    """Back to one row per query. The rows are still partitioned by the keys: no shuffle."""
+    return rows.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in carried], F.array_sort(F.collect_list(body)).alias(out)
+    )
+
+
 def rerank(
-    df: DataFrame, query_text: str, settings: C.Settings = C.Settings(), out: str = "ranked"
+    df: DataFrame, query_text: str, keys: list[str], settings: C.Settings = C.Settings(),
+    out: str = "ranked",
 ) -> DataFrame:
-    """Add `out`: candidates with semantic, lexical and final score, best first.
+    """Replace `cands` by `out`: candidates with semantic, lexical and final score, best first.
 
-    Ties keep the retrieval order.
+    Ties keep the retrieval order. Scores are plain columns of candidate rows, so each is
+    computed once inside generated code.
     """
-    query = F.col(query_text)
-    prob = F.col("quote_prob") if "quote_prob" in df.columns else None
-    df = df.withColumn("_qset", T.keyword_set(query))
-
-    def scored(c):
-        semantic = T.clamp01(c["score"])
-        lexical = T.lexical_score(
-            query, F.col("_qset"), c["keywords"], c["work"], c["section"], c["item"]
-        )
-        final = final_score(semantic, lexical, settings.weights, quote_prob=prob)
-        return F.struct(
-            (-final).alias("order"), c["rank"].alias("rank"), final.alias("final"),
-            semantic.alias("semantic"), lexical.alias("lexical"),
-            *[c[f].alias(f) for f in PASSAGE_FIELDS if f != "keywords"],
-        )
-
-    return df.withColumn(out, F.array_sort(F.transform("cands", scored))).drop("_qset")
+    carried = [c for c in df.columns if c not in (*keys, "cands")]
+    rows = df.withColumn("_qset", T.keyword_set(F.col(query_text)))
+    rows = rows.select(*keys, *carried, "_qset", F.inline("cands").alias("rank", "score", *[f"_{f}" for f in PASSAGE_FIELDS]))
+    rows = rows.withColumns(
+        {
+            "_semantic": T.clamp01(F.col("score")),
+            "_lexical": T.lexical_score(
+                F.col(query_text), F.col("_qset"), F.col("_keywords"), F.col("_work"),
+                F.col("_section"), F.col("_item"),
+            ),
+        }
+    )
+    prob = F.col("quote_prob") if "quote_prob" in carried else None
+    rows = rows.withColumn(
+        "_final", final_score(F.col("_semantic"), F.col("_lexical"), settings.weights, quote_prob=prob)
+    )
+    body = F.struct(
+        (-F.col("_final")).alias("order"), "rank", F.col("_final").alias("final"),
+        F.col("_semantic").alias("semantic"), F.col("_lexical").alias("lexical"),
+        *[F.col(f"_{f}").alias(f) for f in PASSAGE_FIELDS if f != "keywords"],
+    )
+    return _regroup(rows, keys, carried, body, out)
 
 
 def blend_pair_scores(
-    df: DataFrame, ranked: str, raw_scores: str, settings: C.Settings = C.Settings()
+    df: DataFrame, keys: list[str], pair_score, settings: C.Settings = C.Settings(),
+    ranked: str = "ranked",
 ) -> DataFrame:
-    """Blend raw pair scores into the first N candidates and sort again.
+    """Blend a pair scorer into the first N candidates and sort again.
 
-    Raw scores pass a sigmoid and are min-max scaled inside the group (0.5 if they are flat).
+    `pair_score` maps a row with the candidate fields to a raw score column (an expression or an
+    Arrow function of query and passage text). Raw scores pass a sigmoid and are min-max scaled
+    inside the group (0.5 if they are flat).
     """
     n, w = settings.pair_scorer_topn, settings.pair_scorer_weight
-    sig = F.transform(F.slice(raw_scores, 1, n), T.sigmoid)
-    lo, hi = F.array_min("_sig"), F.array_max("_sig")
-
-    def blended(c, i):
-        s = F.get("_sig", i)
-        scaled = F.when(hi - lo < 1e-6, F.lit(0.5)).otherwise((s - lo) / (hi - lo))
-        final = F.when(i < n, T.clamp01((1.0 - w) * c["final"] + w * scaled)).otherwise(c["final"])
-        fields = ["rank", "semantic", "lexical", *[f for f in PASSAGE_FIELDS if f != "keywords"]]
-        return F.struct(
-            (-final).alias("order"), (i + 1).alias("before"), final.alias("final"),
-            *[c[f].alias(f) for f in fields],
-        )
-
-    df = df.withColumn("_sig", sig)
-    return df.withColumn(ranked, F.array_sort(F.transform(ranked, blended))).drop("_sig")
+    carried = [c for c in df.columns if c not in (*keys, ranked)]
+    rows = df.select(*keys, *carried, F.posexplode(ranked).alias("_pos", "_c"))
+    scored = F.when(F.col("_pos") < n, T.sigmoid(pair_score(F.col("_c"))))
+    rows = rows.withColumn("_sig", scored)
+    group = Window.partitionBy(*keys)
+    rows = rows.withColumns({"_lo": F.min("_sig").over(group), "_hi": F.max("_sig").over(group)})
+    flat = F.col("_hi") - F.col("_lo") < 1e-6
+    scaled = F.when(flat, F.lit(0.5)).otherwise(
+        (F.col("_sig") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    )
+    blended = T.clamp01((1.0 - w) * F.col("_c.final") + w * scaled)
+    rows = rows.withColumn(
+        "_final", F.when(F.col("_pos") < n, blended).otherwise(F.col("_c.final"))
+    )
+    fields = ["semantic", "lexical", *[f for f in PASSAGE_FIELDS if f != "keywords"]]
+    body = F.struct(
+        (-F.col("_final")).alias("order"), (F.col("_pos") + 1).alias("rank"),
+        F.col("_final").alias("final"), *[F.col(f"_c.{f}").alias(f) for f in fields],
+    )
+    return _regroup(rows, keys, carried, body, ranked)
 
 
 def history_score(candidates: DataFrame, accepted: DataFrame, stream: str, seq: str) -> DataFrame:

@@ -6,26 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import detect, knn, records, rerank, router, sentences, triage
+from ..operators import detect, knn, live, records, rerank, router, sentences, triage
 
 
 def retrieve(
     queries: DataFrame, passages: DataFrame, keys: list[str], text: str,
-    embedder: V.Embedder | None = None, k: int = C.TOP_K,
+    embedder=None, k: int = C.TOP_K,
 ) -> DataFrame:
     """Query keys, passage_id, score, rank. Passages may already carry `vec`."""
-    embed = embedder or V.bow_embedder()
+    embedder = embedder or V.BowEmbedder()
     corpus = passages if "vec" in passages.columns else passages.withColumn(
-        "vec", embed(F.col("text"), False)
+        "vec", V.embed_column(embedder, F.col("text"), False)
+    )
+    return knn.knn_topk(
+        queries, corpus.select("passage_id", "vec"), keys, "passage_id", query_vec=text, k=k,
+        dim=embedder.dim, encode=embedder.encode,
     )
-    asked = queries.select(*keys, embed(F.col(text), True).alias("vec"))
-    return knn.knn_topk(asked, corpus.select("passage_id", "vec"), keys, "passage_id", k=k)
 
 
 def candidates(
     queries: DataFrame, passages: DataFrame, keys: list[str], text: str,
-    embedder: V.Embedder | None = None, k: int = C.TOP_K,
+    embedder=None, k: int = C.TOP_K,
 ) -> DataFrame:
     hits = retrieve(queries, passages, keys, text, embedder, k)
     return rerank.candidate_arrays(hits, rerank.with_keywords(passages), keys)
@@ -34,7 +37,7 @@ def candidates(
 def detect_windows(
     windows: DataFrame, passages: DataFrame, keys: list[str],
     detector: str = "semantic", settings: C.Settings = C.Settings(),
-    embedder: V.Embedder | None = None, scorer: detect.Scorer | None = None,
+    embedder=None, scorer: detect.Scorer | None = None,
 ) -> DataFrame:
     """Result records of context windows.
 
@@ -60,7 +63,7 @@ def detect_windows(
         gated = detect.passed(scored, settings.quote_threshold)
         cands = candidates(gated, passages, keys, text, embedder, settings.top_k)
         gated = gated.join(cands, keys)
-    ranked = rerank.rerank(gated.filter(F.col("cands").isNotNull()), text, settings)
+    ranked = rerank.rerank(gated.filter(F.col("cands").isNotNull()), text, keys, settings)
     return records.surfaced(records.build_records(ranked, keys, settings), settings.include_ignored)
 
 
@@ -73,7 +76,7 @@ def detect_segments(segments: DataFrame, passages: DataFrame, **kw) -> DataFrame
 def search(
     queries: DataFrame, passages: DataFrame, query_id: str = "query_id", text: str = "query",
     k: int = C.TOP_K, edition: str | None = None, prefilter: bool = False, ranked: bool = True,
-    settings: C.Settings = C.Settings(), embedder: V.Embedder | None = None,
+    settings: C.Settings = C.Settings(), embedder=None,
 ) -> DataFrame:
     """Many text searches at once: one row per result with its scores.
 
@@ -96,7 +99,7 @@ def search(
             query_id, (F.col("pos") + 1).alias("rank"), "c.edition", "c.work", "c.section", "c.item",
             "c.text", "c.score",
         )
-    df = rerank.rerank(df.withColumn("quote_prob", F.lit(0.90)), text, settings)
+    df = rerank.rerank(df.withColumn("quote_prob", F.lit(0.90)), text, [query_id], settings)
     df = df.select(query_id, F.posexplode(F.slice("ranked", 1, k)).alias("pos", "c"))
     return df.select(
         query_id, (F.col("pos") + 1).alias("rank"), "c.edition", "c.work", "c.section", "c.item",
@@ -106,7 +109,7 @@ def search(
 
 def triage_rows(
     rows: DataFrame, passages: DataFrame, file: str = "file", settings: C.Settings = C.Settings(),
-    embedder: V.Embedder | None = None,
+    embedder=None,
 ) -> DataFrame:
     """Suggestions for every non-blank row; ranking runs whatever the gate says."""
     windows = sentences.boundary_windows(rows, file, "line")
@@ -114,7 +117,7 @@ def triage_rows(
     cands = candidates(windows, passages, keys, "candidate_text", embedder, settings.top_k)
     scored = detect.semantic_gate(windows, cands, keys, settings)
     scored = scored.withColumns({"start_time": F.col("line") * 1.0, "end_time": F.col("line") * 1.0})
-    ranked = rerank.rerank(scored.filter(F.col("cands").isNotNull()), "candidate_text", settings)
+    ranked = rerank.rerank(scored.filter(F.col("cands").isNotNull()), "candidate_text", keys, settings)
     found = triage.suggestions(records.build_records(ranked, keys, settings))
     fields = ["suggested_label", "suggested_verse", "confidence", "confidence_band",
               "quote_probability", "top_candidate"]
@@ -127,12 +130,9 @@ def triage_rows(
 
 def detect_utterances(
     utterances: DataFrame, passages: DataFrame, key: str = "utt_id", text: str = "text",
-    settings: C.Settings = C.Settings(), embedder: V.Embedder | None = None,
+    settings: C.Settings = C.Settings(), embedder=None,
 ) -> DataFrame:
     """Live detection of complete quotation texts: gate, query variants, best variant, agreement."""
-    from ..functions import text as T
-    from ..operators import live
-
     gated = detect.rule_gate(utterances.withColumn("candidate_text", F.col(text)))
     gated = gated.filter(F.col("quote_prob") >= settings.quote_threshold)
     gated = detect.min_words(gated, "candidate_text")
@@ -141,7 +141,7 @@ def detect_utterances(
     )
     keys = [key, "variant_no"]
     cands = candidates(variants, passages, keys, "variant", embedder, settings.top_k)
-    ranked = rerank.rerank(variants.join(cands, keys), "candidate_text", settings)
+    ranked = rerank.rerank(variants.join(cands, keys), "candidate_text", keys, settings)
     best = F.get(F.col("ranked"), 0)
     per_variant = ranked.select(
         key, "variant_no", best["final"].alias("confidence"),

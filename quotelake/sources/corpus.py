@@ -106,16 +106,16 @@ def with_reference(passages: DataFrame) -> DataFrame:
 
 
 def write_index(
-    passages: DataFrame, path: str, embedder: V.Embedder | None = None, limit: int | None = None
+    passages: DataFrame, path: str, embedder=None, limit: int | None = None
 ) -> None:
     """Embed passages and store vectors and metadata in one table, so they cannot diverge."""
     if limit:
         passages = passages.orderBy("work", "section", "item", "edition").limit(limit)
-    embed = embedder or V.bow_embedder()
+    embedder = embedder or V.BowEmbedder()
     df = with_reference(passages).withColumn(
         "passage_id", passage_key("edition", "work", "section", "item")
     )
-    df.withColumn("vec", embed(F.col("text"), False)).write.mode("overwrite").partitionBy(
+    df.withColumn("vec", V.embed_column(embedder, F.col("text"), False)).write.mode("overwrite").partitionBy(
         "edition"
     ).parquet(path)
 
