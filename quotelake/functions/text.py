@@ -170,19 +170,6 @@ def shared_overlap(prev_words: Column, new_words: Column, limit: int = C.OVERLAP
     return F.coalesce(F.array_max(ks), F.lit(0))
 
 
-def suggested_score(text: Column, trigger: Column) -> Column:
-    low = F.lower(text)
-    archaic = F.arrays_overlap(words(low), F.array(*[F.lit(w) for w in L.ARCHAIC_WORDS]))
-    raw = (
-        F.lit(0.1)
-        + F.when(F.coalesce(trigger, F.lit("")) != "", 0.5).otherwise(0.0)
-        + F.when(has_label_reference(text), 0.5).otherwise(0.0)
-        + F.when(archaic, 0.3).otherwise(0.0)
-        - F.when(is_negative(text), 0.4).otherwise(0.0)
-    )
-    return clamp01(raw)
-
-
 def has_label_reference(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(L.LABEL_REF_PATTERN)
 
@@ -191,12 +178,16 @@ def is_negative(text: Column) -> Column:
     return F.lower(text).rlike(L.either(L.NEGATIVE_MARKERS))
 
 
-def suggested_label(text: Column, trigger: Column) -> Column:
-    keep = ~is_negative(text) & (suggested_score(text, trigger) >= 0.5)
-    return F.when(keep, "positive").otherwise("negative")
+def has_archaic(text: Column) -> Column:
+    return F.arrays_overlap(words(F.lower(text)), F.array(*[F.lit(w) for w in L.ARCHAIC_WORDS]))
+
 
+def suggested_score(trigger: Column, cites: Column, archaic: Column, negative: Column) -> Column:
+    """0.1, plus 0.5 for a trigger, 0.5 for a citation, 0.3 for old words, minus 0.4 for news."""
+    def part(flag: Column, weight: float) -> Column:
+        return F.when(flag, weight).otherwise(0.0)
 
-def suggested_subtype(text: Column, trigger: Column) -> Column:
-    return F.when(suggested_label(text, trigger) == "negative", "negative").otherwise(
-        F.when(has_label_reference(text), "explicit_reference").otherwise("cue_phrase")
+    triggered = F.coalesce(trigger, F.lit("")) != ""
+    return clamp01(
+        F.lit(0.1) + part(triggered, 0.5) + part(cites, 0.5) + part(archaic, 0.3) - part(negative, 0.4)
     )

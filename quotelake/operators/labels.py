@@ -25,27 +25,27 @@ def trigger_hits(joined: Column) -> Column:
     are joined by single blanks.
 
     The text between matches comes from a split on the same pattern, so word positions are
-    running counts of blanks.
+    running counts of blanks. Both arrays are built once and zipped before the fold.
     """
-    gaps = F.transform(F.split(joined, TRIGGER_PATTERN), _blanks)
+    gaps = F.split(joined, TRIGGER_PATTERN)
     found = F.regexp_extract_all(joined, F.lit(f"({TRIGGER_PATTERN})"), 1)
-    held = F.transform(found, _blanks)
+    pieces = F.zip_with(
+        gaps, found,
+        lambda g, m: F.struct(
+            _blanks(g).alias("gap"), _blanks(m).alias("held"), F.lower(m).alias("phrase")
+        ),
+    )
     start = F.struct(
         F.lit(0).alias("at"), F.array().cast("array<struct<word:int,phrase:string>>").alias("out")
     )
     return F.aggregate(
-        F.transform(found, lambda m, i: i),
+        F.filter(pieces, lambda p: p["phrase"].isNotNull()),
         start,
-        lambda acc, i: F.struct(
-            (acc["at"] + F.get(gaps, i) + F.get(held, i)).alias("at"),
+        lambda acc, p: F.struct(
+            (acc["at"] + p["gap"] + p["held"]).alias("at"),
             F.concat(
                 acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.get(gaps, i)).alias("word"),
-                        F.lower(F.get(found, i)).alias("phrase"),
-                    )
-                ),
+                F.array(F.struct((acc["at"] + p["gap"]).alias("word"), p["phrase"].alias("phrase"))),
             ).alias("out"),
         ),
         lambda acc: acc["out"],
@@ -63,20 +63,24 @@ def lookback(phrase: Column) -> Column:
 
 def break_positions(files: DataFrame, words: str = "words") -> DataFrame:
     """Add `breaks`: sorted array<struct<at, phrase>>, the first trigger per position kept."""
-    df = files.withColumn("_hits", trigger_hits(F.array_join(words, " ")))
     moved = F.transform(
-        "_hits",
+        trigger_hits(F.array_join(words, " ")),
         lambda h, i: F.struct(
             F.greatest(F.lit(0), h["word"] - lookback(h["phrase"])).alias("at"),
             i.alias("nr"), h["phrase"].alias("phrase"),
         ),
     )
-    df = df.withColumn("_moved", F.array_sort(moved))
-    first = F.filter(
-        "_moved", lambda b, i: (i == 0) | (F.get(F.col("_moved"), i - 1)["at"] != b["at"])
+    none = F.array().cast("array<struct<at:int,phrase:string>>")
+    first = F.aggregate(
+        F.array_sort(moved),
+        none,
+        lambda acc, b: F.when(
+            F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(-1)) == b["at"], acc
+        ).otherwise(
+            F.concat(acc, F.array(F.struct(b["at"].alias("at"), b["phrase"].alias("phrase"))))
+        ),
     )
-    slim = F.transform(first, lambda b: F.struct(b["at"].alias("at"), b["phrase"].alias("phrase")))
-    return df.withColumn("breaks", slim).drop("_hits", "_moved")
+    return files.withColumn("breaks", first)
 
 
 def thin_breaks(df: DataFrame, min_gap: int = C.LINE_MIN_WORDS, breaks: str = "breaks") -> DataFrame:
@@ -150,13 +154,23 @@ def build_lines(
 
 
 def suggest(df: DataFrame, text: str = "text", trigger: str = "matched_trigger") -> DataFrame:
-    t, g = F.col(text), F.col(trigger)
+    """Add `auto_score`, `label` and `subtype`; each pattern is tested once per row."""
+    df = df.withColumns(
+        {"_ref": T.has_label_reference(F.col(text)), "_neg": T.is_negative(F.col(text)),
+         "_old": T.has_archaic(F.col(text))}
+    )
+    df = df.withColumn(
+        "auto_score",
+        T.suggested_score(F.col(trigger), F.col("_ref"), F.col("_old"), F.col("_neg")),
+    )
+    keep = ~F.col("_neg") & (F.col("auto_score") >= 0.5)
+    sub = F.when(F.col("_ref"), "explicit_reference").otherwise("cue_phrase")
     return df.withColumns(
         {
-            "auto_score": T.suggested_score(t, g), "label": T.suggested_label(t, g),
-            "subtype": T.suggested_subtype(t, g),
+            "label": F.when(keep, "positive").otherwise("negative"),
+            "subtype": F.when(keep, sub).otherwise("negative"),
         }
-    )
+    ).drop("_ref", "_neg", "_old")
 
 
 def valid_label(label: Column) -> Column:

@@ -97,7 +97,7 @@ def binary_metrics(rows: DataFrame, label: str = "label", pred: str = "predictio
 
 def confusion(rows: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """Confusion matrix: one row per label, one column per prediction."""
-    wide = rows.groupBy(label).pivot(pred, [0, 1]).agg(F.count("*"))
+    wide = rows.groupBy(label).pivot(pred, [0, 1]).agg(F.count(F.lit(1)))
     return wide.select(
         label, F.coalesce("0", F.lit(0)).alias("pred_0"), F.coalesce("1", F.lit(0)).alias("pred_1")
     )
