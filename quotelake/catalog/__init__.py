@@ -2,6 +2,6 @@
 
 from . import bindings
 from .bindings import ORACLE, QUERIES
-from . import detection_queries, label_queries, live_queries, lookup_queries, text_queries  # noqa: F401,E402
+from . import text_queries, lookup_queries, detection_queries, label_queries, live_queries, stream_queries  # noqa: F401,E402
 
 __all__ = ["ORACLE", "QUERIES", "bindings"]

@@ -140,8 +140,12 @@ passages AS (
 
 # ---- segments from conversations ----------------------------------------------------------------
 def segments(spark: SparkSession, sf: str) -> DataFrame:
+    return segments_of(table(spark, sf, "conversations"))
+
+
+def segments_of(conversations: DataFrame) -> DataFrame:
     start = F.col("turn") * 10.0
-    return table(spark, sf, "conversations").select(
+    return conversations.select(
         F.col("conv_id").alias("stream_id"), F.col("turn").alias("seg_id"), "text",
         start.alias("start_time"), (start + 10.0).alias("end_time"),
     )
@@ -162,13 +166,17 @@ CUE_TEMPLATES = {
 
 
 def cue_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return cue_segments_of(segments(spark, sf))
+
+
+def cue_segments_of(segs: DataFrame) -> DataFrame:
     """Every turn, with a spoken phrase in front or behind that depends on the row."""
     kind = (F.col("stream_id") + F.col("seg_id")) % len(CUE_TEMPLATES)
     text = F.col("text")
     expr = text
     for k, (pre, post) in CUE_TEMPLATES.items():
         expr = F.when(kind == k, F.concat(F.lit(pre), text, F.lit(post))).otherwise(expr)
-    return segments(spark, sf).withColumn("text", expr)
+    return segs.withColumn("text", expr)
 
 
 _CUE_CASE = " ".join(
@@ -255,13 +263,17 @@ KINDS = {
 
 
 def live_log(spark: SparkSession, sf: str) -> DataFrame:
+    return live_log_of(table(spark, sf, "events"))
+
+
+def live_log_of(events: DataFrame) -> DataFrame:
     """stream = user, seq = event id, item = k of the properties."""
     item = F.get_json_object("props", "$.k").cast("int")
     kind = F.lit(None).cast("string")
     for raw, name in KINDS.items():
         kind = F.when(F.col("event_type") == raw, name).otherwise(kind)
     kind = F.when((kind == "clear") & (item % 2 == 0), "queue_clear").otherwise(kind)
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"),
         item.alias("item"), "value", F.least(F.col("value") / 200, F.lit(1.0)).alias("confidence"),
     )

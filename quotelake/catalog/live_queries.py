@@ -63,8 +63,12 @@ def utterance_islands(spark, sf):
 
 
 def _routed_turns(spark, sf):
+    return _routed_turns_of(B.table(spark, sf, "conversations"))
+
+
+def _routed_turns_of(conversations):
     """Turns with quotation phrases; some turns lose their end mark or turn into commands."""
-    seg = B.cue_segments(spark, sf)
+    seg = B.cue_segments_of(B.segments_of(conversations))
     n = F.col("stream_id") + F.col("seg_id") * 3
     text = (
         F.when(n % 11 == 0, F.lit("next verse"))
@@ -165,6 +169,10 @@ def event_feed(spark, sf):
 
 
 def _messages(spark, sf):
+    return _messages_of(B.table(spark, sf, "conversations"))
+
+
+def _messages_of(conversations):
     """Recognition messages made of the turns, including empty, malformed and end messages."""
     n = F.col("conv_id") + F.col("turn")
     word = F.struct(
@@ -181,7 +189,7 @@ def _messages(spark, sf):
         F.struct(F.array(alt).alias("alternatives")).alias("channel"),
     )
     payload = F.when(n % 13 == 0, F.concat(F.lit("{broken"), "text")).otherwise(F.to_json(body))
-    return B.table(spark, sf, "conversations").select("conv_id", "turn", payload.alias("payload"))
+    return conversations.select("conv_id", "turn", payload.alias("payload"))
 
 
 @query(rf"""

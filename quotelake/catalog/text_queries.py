@@ -159,7 +159,7 @@ def overlap_trim_lag(spark, sf):
     )
 
 
-@query(rf"""
+ORACLE_OVERLAP_EXACT = rf"""
 WITH RECURSIVE {_OVERLAP_CTE.strip()},
 n AS (SELECT conv_id, turn, text, {B.sql_words('text')} AS nw,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM seg),
@@ -170,7 +170,10 @@ f AS (
   FROM (SELECT n.*, {_shared('f.state', 'n.nw')}::INTEGER AS k FROM n JOIN f ON n.conv_id = f.conv_id AND n.r = f.r + 1))
 SELECT conv_id, turn, dropped, CASE WHEN dropped = 0 THEN text ELSE array_to_string(nw[dropped + 1:], ' ') END AS trimmed
 FROM f
-""")
+"""
+
+
+@query(ORACLE_OVERLAP_EXACT)
 def overlap_trim_exact(spark, sf):
     return SE.overlap_trim_exact(_overlapping(spark, sf), "conv_id", "turn").select(
         "conv_id", "turn", "dropped", "trimmed"
