@@ -62,18 +62,31 @@ def resolve_edition(name: Column) -> Column:
     """Edition code of a spoken alias or a code, or null. The table is a fixed literal map."""
     both = {k.lower(): v for k, v in L.EDITION_CODES.items() if k != "NEW KING JAMES VERSION"}
     both.update(L.EDITION_ALIASES)
-    mapping = F.create_map(*[F.lit(x) for kv in both.items() for x in kv])
-    return F.try_element_at(mapping, F.lower(F.trim(name)))
+    return F.try_element_at(literal_map(both), F.lower(F.trim(name)))
+
+
+def literal_map(table: dict) -> Column:
+    """A constant map, parsed once from one SQL expression."""
+    def sql(value) -> str:
+        return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+
+    return F.expr("map(" + ", ".join(f"{sql(k)}, {sql(v)}" for k, v in table.items()) + ")")
+
+
+def _named(low: Column, templates: list[str]) -> Column:
+    """Every alias a template can capture is in the table, so the first capture decides."""
+    found = [_part(low, t.replace("{e}", L.EDITION_ALTERNATION), 1) for t in templates]
+    return resolve_edition(F.coalesce(*found))
 
 
 def named_edition(text: Column, broad: bool = False) -> Column:
     """Edition named by the first swap template that matches (and, if asked, the broad one)."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    templates = L.SWAP_TEMPLATES + ([L.SWAP_BROAD] if broad else [])
-    found = [
-        resolve_edition(_part(low, t.replace("{e}", L.EDITION_ALTERNATION), 1)) for t in templates
-    ]
-    return F.coalesce(*found)
+    return _named(low, L.SWAP_TEMPLATES + ([L.SWAP_BROAD] if broad else []))
+
+
+def broadly_named_edition(text: Column) -> Column:
+    return _named(F.lower(F.coalesce(text, F.lit(""))), [L.SWAP_BROAD])
 
 
 def work_titles(df: DataFrame, token: str, out: str, works: DataFrame) -> DataFrame:

@@ -93,8 +93,9 @@ def reference(work: Column, section: Column, item: Column) -> Column:
 def edition_code(raw: Column) -> Column:
     """Upper-cased, mapped edition code; blank becomes UNK."""
     up = F.upper(F.trim(F.coalesce(raw, F.lit(""))))
-    mapping = F.create_map(*[F.lit(x) for kv in L.EDITION_CODES.items() for x in kv])
-    return F.coalesce(F.try_element_at(mapping, up), F.nullif(up, F.lit("")), F.lit("UNK"))
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in L.EDITION_CODES.items())
+    known = F.try_element_at(F.expr(f"map({pairs})"), up)
+    return F.coalesce(known, F.nullif(up, F.lit("")), F.lit("UNK"))
 
 
 def band(confidence: Column) -> Column:

@@ -18,46 +18,45 @@ def _low(text: Column) -> Column:
     return T.clean_trim(F.lower(F.coalesce(text, F.lit(""))))
 
 
-def is_clear(text: Column) -> Column:
-    """A clear phrase inside an utterance of at most eight words."""
-    return _low(text).rlike(L.either(L.CLEAR_PHRASES)) & (T.word_count(_low(text)) <= 8)
+def is_clear(low: Column) -> Column:
+    """A clear phrase inside a lower-cased utterance of at most eight words."""
+    return low.rlike(L.either(L.CLEAR_PHRASES)) & (T.word_count(low) <= 8)
 
 
-def nav_action(text: Column) -> Column:
+def nav_action(low: Column, swap: Column) -> Column:
     """Item steps win over section steps, forward over backward, swaps come last."""
-    low = _low(text)
     return (
         F.when(low.rlike(L.either(L.NAV_NEXT_ITEM)), "next_verse")
         .when(low.rlike(L.either(L.NAV_PREV_ITEM)), "prev_verse")
         .when(low.rlike(L.either(L.NAV_NEXT_SECTION)), "next_chapter")
         .when(low.rlike(L.either(L.NAV_PREV_SECTION)), "prev_chapter")
-        .when(swap_edition(text).isNotNull(), "swap_translation")
-    )
-
-
-def swap_edition(text: Column) -> Column:
-    """Edition asked for; the broad template only counts in utterances of at most six words."""
-    return F.coalesce(
-        R.named_edition(text),
-        F.when(T.word_count(_low(text)) <= 6, R.named_edition(text, broad=True)),
+        .when(swap.isNotNull(), "swap_translation")
     )
 
 
 def classify(df: DataFrame, text: str) -> DataFrame:
-    """Add the parsed reference, `action`, `swap` and `intent` in precedence order."""
+    """Add the parsed reference, `named` edition, `action`, `swap` and `intent` by precedence.
+
+    The broad edition template only counts in utterances of at most six words.
+    """
     col = F.col(text)
-    df = df.withColumns({**R.spoken_reference(col), "action": nav_action(col), "swap": swap_edition(col)})
+    df = df.withColumns({**R.spoken_reference(col), "_low": _low(col), "named": R.named_edition(col)})
+    short = T.word_count(F.col("_low")) <= 6
+    df = df.withColumn(
+        "_swap", F.coalesce("named", F.when(short, R.broadly_named_edition(col)))
+    )
+    df = df.withColumn("_action", nav_action(F.col("_low"), F.col("_swap")))
     intent = (
         F.when(F.col("ref_item").isNotNull(), EXPLICIT_REF)
-        .when(is_clear(col), CLEAR)
-        .when(F.col("action").isNotNull(), NAV)
+        .when(is_clear(F.col("_low")), CLEAR)
+        .when(F.col("_action").isNotNull(), NAV)
         .otherwise(CUE)
     )
     df = df.withColumn("intent", intent)
     is_nav = F.col("intent") == NAV
     return df.withColumns(
-        {"action": F.when(is_nav, F.col("action")), "swap": F.when(is_nav, F.col("swap"))}
-    )
+        {"action": F.when(is_nav, F.col("_action")), "swap": F.when(is_nav, F.col("_swap"))}
+    ).drop("_low", "_swap", "_action")
 
 
 def resolve_explicit(
@@ -67,7 +66,9 @@ def resolve_explicit(
     """Direct lookup of spoken references, with edition fallback and a reason when unresolved."""
     df = classified.filter(F.col("intent") == EXPLICIT_REF)
     df = R.resolve_works(df, "ref_token", "work")
-    wanted = F.coalesce(R.named_edition(F.col(text), broad=broad_edition), F.lit(default))
+    wanted = F.coalesce("named", F.lit(default))
+    if broad_edition:
+        wanted = F.coalesce("named", R.broadly_named_edition(F.col(text)), F.lit(default))
     df = df.select(
         utt_id, "work", F.col("ref_section").alias("section"), F.col("ref_item").alias("item"),
         "ref_token", wanted.alias("edition"),

@@ -81,7 +81,7 @@ def accept_quota(
 ) -> DataFrame:
     """Rows of a subtype in arrival order until its quota is full."""
     targets = targets or L.SUBTYPE_TARGETS
-    quota = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
+    quota = R.literal_map(targets)
     df = rows.withColumn("_quota", F.coalesce(F.try_element_at(quota, F.col("subtype")), F.lit(0)))
     if already is not None:
         used = already.groupBy("subtype").agg(F.count("*").alias("_used"))

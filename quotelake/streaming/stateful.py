@@ -187,7 +187,7 @@ def queue_changes(events: DataFrame, item: str = "item") -> DataFrame:
                 waiting = [w for w in waiting if w != row.item]
             elif row.kind == "queue_clear":
                 waiting = []
-            out.append((key[0], row.seq, waiting))
+            out.append((key[0], row.seq, list(waiting)))
         state.update((int(last), waiting))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "waiting"])
 
