@@ -64,14 +64,12 @@ def knn_edition_filter(spark, sf):
 
 def _dense_candidates(spark, sf, k):
     """Labels act as references and the parity of the id as edition."""
-    v = B.table(spark, sf, "embeddings")
-    meta = v.select(
+    v = _vectors(spark, sf)
+    corpus = v.select(
         F.col("vec_id").alias("passage_id"), (F.col("vec_id") % 2).cast("string").alias("edition"),
-        F.col("label").cast("string").alias("work"), F.lit(1).alias("section"), F.lit(1).alias("item"),
-        F.lit("").alias("text"),
+        F.col("label").cast("string").alias("work"), F.lit(1).alias("section"), F.lit(1).alias("item"), "vec",
     )
-    hits = _knn(spark, sf, k).withColumnRenamed("cand_id", "passage_id")
-    return rerank.candidate_arrays(hits, rerank.with_keywords(meta), ["vec_id"])
+    return knn.knn_lists(v, corpus, ["vec_id"], "passage_id", k=k, meta=rerank.META)
 
 
 _DUAL = """
@@ -209,9 +207,9 @@ SELECT query_id, edition, work, section, item, floor(blended * 1e4 + 0.5::DOUBLE
 """)
 def pair_score_blend(spark, sf):
     queries = _turns(spark, sf)
-    cands = D.candidates(queries, B.passages(spark, sf), ["query_id"], "query")
-    cands = cands.withColumn("cands", F.filter("cands", lambda c: c["score"] > 0))
-    df = rerank.rerank(queries.join(cands, "query_id"), "query", ["query_id"])
+    found = D.candidates(queries, B.passages(spark, sf), ["query_id"], "query")
+    found = found.withColumn("cands", F.filter("cands", lambda c: c["score"] > 0))
+    df = rerank.rerank(found, B.passages(spark, sf), "query", ["query_id"])
     df = rerank.blend_pair_scores(df, ["query_id"], lambda c: 10.0 * c["lexical"] - 2.0)
     df = df.select("query_id", F.posexplode("ranked").alias("pos", "c"))
     return df.select(

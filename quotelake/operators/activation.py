@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import config as C
 from . import ordered
@@ -46,7 +47,7 @@ def activation_outcomes(log: DataFrame, width: int = 65536) -> DataFrame:
     df = revoke_first(log)
     before = F.col("_revoked").isNull() | (F.col("seq") < F.col("_revoked"))
     scanned = ordered.state_scan(
-        df.filter(before), axis, entries, step, "_after", ["action", "fingerprint"], FREE, "string"
+        df.filter(before), axis, entries, step, "_after", ["action", "fingerprint"], FREE, StringType()
     ).drop(CHUNK)
     scanned = ordered.carry_last(scanned, axis, {"holder": F.col("_after")}).drop(CHUNK)
     holder = F.coalesce("holder", F.lit(FREE))

@@ -45,18 +45,20 @@ def model_gate(windows: DataFrame, scorer: Scorer, text: str = "candidate_text")
 
 
 def semantic_gate(
-    windows: DataFrame, cands: DataFrame, keys: list[str],
-    settings: C.Settings = C.Settings(), text: str = "candidate_text",
+    df: DataFrame, settings: C.Settings = C.Settings(), text: str = "candidate_text"
 ) -> DataFrame:
-    """Rule score raised by agreement of editions; `cands` holds the candidate arrays."""
-    df = rule_gate(windows, text).join(cands, keys, "left")
+    """Rule score raised by agreement of editions; `cands` holds the candidates of each window.
+
+    The mean of a group cannot exceed the best score, so the groups are only formed where the
+    best score reaches the threshold.
+    """
     cc = settings.concordance
-    df = df.withColumns(
-        {
-            "best_dual": RR.best_dual(F.col("cands"), cc.search_k),
-            "top1": F.get(F.col("cands"), 0)["score"],
-            "_nw": T.word_count(F.col(text)),
-        }
+    df = rule_gate(df, text).withColumns(
+        {"top1": F.get(F.col("cands"), 0)["score"], "_nw": T.word_count(F.col(text))}
+    )
+    df = df.withColumn(
+        "best_dual",
+        F.when(F.col("top1") >= cc.dual_threshold, RR.best_dual(F.col("cands"), cc.search_k)),
     )
     prob = S.concordance_score(
         F.col("rule_score"), F.col("best_dual"), F.col("top1"), F.col("_nw"), cc

@@ -22,54 +22,59 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SCORE_UNIT = 1_000_000  # scores are compared at six decimals, ties by corpus id
 
 
-def _pack_queries(df: DataFrame, keys: list[str], what: str, block: int, encode=None) -> DataFrame:
-    """Blocks of at most `block` queries: one list per key and the vectors (or texts) as one list."""
-    fields = [t.StructField(k, t.ArrayType(df.schema[k].dataType)) for k in keys]
-    is_text = isinstance(df.schema[what].dataType, t.StringType) and encode is None
-    kind = t.StringType() if is_text else t.DoubleType()
-    schema = t.StructType([*fields, t.StructField("_qv", t.ArrayType(kind))])
+def _field(name: str):
+    return lambda row: row[name]
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _pack_queries(df: DataFrame, columns: list[str], vec: str | None, block: int, encode) -> DataFrame:
+    """Blocks of at most `block` queries: one list per column, and `_qv` with all vectors in a row.
+
+    With `encode` the vectors are computed from texts here; without `vec` there is no `_qv`.
+    """
+    fields = [t.StructField(c, t.ArrayType(df.schema[c].dataType)) for c in columns]
+    if vec:
+        fields.append(t.StructField("_qv", t.ArrayType(t.DoubleType())))
+    schema = t.StructType(fields)
     arrow = to_arrow_schema(schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, block):
                 part = whole.slice(at, block)
-                cols = [_one_list(part.column(k)) for k in keys]
-                body = part.column(what)
-                if encode is not None:
-                    body = pa.array(encode(body.to_pylist(), True).ravel())
-                elif not is_text:
-                    body = body.flatten().cast(pa.float64())
-                cols.append(_one_list(body))
+                cols = [_one_list(part.column(c)) for c in columns]
+                if vec:
+                    body = part.column(vec)
+                    body = pa.array(encode(body.to_pylist(), True).ravel()) if encode else (
+                        body.flatten().cast(pa.float64())
+                    )
+                    cols.append(_one_list(body))
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow
                 )
 
-    return df.select(*keys, what).mapInArrow(pack, schema)
-
-
-def _one_list(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    needed = list(dict.fromkeys([*columns, *([vec] if vec else [])]))
+    return df.select(*needed).mapInArrow(pack, schema)
 
 
 def _top(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int):
-    """Row index, id and score of the k best corpus rows of every query row."""
+    """Positions and scores of the k best corpus rows of every query row, best first."""
     order = np.argsort(ids, kind="stable")
-    ids, c = ids[order], c[order]
     n = len(ids)
-    ranked = np.rint((q @ c.T) * SCORE_UNIT).astype("int64")
+    ranked = np.rint((q @ c[order].T) * SCORE_UNIT).astype("int64")
     composite = ranked * n + (n - 1 - np.arange(n))
     k = min(k, n)
     best = np.argpartition(composite, n - k, axis=1)[:, n - k:]
     values = np.take_along_axis(composite, best, axis=1)
-    sort = np.argsort(-values, axis=1)
-    best = np.take_along_axis(best, sort, axis=1)
+    best = np.take_along_axis(best, np.argsort(-values, axis=1), axis=1)
     scores = np.take_along_axis(ranked, best, axis=1) / SCORE_UNIT
-    rows = np.repeat(np.arange(len(q)), k)
-    return rows, ids[best].ravel(), scores.ravel(), np.tile(np.arange(1, k + 1), len(q))
+    return order[best].ravel(), scores.ravel(), k
 
 
-def knn_topk(
+def knn_lists(
     queries: DataFrame,
     corpus: DataFrame,
     query_keys: list[str],
@@ -77,85 +82,132 @@ def knn_topk(
     query_vec: str = "vec",
     corpus_vec: str = "vec",
     k: int = 10,
+    carry: list[str] | None = None,
+    meta: list[str] | None = None,
     block: int = 2048,
     shard_bytes: int = 32 << 20,
     broadcast_bytes: int = 256 << 20,
     salts: int = 32,
     dim: int | None = None,
     encode=None,
+    out: str = "cands",
 ) -> DataFrame:
-    """Query keys, `corpus_id`, `score`, `rank` of the exact k nearest corpus vectors.
+    """One row per query: keys, carried columns and `out`, the exact k nearest corpus rows as
+    array<struct<rank, score, corpus_id, meta...>>.
 
     Vectors are expected to be unit length, so the product is the cosine. A count of the corpus
     sizes the shards. With `encode` the query column holds texts; if the corpus is one shard they
-    are encoded next to the product, so query vectors never leave the Python worker.
+    are encoded next to the product, so query vectors never leave the Python worker and queries
+    are not shuffled at all.
     """
+    carry, meta = list(carry or []), list(meta or [])
     if dim is None:
         first = corpus.select(F.size(corpus_vec).alias("d")).filter("d > 0").first()
         dim = first["d"] if first else 1
     total = corpus.count() * (dim * 8 + 8)
     shards = max(1, -(-total // shard_bytes))
-    small = total <= broadcast_bytes
 
     packed = (
         corpus.select(
             F.pmod(F.xxhash64(corpus_id), F.lit(shards)).cast("int").alias("_shard"),
             F.struct(
-                F.col(corpus_id).cast("long").alias("i"),
-                F.col(corpus_vec).cast("array<double>").alias("v"),
+                F.col(corpus_id).cast("long").alias(corpus_id),
+                F.col(corpus_vec).cast("array<double>").alias("_v"), *meta,
             ).alias("r"),
         )
-        .filter(F.size("r.v") == dim)
+        .filter(F.size("r._v") == dim)
         .groupBy("_shard")
         .agg(F.collect_list("r").alias("rows"))
         .select(
             "_shard",
-            F.transform("rows", lambda r: r["i"]).alias("_ci"),
-            F.flatten(F.transform("rows", lambda r: r["v"])).alias("_cv"),
+            F.transform("rows", lambda r: r[corpus_id]).alias("_ci"),
+            F.flatten(F.transform("rows", lambda r: r["_v"])).alias("_cv"),
+            *[F.transform("rows", _field(m)).alias(f"_m_{m}") for m in meta],
         )
     )
     late = encode if shards == 1 else None
-    blocks = _pack_queries(queries, query_keys, query_vec, block, None if late else encode)
+    columns = list(dict.fromkeys([*query_keys, *carry, *([query_vec] if late else [])]))
+    blocks = _pack_queries(queries, columns, None if late else query_vec, block, encode)
     blocks = blocks.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    if small:
+    if total <= broadcast_bytes:
         pairs = blocks.join(F.broadcast(packed), "_shard")
     else:
-        blocks = blocks.withColumn("_salt", F.pmod(F.xxhash64(query_keys[0], "_shard"), F.lit(salts)))
-        packed = packed.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+        salt = F.pmod(F.xxhash64(query_keys[0], "_shard"), F.lit(salts))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+        pairs = blocks.withColumn("_salt", salt).join(
+            packed.withColumn("_salt", copies), ["_shard", "_salt"]
         )
-        pairs = blocks.join(packed, ["_shard", "_salt"])
-
-    out_schema = t.StructType(
-        [queries.schema[key] for key in query_keys]
-        + [
-            t.StructField(corpus_id, t.LongType()),
-            t.StructField("score", t.DoubleType()),
-            t.StructField("rank", t.IntegerType()),
-        ]
+
+    kept = list(dict.fromkeys([*query_keys, *carry]))
+    hit = t.StructType(
+        [t.StructField("rank", t.IntegerType()), t.StructField("score", t.DoubleType()),
+         t.StructField(corpus_id, t.LongType()), *[corpus.schema[m] for m in meta]]
+    )
+    schema = t.StructType(
+        [*[queries.schema[c] for c in kept], t.StructField(out, t.ArrayType(hit))]
     )
-    arrow = to_arrow_schema(out_schema)
+    arrow = to_arrow_schema(schema)
+    hit_arrow = to_arrow_schema(hit)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                keys = [batch.column(key)[r].values for key in query_keys]
-                q = batch.column("_qv")[r].values
-                q = late(q.to_pylist(), True) if late else q.to_numpy().reshape(-1, dim)
-                c = batch.column("_cv")[r].values.to_numpy().reshape(-1, dim)
-                ids = batch.column("_ci")[r].values.to_numpy()
-                rows, cids, scores, ranks = _top(q, c, ids, k)
-                taken = [key.take(pa.array(rows)) for key in keys]
-                cols = [*taken, pa.array(cids), pa.array(scores), pa.array(ranks, pa.int32())]
+                def values(name):
+                    return batch.column(name)[r].values
+
+                if late:
+                    q = late(values(query_vec).to_pylist(), True)
+                else:
+                    q = values("_qv").to_numpy().reshape(-1, dim)
+                ids = values("_ci")
+                c = values("_cv").to_numpy().reshape(-1, dim)
+                best, scores, width = _top(q, c, ids.to_numpy(), k)
+                taken = pa.array(best)
+                parts = [
+                    pa.array(np.tile(np.arange(1, width + 1, dtype="int32"), len(q))), pa.array(scores),
+                    ids.take(taken), *[values(f"_m_{m}").take(taken) for m in meta],
+                ]
+                hits = pa.StructArray.from_arrays(
+                    [p.cast(f.type) for p, f in zip(parts, hit_arrow)], fields=list(hit_arrow)
+                )
+                offsets = pa.array(np.arange(len(q) + 1, dtype="int32") * width)
+                cols = [*[values(name) for name in kept], pa.ListArray.from_arrays(offsets, hits)]
                 yield pa.RecordBatch.from_arrays(
                     [col.cast(f.type) for col, f in zip(cols, arrow)], schema=arrow
                 )
 
-    local = pairs.select(*query_keys, "_qv", "_ci", "_cv").mapInArrow(score, out_schema)
+    local = pairs.select(
+        *columns, *([] if late else ["_qv"]), "_ci", "_cv", *[f"_m_{m}" for m in meta]
+    ).mapInArrow(score, schema)
     if shards == 1:
         return local
-    best = Window.partitionBy(*query_keys).orderBy(F.desc("score"), corpus_id)
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    # at most shards * k rows per query meet here
+    merged = local.groupBy(*query_keys).agg(
+        *[F.first(c).alias(c) for c in kept if c not in query_keys],
+        F.array_sort(
+            F.flatten(
+                F.collect_list(
+                    F.transform(
+                        out, lambda h: F.struct((-h["score"]).alias("o"), h[corpus_id].alias("i"), h.alias("h"))
+                    )
+                )
+            )
+        ).alias(out),
+    )
+
+    def ranked(x, i):
+        fields = [x["h"][f].alias(f) for f in ("score", corpus_id, *meta)]
+        return F.struct((i + 1).cast("int").alias("rank"), *fields)
+
+    return merged.withColumn(out, F.transform(F.slice(out, 1, k), ranked))
+
+
+def knn_topk(
+    queries: DataFrame, corpus: DataFrame, query_keys: list[str], corpus_id: str, **kw
+) -> DataFrame:
+    """Query keys, `rank`, `score`, `corpus_id` of the exact k nearest corpus vectors, as rows."""
+    lists = knn_lists(queries, corpus, query_keys, corpus_id, **kw)
+    return lists.select(*query_keys, F.inline("cands"))
 
 
 def filter_edition(hits: DataFrame, query_keys: list[str], edition: str, k: int) -> DataFrame:

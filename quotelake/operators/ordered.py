@@ -10,12 +10,16 @@ segment) need a second order column.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHUNK = "_chunk"
 
@@ -110,58 +114,83 @@ Step = Callable[[pd.DataFrame, object], list]
 Entries = Callable[[pd.DataFrame], list]
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
+    """Tables of one group each from batches that are sorted by the group columns."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        keys = rows.select(group).to_pandas()
+        starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        for at, end in zip(starts[:-1], starts[1:]):
+            yield rows.slice(at, end - at)
+        held = rows.slice(starts[-1]) if len(starts) else None
+    if held is not None:
+        yield held
+
+
 def state_scan(
     df: DataFrame, axis: Axis, entries: Entries, step: Step, out: str, columns: list[str],
-    initial, state_type: str,
+    initial, state_type: t.DataType,
 ) -> DataFrame:
     """Sequential fold run in parallel over chunks; the results equal the plain fold.
 
     Folding a chunk is a function of its entry state. Each chunk tabulates that function for the
     states `entries` names (every other state must pass through unchanged), the small tables are
-    composed chunk by chunk, and each chunk is replayed once from its true entry state.
+    composed chunk by chunk, and each chunk is replayed once from its true entry state. Chunks
+    are read from sorted partitions, so short streams cost no task or batch of their own.
     """
     df = axis.cut(df)
-    group = [*axis.keys, CHUNK]
-    order = list(axis.order)
-    slim = df.select(*group, *[c for c in dict.fromkeys([*order, *columns]) if c not in group])
-
-    def ddl(names) -> str:
-        return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
-
-    def table(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        given = list(dict.fromkeys(entries(pdf)))
-        exits = [step(pdf, s)[-1] for s in given]
-        row = pd.DataFrame([list(key)], columns=group)
-        row["_in"], row["_out"] = [given], [exits]
-        return row
-
-    tables = slim.groupBy(*group).applyInPandas(
-        table, f"{ddl(group)}, _in array<{state_type}>, _out array<{state_type}>"
-    )
+    keys, group, order = list(axis.keys), [*axis.keys, CHUNK], list(axis.order)
+    used = list(dict.fromkeys([*order, *columns]))
+    key_fields = [df.schema[c] for c in group]
 
-    def compose(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK)
-        state, before = initial, []
-        for given, exits in zip(pdf["_in"], pdf["_out"]):
-            before.append(state)
-            state = dict(zip(given, exits)).get(state, state)
-        result = pdf[group].copy()
-        result["_entry"] = before
-        return result
+    table_schema = t.StructType(
+        [*key_fields, t.StructField("_in", t.ArrayType(state_type)), t.StructField("_out", t.ArrayType(state_type))]
+    )
+    table_arrow = to_arrow_schema(table_schema)
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_group(batches, group):
+            pdf = rows.select(used).to_pandas()
+            given = list(dict.fromkeys(entries(pdf)))
+            exits = [step(pdf, s)[-1] for s in given]
+            record = {c: [rows.column(c)[0].as_py()] for c in group} | {"_in": [given], "_out": [exits]}
+            yield pa.RecordBatch.from_pydict(record, schema=table_arrow)
+
+    sliced = df.select(*dict.fromkeys([*group, *used])).repartition(*group)
+    tables = sliced.sortWithinPartitions(*group, *order).mapInArrow(table, table_schema)
+
+    start_schema = t.StructType([*key_fields, t.StructField("_entry", state_type)])
+    start_arrow = to_arrow_schema(start_schema)
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, initial
+        for batch in batches:
+            rows, before = batch.to_pydict(), []
+            for key, given, exits in zip(zip(*[rows[k] for k in keys]), rows["_in"], rows["_out"]):
+                if key != current:
+                    current, state = key, initial
+                before.append(state)
+                state = dict(zip(given, exits)).get(state, state)
+            record = {c: rows[c] for c in group} | {"_entry": before}
+            yield pa.RecordBatch.from_pydict(record, schema=start_arrow)
 
     # one row per chunk: a stream of 10^11 rows has about a million of them
-    starts = tables.groupBy(*axis.keys).applyInPandas(compose, f"{ddl(group)}, _entry {state_type}")
-
-    def replay(key, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        result = rows[[*group, *order]].copy()
-        result[out] = step(rows, start["_entry"].iloc[0])
-        return result
-
-    states = (
-        slim.groupBy(*group)
-        .cogroup(starts.groupBy(*group))
-        .applyInPandas(replay, f"{ddl(group)}, {ddl(order)}, {out} {state_type}")
+    starts = tables.repartition(*keys).sortWithinPartitions(*group).mapInArrow(compose, start_schema)
+
+    replay_schema = t.StructType([*df.schema.fields, t.StructField(out, state_type)])
+    replay_arrow = to_arrow_schema(replay_schema)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_group(batches, group):
+            states = step(rows.select(used).to_pandas(), rows.column("_entry")[0].as_py())
+            rows = rows.drop_columns(["_entry"]).append_column(
+                out, pa.array(states, replay_arrow.field(out).type)
+            )
+            yield from rows.select(replay_arrow.names).cast(replay_arrow).combine_chunks().to_batches()
+
+    joined = df.join(starts, group).repartition(*group)
+    return joined.select(*df.columns, "_entry").sortWithinPartitions(*group, *order).mapInArrow(
+        replay, replay_schema
     )
-    return df.join(states, [*group, *order])

@@ -1,7 +1,7 @@
 """Re-ranking of retrieved passages: semantic and lexical blend, optional pair scorer.
 
-Candidates of a query are at most k. They are shuffled once into one array per query; scoring
-unfolds and refolds that array inside its partition.
+Candidates of a query are at most k and travel as one array per query; only queries that passed
+the gate are unfolded to rows, scored and folded back.
 """
 
 from __future__ import annotations
@@ -12,19 +12,13 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as T
 
-PASSAGE_FIELDS = ["passage_id", "edition", "work", "section", "item", "text", "keywords"]
+# fields a candidate carries from the passage table; texts are joined for ranking only
+META = ["edition", "work", "section", "item"]
 
 
 def with_keywords(passages: DataFrame) -> DataFrame:
-    """Passages with their keyword set, computed once per passage rather than per candidate."""
-    return passages.withColumn("keywords", T.keyword_set(F.col("text")))
-
-
-def candidate_arrays(hits: DataFrame, passages: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per query with `cands`, sorted by retrieval rank."""
-    joined = hits.join(passages.select(*PASSAGE_FIELDS), "passage_id")
-    body = F.struct("rank", "score", *PASSAGE_FIELDS)
-    return joined.groupBy(*keys).agg(F.array_sort(F.collect_list(body)).alias("cands"))
+    """Passage texts with their keyword set, computed once per passage rather than per candidate."""
+    return passages.select("passage_id", "text", T.keyword_set(F.col("text")).alias("keywords"))
 
 
 def best_dual(cands: Column, k: int) -> Column:
@@ -61,24 +55,28 @@ def final_score(
 
 
 def _regroup(rows: DataFrame, keys: list[str], carried: list[str], body: Column, out: str) -> DataFrame:
-    """Back to one row per query. The rows are still partitioned by the keys: no shuffle."""
+    """Back to one row per query; a group holds at most k candidates."""
     return rows.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carried], F.array_sort(F.collect_list(body)).alias(out)
     )
 
 
 def rerank(
-    df: DataFrame, query_text: str, keys: list[str], settings: C.Settings = C.Settings(),
-    out: str = "ranked",
+    df: DataFrame, passages: DataFrame, query_text: str, keys: list[str],
+    settings: C.Settings = C.Settings(), out: str = "ranked",
 ) -> DataFrame:
-    """Replace `cands` by `out`: candidates with semantic, lexical and final score, best first.
+    """Replace `cands` by `out`: candidates with text, semantic, lexical and final score, best first.
 
     Ties keep the retrieval order. Scores are plain columns of candidate rows, so each is
     computed once inside generated code.
     """
     carried = [c for c in df.columns if c not in (*keys, "cands")]
     rows = df.withColumn("_qset", T.keyword_set(F.col(query_text)))
-    rows = rows.select(*keys, *carried, "_qset", F.inline("cands").alias("rank", "score", *[f"_{f}" for f in PASSAGE_FIELDS]))
+    rows = rows.select(*keys, *carried, "_qset", F.inline("cands").alias("rank", "score", "passage_id", *[f"_{m}" for m in META]))
+    texts = with_keywords(passages).select(
+        "passage_id", F.col("text").alias("_text"), F.col("keywords").alias("_keywords")
+    )
+    rows = rows.join(texts, "passage_id")
     rows = rows.withColumns(
         {
             "_semantic": T.clamp01(F.col("score")),
@@ -95,7 +93,7 @@ def rerank(
     body = F.struct(
         (-F.col("_final")).alias("order"), "rank", F.col("_final").alias("final"),
         F.col("_semantic").alias("semantic"), F.col("_lexical").alias("lexical"),
-        *[F.col(f"_{f}").alias(f) for f in PASSAGE_FIELDS if f != "keywords"],
+        "passage_id", *[F.col(f"_{m}").alias(m) for m in (*META, "text")],
     )
     return _regroup(rows, keys, carried, body, out)
 
@@ -125,7 +123,7 @@ def blend_pair_scores(
     rows = rows.withColumn(
         "_final", F.when(F.col("_pos") < n, blended).otherwise(F.col("_c.final"))
     )
-    fields = ["semantic", "lexical", *[f for f in PASSAGE_FIELDS if f != "keywords"]]
+    fields = ["semantic", "lexical", "passage_id", *META, "text"]
     body = F.struct(
         (-F.col("_final")).alias("order"), (F.col("_pos") + 1).alias("rank"),
         F.col("_final").alias("final"), *[F.col(f"_c.{f}").alias(f) for f in fields],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .. import config as C
 from .. import lexicons as L
@@ -215,7 +216,7 @@ def overlap_trim_exact(
 
     df = ordered.state_scan(
         df, axis, lambda rows: list(range(limit + 1)), step, "dropped",
-        ["_prev", text], 0, "int",
+        ["_prev", text], 0, IntegerType(),
     )
     nw = T.words(F.col(text))
     rest = F.slice(nw, F.col("dropped") + 1, F.greatest(F.size(nw), F.lit(1)))

@@ -11,27 +11,29 @@ from ..functions import vectors as V
 from ..operators import detect, knn, live, records, rerank, router, sentences, triage
 
 
-def retrieve(
+def candidates(
     queries: DataFrame, passages: DataFrame, keys: list[str], text: str,
     embedder=None, k: int = C.TOP_K,
 ) -> DataFrame:
-    """Query keys, passage_id, score, rank. Passages may already carry `vec`."""
+    """The queries with `cands`, their k nearest passages. Passages may already carry `vec`."""
     embedder = embedder or V.BowEmbedder()
     corpus = passages if "vec" in passages.columns else passages.withColumn(
         "vec", V.embed_column(embedder, F.col("text"), False)
     )
-    return knn.knn_topk(
-        queries, corpus.select("passage_id", "vec"), keys, "passage_id", query_vec=text, k=k,
-        dim=embedder.dim, encode=embedder.encode,
+    carry = [c for c in queries.columns if c not in keys]
+    return knn.knn_lists(
+        queries, corpus.select("passage_id", "vec", *rerank.META), keys, "passage_id",
+        query_vec=text, k=k, carry=carry, meta=rerank.META, dim=embedder.dim, encode=embedder.encode,
     )
 
 
-def candidates(
+def retrieve(
     queries: DataFrame, passages: DataFrame, keys: list[str], text: str,
     embedder=None, k: int = C.TOP_K,
 ) -> DataFrame:
-    hits = retrieve(queries, passages, keys, text, embedder, k)
-    return rerank.candidate_arrays(hits, rerank.with_keywords(passages), keys)
+    """Query keys, rank, score and passage_id as rows."""
+    found = candidates(queries.select(*keys, text), passages, keys, text, embedder, k)
+    return found.select(*keys, F.inline("cands")).drop(*rerank.META)
 
 
 def detect_windows(
@@ -42,15 +44,15 @@ def detect_windows(
     """Result records of context windows.
 
     `rules`, `hybrid` and `model` gate before retrieval, so only passed windows are searched; the
-    `semantic` gate needs the candidates and reuses them for ranking.
+    `semantic` gate needs the candidates and reuses them for ranking. With a corpus of one shard
+    nothing is shuffled before the gate.
     """
     text = "candidate_text"
     if detector == "semantic":
         k = max(settings.top_k, settings.concordance.search_k)
-        cands = candidates(windows, passages, keys, text, embedder, k)
-        gated = detect.passed(
-            detect.semantic_gate(windows, cands, keys, settings), settings.quote_threshold
-        ).withColumn("cands", F.slice("cands", 1, settings.top_k))
+        found = candidates(windows, passages, keys, text, embedder, k)
+        gated = detect.passed(detect.semantic_gate(found, settings), settings.quote_threshold)
+        gated = gated.withColumn("cands", F.slice("cands", 1, settings.top_k))
     else:
         if detector == "rules":
             scored = detect.rule_gate(windows)
@@ -61,9 +63,8 @@ def detect_windows(
         else:
             raise ValueError(f"unknown detector: {detector}")
         gated = detect.passed(scored, settings.quote_threshold)
-        cands = candidates(gated, passages, keys, text, embedder, settings.top_k)
-        gated = gated.join(cands, keys)
-    ranked = rerank.rerank(gated.filter(F.col("cands").isNotNull()), text, keys, settings)
+        gated = candidates(gated, passages, keys, text, embedder, settings.top_k)
+    ranked = rerank.rerank(gated, passages, text, keys, settings)
     return records.surfaced(records.build_records(ranked, keys, settings), settings.include_ignored)
 
 
@@ -86,8 +87,7 @@ def search(
     k = C.clamp_top_k(k)
     pool = passages.filter(F.col("edition") == edition) if edition and prefilter else passages
     fetch = 2 * k if edition and not prefilter else k
-    found = candidates(queries, pool, [query_id], text, embedder, fetch)
-    df = queries.join(found, query_id)
+    df = candidates(queries, pool, [query_id], text, embedder, fetch)
     if edition:
         code = edition.upper()
         df = df.withColumn(
@@ -95,11 +95,13 @@ def search(
         )
     if not ranked:
         df = df.select(query_id, F.posexplode("cands").alias("pos", "c"))
-        return df.select(
+        df = df.select(
             query_id, (F.col("pos") + 1).alias("rank"), "c.edition", "c.work", "c.section", "c.item",
-            "c.text", "c.score",
+            "c.passage_id", "c.score",
         )
-    df = rerank.rerank(df.withColumn("quote_prob", F.lit(0.90)), text, [query_id], settings)
+        return df.join(passages.select("passage_id", "text"), "passage_id").drop("passage_id")
+    df = df.withColumn("quote_prob", F.lit(0.90))
+    df = rerank.rerank(df, passages, text, [query_id], settings)
     df = df.select(query_id, F.posexplode(F.slice("ranked", 1, k)).alias("pos", "c"))
     return df.select(
         query_id, (F.col("pos") + 1).alias("rank"), "c.edition", "c.work", "c.section", "c.item",
@@ -114,10 +116,10 @@ def triage_rows(
     """Suggestions for every non-blank row; ranking runs whatever the gate says."""
     windows = sentences.boundary_windows(rows, file, "line")
     keys = [file, "line"]
-    cands = candidates(windows, passages, keys, "candidate_text", embedder, settings.top_k)
-    scored = detect.semantic_gate(windows, cands, keys, settings)
+    found = candidates(windows, passages, keys, "candidate_text", embedder, settings.top_k)
+    scored = detect.semantic_gate(found, settings)
     scored = scored.withColumns({"start_time": F.col("line") * 1.0, "end_time": F.col("line") * 1.0})
-    ranked = rerank.rerank(scored.filter(F.col("cands").isNotNull()), "candidate_text", keys, settings)
+    ranked = rerank.rerank(scored, passages, "candidate_text", keys, settings)
     found = triage.suggestions(records.build_records(ranked, keys, settings))
     fields = ["suggested_label", "suggested_verse", "confidence", "confidence_band",
               "quote_probability", "top_candidate"]
@@ -140,8 +142,8 @@ def detect_utterances(
         key, "candidate_text", F.posexplode(T.query_variants(F.col("candidate_text"))).alias("variant_no", "variant")
     )
     keys = [key, "variant_no"]
-    cands = candidates(variants, passages, keys, "variant", embedder, settings.top_k)
-    ranked = rerank.rerank(variants.join(cands, keys), "candidate_text", keys, settings)
+    found = candidates(variants, passages, keys, "variant", embedder, settings.top_k)
+    ranked = rerank.rerank(found, passages, "candidate_text", keys, settings)
     best = F.get(F.col("ranked"), 0)
     per_variant = ranked.select(
         key, "variant_no", best["final"].alias("confidence"),

@@ -83,7 +83,7 @@ def file_words(files: DataFrame) -> DataFrame:
     )
     return packed.select(
         "stream_id", *[
-            F.transform("w", lambda x, f=f: x[f]).alias(name)
+            F.col("w").getField(f).alias(name)
             for f, name in [("word", "words"), ("start_time", "starts"), ("end_time", "ends")]
         ],
     )
