@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions import text as T
 
 REF = ["work", "section", "item"]
 
@@ -42,14 +41,26 @@ def pivot_editions(passages: DataFrame, editions: list[str]) -> DataFrame:
 
 
 def with_fallback(
-    refs: DataFrame, passages: DataFrame, ref_id: str, default: str = C.DEFAULT_EDITION
+    refs: DataFrame, passages: DataFrame, ref_id: str, default: str | Column = C.DEFAULT_EDITION
 ) -> DataFrame:
-    """Requested edition, else the default, else the first by name. Unmatched refs are kept."""
-    table = passages.select(*REF, F.col("edition").alias("found_edition"), F.col("text").alias("_t"))
-    joined = refs.join(table, REF, "left")
+    """Requested edition, else the default, else the first by name. Unmatched refs are kept.
+
+    Rows without a work get a join key of their own, so they do not all meet in one partition.
+    """
+    default = F.lit(default) if isinstance(default, str) else default
+    table = passages.select(
+        F.col("work").alias("_work"), "section", "item", F.col("edition").alias("found_edition"),
+        F.col("text").alias("_t"),
+    )
+    own_key = F.concat(F.lit("\u0000"), F.col(ref_id).cast("string"))
+    joined = (
+        refs.withColumn("_default", default)
+        .withColumn("_work", F.coalesce("work", own_key))
+        .join(table, ["_work", "section", "item"], "left")
+    )
     priority = F.struct(
         F.when(F.col("found_edition") == F.col("edition"), 0)
-        .when(F.col("found_edition") == default, 1)
+        .when(F.col("found_edition") == F.col("_default"), 1)
         .otherwise(2),
         "found_edition",
     )
@@ -119,7 +130,3 @@ def step_target(anchors: DataFrame, passages: DataFrame) -> DataFrame:
     return df.withColumn("_t", target).withColumns(
         {"to_section": F.col("_t.s"), "to_item": F.col("_t.i")}
     ).drop("_t", "_here", "_before", "max_section")
-
-
-def reference_column() :
-    return T.reference(F.col("work"), F.col("section"), F.col("item"))

@@ -59,90 +59,67 @@ def classify(df: DataFrame, text: str) -> DataFrame:
     ).drop("_low", "_swap", "_action")
 
 
-def resolve_explicit(
-    classified: DataFrame, passages: DataFrame, utt_id: str, text: str,
+ANCHOR = {"a_edition": "string", "a_work": "string", "a_section": "int", "a_item": "int"}
+
+
+def route(
+    utterances: DataFrame, passages: DataFrame, utt_id: str = "utt_id", text: str = "text",
     default: str = C.DEFAULT_EDITION, broad_edition: bool = False,
 ) -> DataFrame:
-    """Direct lookup of spoken references, with edition fallback and a reason when unresolved."""
-    df = classified.filter(F.col("intent") == EXPLICIT_REF)
-    df = R.resolve_works(df, "ref_token", "work")
-    wanted = F.coalesce("named", F.lit(default))
+    """Classify and resolve every utterance in one pass over the texts.
+
+    Spoken references and navigation targets become one requested (edition, work, section, item)
+    per row, so a single lookup serves both. References fall back to the default edition and then
+    to any; steps keep the anchor's edition or take the first by name; a swap must find the asked
+    edition. Anchors are optional columns `a_edition, a_work, a_section, a_item` of the row.
+    """
+    have = set(utterances.columns)
+    df = utterances.withColumns(
+        {c: F.lit(None).cast(ty) for c, ty in ANCHOR.items() if c not in have}
+    )
+    df = classify(df, text)
+    asked = F.col("named")
     if broad_edition:
-        wanted = F.coalesce("named", R.broadly_named_edition(F.col(text)), F.lit(default))
+        asked = F.coalesce("named", R.broadly_named_edition(F.col(text)))
+    explicit, nav = F.col("intent") == EXPLICIT_REF, F.col("intent") == NAV
     df = df.select(
-        utt_id, "work", F.col("ref_section").alias("section"), F.col("ref_item").alias("item"),
-        "ref_token", wanted.alias("edition"),
-    )
-    df = lookup.with_fallback(df, passages, utt_id, default)
-    reason = F.when(F.col("work").isNull(), F.concat(F.lit("unknown work: "), "ref_token")).when(
-        F.col("found_edition").isNull(), "reference out of range"
-    )
-    return df.select(
-        utt_id, F.lit(EXPLICIT_REF).alias("intent"), F.lit(None).cast("string").alias("action"),
-        F.coalesce("found_edition", "edition").alias("edition"), "work", "section", "item",
-        F.col("passage_text"), "available", reason.alias("reason"),
-    )
-
-
-def resolve_nav(
-    classified: DataFrame, passages: DataFrame, utt_id: str, default: str = C.DEFAULT_EDITION
-) -> DataFrame:
-    """Navigation from the anchor columns `a_edition, a_work, a_section, a_item` of each row."""
-    df = classified.filter(F.col("intent") == NAV).select(
-        utt_id, "action", "swap", F.col("a_edition").alias("edition"), F.col("a_work").alias("work"),
-        F.col("a_section").alias("section"), F.col("a_item").alias("item"),
+        utt_id, "intent", "action", "swap", "ref_section", "ref_item",
+        F.when(explicit, F.col("ref_token")).alias("ref_token"),
+        F.when(explicit, F.coalesce(asked, F.lit(default))).otherwise(F.col("a_edition")).alias("_edition"),
+        F.when(nav, F.col("a_work")).alias("work"), F.col("a_section").alias("section"),
+        F.col("a_item").alias("item"),
     )
-    steps = lookup.step_target(df, passages)
-    is_swap = F.col("action") == "swap_translation"
-    goal = steps.select(
-        utt_id, "action", "swap", "work",
-        F.col("edition").alias("_anchor"),
-        F.coalesce(F.when(is_swap, F.col("swap")), "edition").alias("edition"),
-        F.when(is_swap, F.col("section")).otherwise(F.col("to_section")).alias("section"),
-        F.when(is_swap, F.col("item")).otherwise(F.col("to_item")).alias("item"),
+    df = R.resolve_works(df, "ref_token", "_spoken")
+    df = lookup.step_target(df, passages)
+    swap = nav & (F.col("action") == "swap_translation")
+    goal = df.select(
+        utt_id, "intent", "action", "ref_token",
+        F.when(nav, F.col("_edition")).alias("_anchor"),
+        F.coalesce(F.when(swap, F.col("swap")), "_edition").alias("edition"),
+        F.when(explicit, F.col("_spoken")).otherwise(F.col("work")).alias("work"),
+        F.when(explicit, F.col("ref_section")).when(swap, F.col("section"))
+        .otherwise(F.col("to_section")).alias("section"),
+        F.when(explicit, F.col("ref_item")).when(swap, F.col("item"))
+        .otherwise(F.col("to_item")).alias("item"),
     )
-    # steps fall back to any edition in name order; a swap must find the asked edition
-    found = lookup.with_fallback(goal, passages, utt_id, default="")
-    hit = F.when(is_swap & (F.col("found_edition") != F.col("edition")), None).otherwise(
-        F.col("found_edition")
+    fallback = F.when(F.col("intent") == EXPLICIT_REF, default).otherwise("")
+    found = lookup.with_fallback(goal, passages, utt_id, fallback)
+    missed_swap = (F.col("action") == "swap_translation") & (F.col("found_edition") != F.col("edition"))
+    found = found.withColumn(
+        "_hit", F.when(F.coalesce(missed_swap, F.lit(False)), None).otherwise(F.col("found_edition"))
     )
-    found = found.withColumn("_hit", hit)
+    hit = F.col("_hit").isNotNull()
     reason = (
-        F.when(F.col("_anchor").isNull(), "no anchor to navigate from")
-        .when(is_swap & F.col("_hit").isNull(), "edition not available")
-        .when(F.col("_hit").isNull(), "out of range")
+        F.when(explicit & F.col("work").isNull(), F.concat(F.lit("unknown work: "), "ref_token"))
+        .when(explicit & ~hit, "reference out of range")
+        .when(nav & F.col("_anchor").isNull(), "no anchor to navigate from")
+        .when(swap & ~hit, "edition not available")
+        .when(nav & ~hit, "out of range")
     )
-    ok = F.col("_hit").isNotNull()
+    shown = hit | explicit
     return found.select(
-        utt_id, F.lit(NAV).alias("intent"), "action", F.col("_hit").alias("edition"),
-        F.when(ok, F.col("work")).alias("work"), F.when(ok, F.col("section")).alias("section"),
-        F.when(ok, F.col("item")).alias("item"),
-        F.when(ok, F.col("passage_text")).alias("passage_text"), "available", reason.alias("reason"),
-    )
-
-
-def route(
-    utterances: DataFrame, passages: DataFrame, utt_id: str = "utt_id", text: str = "text",
-    default: str = C.DEFAULT_EDITION,
-) -> DataFrame:
-    """Classify and resolve every utterance; anchors are optional columns of the row."""
-    have = set(utterances.columns)
-    types = {"a_edition": "string", "a_work": "string", "a_section": "int", "a_item": "int"}
-    df = utterances.withColumns(
-        {c: F.lit(None).cast(ty) for c, ty in types.items() if c not in have}
-    )
-    df = classify(df, text)
-    explicit = resolve_explicit(df, passages, utt_id, text, default)
-    nav = resolve_nav(df, passages, utt_id, default)
-    rest = df.filter(F.col("intent").isin(CLEAR, CUE)).select(
-        utt_id, "intent",
-        *[
-            F.lit(None).cast(ty).alias(c)
-            for c, ty in [
-                ("action", "string"), ("edition", "string"), ("work", "string"), ("section", "int"),
-                ("item", "int"), ("passage_text", "string"), ("available", "array<string>"),
-                ("reason", "string"),
-            ]
-        ],
+        utt_id, "intent", "action",
+        F.when(explicit, F.coalesce("_hit", "edition")).otherwise(F.col("_hit")).alias("edition"),
+        *[F.when(shown, F.col(c)).alias(c) for c in ("work", "section", "item")],
+        F.when(hit, F.col("passage_text")).alias("passage_text"), "available", reason.alias("reason"),
     )
-    return explicit.unionByName(nav).unionByName(rest)
