@@ -246,7 +246,7 @@ records AS (SELECT doc_id, sent_id, candidate_text AS transcript, {R4("quote_pro
 
 def _detected(spark, sf, **kw):
     docs = B.table(spark, sf, "documents").select("doc_id", "text")
-    windows = SE.document_windows(docs).withColumns(
+    windows = SE.document_sentences(docs).withColumns(
         {"start_time": F.col("sent_id") * 1.0, "end_time": F.col("sent_id") + 1.0}
     )
     return D.detect_windows(windows, B.passages(spark, sf), ["doc_id", "sent_id"], **kw)

@@ -21,9 +21,7 @@ SELECT doc_id, (i - 1)::BIGINT AS sent_id, ss[i] AS candidate_text
 FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)
 """)
 def document_sentences(spark, sf):
-    return SE.document_windows(B.table(spark, sf, "documents")).select(
-        "doc_id", "sent_id", "candidate_text"
-    )
+    return SE.document_sentences(B.table(spark, sf, "documents").select("doc_id", "text"))
 
 
 _WINDOW_SQL = rf"""

@@ -115,7 +115,6 @@ def knn_lists(
                 F.col(corpus_vec).cast("array<double>").alias("_v"), *meta,
             ).alias("r"),
         )
-        .filter(F.size("r._v") == dim)
         .groupBy("_shard")
         .agg(F.collect_list("r").alias("rows"))
         .select(

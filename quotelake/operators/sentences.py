@@ -100,6 +100,14 @@ def _next_words(df: DataFrame, axis: Axis, n: int) -> DataFrame:
     )
 
 
+def document_sentences(documents: DataFrame, text: str = "text") -> DataFrame:
+    """One row per sentence of documents kept in one row each, without window texts."""
+    df = documents.withColumn("_sents", T.sentences(F.col(text))).drop(text)
+    keep = [c for c in df.columns if c != "_sents"]
+    df = df.select(*keep, F.posexplode("_sents").alias("sent_id", "candidate_text"))
+    return df.withColumn("sent_id", F.col("sent_id").cast("long"))
+
+
 def document_windows(
     documents: DataFrame, doc: str = "doc_id", text: str = "text", next_words: int = C.NEXT_WORDS
 ) -> DataFrame:
