@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -10,7 +9,8 @@ from .. import lexicons as L
 from ..functions import signals as S
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import detect, records, sentences as SE, synthetic
+from ..operators import detect, ordered, records, sentences as SE, synthetic
+from ..operators.ordered import Axis
 from . import bindings as B
 from .bindings import query
 
@@ -119,11 +119,12 @@ def word_sentences(spark, sf):
 
 def _overlapping(spark, sf):
     """Turns that repeat the last words of the turn before, as overlapping audio chunks do."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    before = T.words(F.lag("text", 1, "").over(w))
+    axis = Axis(("conv_id",), ("turn",))
+    turns = ordered.carry_last(B.table(spark, sf, "conversations"), axis, {"_before": F.col("text")})
+    before = T.words(F.coalesce("_before", F.lit("")))
     n = F.least(F.size(before), (F.col("turn") % 13).cast("int"))
     head = F.array_join(F.slice(before, F.size(before) - n + 1, n), " ")
-    return B.table(spark, sf, "conversations").select(
+    return turns.select(
         "conv_id", "turn", F.trim(F.concat(head, F.lit(" "), "text")).alias("text")
     )
 
