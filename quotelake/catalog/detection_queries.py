@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from .. import lexicons as L
-from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import detect, knn, live, records, rerank, sentences as SE
 from ..plans import detection as D

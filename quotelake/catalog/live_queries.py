@@ -82,7 +82,7 @@ _SPOKEN_RE2 = B.lit("(?i)" + B.START + L.SPOKEN_REF_PATTERN[len(r"(?i)\b"):-2] +
 _OPENER = B.lit(L.QUOTE_OPENER_PATTERN[:-2] + B.END)
 
 
-@query(rf"""
+ACCUMULATED = rf"""
 WITH RECURSIVE {B.CUE_SEGMENTS},
 tx AS (SELECT stream_id, seg_id, CASE WHEN (stream_id + seg_id * 3) % 11 = 0 THEN 'next verse'
   WHEN (stream_id + seg_id * 3) % 2 = 0 THEN regexp_replace(text, '[.!?]+\s*$', '') ELSE text END AS text FROM cue_segments),
@@ -99,7 +99,10 @@ f AS (
     CASE WHEN rel.other OR f.other OR f.fin OR rel.opener THEN rel.seg_id ELSE f.first_seq END, rel.fin,
     CASE WHEN rel.other OR f.other OR f.fin OR rel.opener THEN 1 ELSE f.n_parts + 1 END
   FROM rel JOIN f ON rel.stream_id = f.stream_id AND rel.r = f.r + 1),
-l AS (SELECT * FROM f WHERE NOT other QUALIFY row_number() OVER (PARTITION BY stream_id, quote_no ORDER BY r DESC) = 1)
+l AS (SELECT * FROM f WHERE NOT other QUALIFY row_number() OVER (PARTITION BY stream_id, quote_no ORDER BY r DESC) = 1)"""
+
+
+@query(ACCUMULATED + """
 SELECT stream_id, quote_no, first_seq, seg_id AS last_seq, acc AS candidate_text, n_parts::INTEGER AS n_parts FROM l
 """)
 def cue_accumulation(spark, sf):

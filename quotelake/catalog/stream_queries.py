@@ -60,8 +60,21 @@ def stream_queue_sizes(spark, sf):
     )
 
 
+# a quotation is emitted once its end mark, an opener or another intent has closed it
+@query(live_queries.ACCUMULATED + """
+SELECT stream_id, acc AS text FROM l WHERE fin OR EXISTS (SELECT 1 FROM rel WHERE rel.stream_id = l.stream_id AND rel.r > l.r)
+""")
+def stream_quotes(spark, sf):
+    rows = _session_rows(spark, sf).filter("out_kind = 'quote'")
+    return rows.select(F.col("stream_id").cast("long").alias("stream_id"), "text")
+
+
 @query()
 def stream_live_session(spark, sf):
+    return _session_rows(spark, sf)
+
+
+def _session_rows(spark, sf):
     turns = live_queries._routed_turns_of(_stream(spark, sf, "conversations"))
     none = F.lit(None)
     events = turns.select(
@@ -83,9 +96,14 @@ def stream_utterances(spark, sf):
     return _finish(stateful.assemble_utterances(rows), "utterances")
 
 
-@query()
+@query(f"""
+WITH {B.LIVE_LOG},
+w AS (SELECT kind, time_bucket(INTERVAL 86400 SECONDS, ts, TIMESTAMP '1970-01-01') AS chunk_start, count(*) AS n, sum(value) / sum(item) > 0.95 AS lagging FROM log GROUP BY ALL)
+SELECT * FROM w WHERE chunk_start + INTERVAL 86400 SECONDS <= (SELECT max(ts) FROM log) - INTERVAL 30 SECONDS
+""")
 def stream_progress(spark, sf):
     """Windowed metrics in append mode: a window is written once the watermark has passed it."""
     log = B.live_log_of(_stream(spark, sf, "events"))
     log = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 seconds")
-    return _finish(live.progress_metrics(log, ["kind"], "ts", "value", "item", 86400.0), "progress")
+    out = _finish(live.progress_metrics(log, ["kind"], "ts", "value", "item", 86400.0), "progress")
+    return out.select("kind", F.col("chunk_start").cast("timestamp_ntz").alias("chunk_start"), "n", "lagging")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import config as C
 from .. import lexicons as L
 from ..functions import signals as S
 from ..functions import text as T

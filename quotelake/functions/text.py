@@ -71,18 +71,25 @@ def clamp01(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
+def without_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s", "")
+
+
 def lexical_score(
-    query_text: Column, query_set: Column, passage_set: Column,
+    shared: Column, n_query: Column, n_passage: Column, low: Column, squeezed: Column,
     work: Column, section: Column, item: Column,
 ) -> Column:
-    """Half Jaccard, half overlap, plus 0.10 for a spoken work name and 0.10 for `section:item`."""
-    low = F.lower(F.coalesce(query_text, F.lit("")))
-    base = 0.5 * jaccard(query_set, passage_set) + 0.5 * overlap_coefficient(query_set, passage_set)
+    """Half Jaccard, half overlap, plus 0.10 for a spoken work name and 0.10 for `section:item`.
+
+    `shared` is the number of common keywords of two sets of the given sizes; `low` is the
+    lower-cased query and `squeezed` the same without whitespace.
+    """
+    union, smaller = n_query + n_passage - shared, F.least(n_query, n_passage)
+    jac = F.when(union == 0, F.lit(0.0)).otherwise(shared / F.greatest(union, F.lit(1)))
+    ovl = F.when(smaller == 0, F.lit(0.0)).otherwise(shared / F.greatest(smaller, F.lit(1)))
     named = F.when((work != "") & F.contains(low, F.lower(work)), 0.10).otherwise(0.0)
-    located = F.when(
-        F.contains(F.regexp_replace(low, r"\s", ""), F.concat_ws(":", section, item)), 0.10
-    ).otherwise(0.0)
-    return clamp01(base + named + located)
+    located = F.when(F.contains(squeezed, F.concat_ws(":", section, item)), 0.10).otherwise(0.0)
+    return clamp01(0.5 * jac + 0.5 * ovl + named + located)
 
 
 def reference(work: Column, section: Column, item: Column) -> Column:

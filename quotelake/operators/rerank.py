@@ -71,21 +71,28 @@ def rerank(
     computed once inside generated code.
     """
     carried = [c for c in df.columns if c not in (*keys, "cands")]
-    rows = df.withColumn("_qset", T.keyword_set(F.col(query_text)))
-    rows = rows.select(*keys, *carried, "_qset", F.inline("cands").alias("rank", "score", "passage_id", *[f"_{m}" for m in META]))
+    low = F.lower(F.coalesce(F.col(query_text), F.lit("")))
+    rows = df.withColumns(
+        {"_qset": T.keyword_set(F.col(query_text)), "_low": low, "_squeezed": T.without_blanks(low)}
+    )
+    fields = ["rank", "score", "passage_id", *[f"_{m}" for m in META]]
+    rows = rows.select(
+        *keys, *carried, "_qset", "_low", "_squeezed", F.inline("cands").alias(*fields)
+    )
     texts = with_keywords(passages).select(
         "passage_id", F.col("text").alias("_text"), F.col("keywords").alias("_keywords")
     )
-    rows = rows.join(texts, "passage_id")
-    rows = rows.withColumns(
+    rows = rows.join(texts, "passage_id").withColumns(
         {
+            "_shared": F.size(F.array_intersect("_qset", "_keywords")),
             "_semantic": T.clamp01(F.col("score")),
-            "_lexical": T.lexical_score(
-                F.col(query_text), F.col("_qset"), F.col("_keywords"), F.col("_work"),
-                F.col("_section"), F.col("_item"),
-            ),
         }
     )
+    lexical = T.lexical_score(
+        F.col("_shared"), F.size("_qset"), F.size("_keywords"), F.col("_low"), F.col("_squeezed"),
+        F.col("_work"), F.col("_section"), F.col("_item"),
+    )
+    rows = rows.withColumn("_lexical", lexical)
     prob = F.col("quote_prob") if "quote_prob" in carried else None
     rows = rows.withColumn(
         "_final", final_score(F.col("_semantic"), F.col("_lexical"), settings.weights, quote_prob=prob)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from .. import config as C
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions import references as R

@@ -70,6 +70,40 @@ def test_greedy_lines_cover_all_words(spark):
     assert any(r["matched_trigger"] for r in lines)
 
 
+def test_line_ends_equal_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for f in range(25):
+        n = rng.randrange(0, 120)
+        words = ["w." if rng.random() < 0.12 else "w" for _ in range(n)]
+        at = sorted(rng.sample(range(n), min(n, rng.randrange(0, 8)))) if n else []
+        rows.append((f, words, [(a, f"t{a}") for a in at]))
+    files = spark.createDataFrame(rows, "f int, words array<string>, breaks array<struct<at:int,phrase:string>>")
+    thin = {r["f"]: [b["at"] for b in r["breaks"]] for r in labels.thin_breaks(files).collect()}
+    got = {}
+    for r in labels.build_lines(labels.thin_breaks(files)).orderBy("f", "line_no").collect():
+        got.setdefault(r["f"], []).append((r["first_word"], r["next_word"], r["matched_trigger"]))
+    for f, words, breaks in rows:
+        kept = []
+        for a, _ in breaks:
+            if not kept or a - kept[-1] >= 5:
+                kept.append(a)
+        assert thin[f] == kept
+        cursor, want = 0, []
+        while cursor < len(words):
+            ahead = [a for a in kept if a > cursor]
+            if ahead and ahead[0] - cursor <= 14:
+                end = ahead[0]
+            else:
+                stops = [j + 1 for j in range(cursor + 4, min(cursor + 14, len(words))) if words[j].endswith(".")]
+                end = stops[0] if stops else min(cursor + 9, len(words))
+            want.append((cursor, end, f"t{cursor}" if cursor in kept else ""))
+            cursor = end
+        assert got.get(f, []) == want
+
+
 def test_ragged_csv(spark, tmp_path):
     path = _write(tmp_path / "r.csv", "text,verse,,\nplain,,,positive\nwith, a comma,John 1:1,,negative\n\"quoted, one\",,,\nshort\n,,,\n")
     rows = tables.read_ragged_csv(spark, path).orderBy("line").collect()
