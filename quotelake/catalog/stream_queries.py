@@ -98,7 +98,7 @@ def stream_utterances(spark, sf):
 
 @query(f"""
 WITH {B.LIVE_LOG},
-w AS (SELECT kind, time_bucket(INTERVAL 86400 SECONDS, ts, TIMESTAMP '1970-01-01') AS chunk_start, count(*) AS n, sum(value) / sum(item) > 0.95 AS lagging FROM log GROUP BY ALL)
+w AS (SELECT kind, time_bucket(INTERVAL 86400 SECONDS, ts, TIMESTAMP '1970-01-01') AS chunk_start, count(*) AS n, coalesce(sum(value) / nullif(sum(item), 0), 0) > 0.95 AS lagging FROM log GROUP BY ALL)
 SELECT * FROM w WHERE chunk_start + INTERVAL 86400 SECONDS <= (SELECT max(ts) FROM log) - INTERVAL 30 SECONDS
 """)
 def stream_progress(spark, sf):
