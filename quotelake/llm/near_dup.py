@@ -18,6 +18,7 @@ from quotelake.llm.components import components
 from quotelake.llm.words import shingle_sets
 
 WIDTH, SIMILARITY, GROUPS = 5, 75, 10
+BLOCK_ROWS, BLOCK_SHINGLES, SLICE = 128, 1 << 16, 4096
 SIGNATURE = "id long, n_shingles long, h1 long, h2 long, half array<long>"
 
 
@@ -131,8 +132,8 @@ def near_duplicates(
 
     Equal sets are one node from the start, so copies never meet in a bucket. Every member of a
     bucket is compared with the bucket's smallest id; buckets whose members are then still in more
-    than one component are compared pair by pair across components, so no link that joins two
-    components is left out, whatever the bucket's size.
+    than one component are compared in full, in blocks, so no link that joins two components is left
+    out, whatever the bucket's size.
 
     Null or empty texts have no shingles and stand alone. Rows with a null id take no part: they
     come back with a null component and kept true. A repeated id is one document with each of its
@@ -170,21 +171,75 @@ def near_duplicates(
 def _cross_links(
     docs: DataFrame, hubs: DataFrame, found: DataFrame, width: int, percent: int
 ) -> DataFrame:
-    """Links between different components that meet in a bucket of three or more."""
+    """Links between different components that meet in a bucket of three or more.
+
+    The members of such buckets form clusters (connected by buckets). A cluster is dealt into blocks,
+    and each pair of blocks is compared as a product of two incidence matrices, from which only links
+    come back.
+    """
     members = hubs.select("key", "id").unionByName(hubs.select("key", F.col("hub").alias("id")).distinct())
     placed = (
         members.join(found, F.col("id") == F.col("node"), "left")
         .select("key", "id", F.coalesce("component", "id").alias("component"))
     )
-    mixed_keys = (
+    open_keys = (
         placed.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("n > 2 and low < high").select("key")
+        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
+             F.min("id").alias("first"))
+        .where("n > 2 and low < high").select("key", "first")
+    )
+    open_rows = saved(
+        placed.join(open_keys, "key").select("id", "component", "first").distinct(), "open-rows"
+    )
+    clusters = components(open_rows.select(F.col("id").alias("u"), F.col("first").alias("v")))
+    # one document has one component and one cluster
+    ids = saved(
+        open_rows.select("id", "component").distinct()
+        .join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "open-ids",
+    )
+    chosen = docs.join(bounded_broadcast(ids.select("id"), ids.count()), "id", "left_semi")
+    sets = _sets(chosen, width).dropDuplicates(["id"]).join(ids, "id")
+    sets = saved(sets, "open-sets")
+    blocks = sets.groupBy("cluster").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).alias("blocks")
     )
-    open_rows = saved(placed.join(mixed_keys, "key", "left_semi"), "open-buckets")
-    other = open_rows.select("key", F.col("id").alias("v"), F.col("component").alias("component_v"))
-    pairs = (
-        open_rows.withColumnRenamed("id", "u").join(other, "key")
-        .where("component > component_v").select("u", "v").distinct()
+    dealt = (
+        sets.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(
+            "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+            (F.col("own") <= F.col("other")).alias("left"), "id", "component", "shingles",
+        )
     )
-    return _confirmed(docs, saved(pairs, "cross-pairs"), width, percent)
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(_block_links(percent), "u long, v long")
+
+
+def _block_links(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        left = group.column("left").to_numpy()
+        ids, parts = group.column("id").to_numpy(), group.column("component").to_numpy()
+        rows = group.column("shingles").combine_chunks()
+        sizes = np.diff(rows.offsets.to_numpy())
+        _, code, uses = np.unique(rows.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        shared = uses[code] > 1
+        owner, code = owner[shared], code[shared]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        column = np.cumsum(np.append(True, code[1:] != code[:-1])[:len(code)]) - 1
+        same = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+        a = np.flatnonzero(left)
+        b = a if same else np.flatnonzero(~left)
+        common = np.zeros((len(a), len(b)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+            i, j = np.searchsorted(column, [start, start + SLICE])
+            seen = np.zeros((len(ids), SLICE), np.float32)
+            seen[owner[i:j], column[i:j] - start] = 1
+            common += seen[a] @ seen[b].T
+        common = common.astype(np.int64)
+        union = sizes[a][:, None] + sizes[b][None, :] - common
+        hit = (100 * common >= percent * union) & (parts[a][:, None] != parts[b][None, :])
+        u, v = np.nonzero(hit)
+        return pa.table({"u": ids[a[u]], "v": ids[b[v]]})
+
+    return run

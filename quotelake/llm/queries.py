@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quotelake.llm.common import table
 from quotelake.llm.near_dup import near_duplicates
+from quotelake.llm.packing import pack_documents
+from quotelake.llm.pieces import piece_digests
+from quotelake.llm.secrets import find_secrets, span_digests
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack_documents(table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +32,9 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_secret_scan": op3_secret_scan,
+    "op7_vector_packing": op7_vector_packing,
     "op10_tensored_minhash": op10_tensored_minhash,
 }
 
