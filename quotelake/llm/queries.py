@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quotelake.llm.common import table
+from quotelake.llm.forest import vector_duplicates
+from quotelake.llm.langid import fit, identify, remainder
+from quotelake.llm.lines import dedup_lines
 from quotelake.llm.near_dup import near_duplicates
 from quotelake.llm.packing import pack_documents
 from quotelake.llm.pieces import piece_digests
 from quotelake.llm.secrets import find_secrets, span_digests
+from quotelake.llm.warc import round_trip
+
+
+def op1_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,23 +31,88 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = (remainder(F.col("doc_id")) == 2).alias("held_out")
+    model = fit(docs.where(remainder(F.col("doc_id")) != 2))
+    return identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return pack_documents(table(spark, sf_dir, "documents"), path, with_ids=False)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    return dedup_lines(docs).select(
+        "doc_id", F.size("dropped_lines").cast("long").alias("n_dropped"),
+        F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped"),
+        F.sha2(text.cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_forest": op1_embedding_forest,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
+    "op5_language_id": op5_language_id,
+    "op6_warc_round_trip": op6_warc_round_trip,
     "op7_vector_packing": op7_vector_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op10_tensored_minhash": op10_tensored_minhash,
 }
 
 ORACLE = {
+    "op1_embedding_forest": """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+), n as (
+  select vec_id, label, e, sqrt(list_dot_product(e, e)) as size from v
+  where vec_id is not null and label is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+), links as (
+  select a.vec_id as u, b.vec_id as v from n a join n b on a.label = b.label and a.vec_id <> b.vec_id
+  where a.size > 0 and b.size > 0 and list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98
+), reach(u, v) as (
+  select vec_id, vec_id from embeddings union select r.u, l.v from reach r join links l on l.u = r.v
+), least_of as (select u, min(v) as component_id from reach group by u),
+counts as (select u, count(*) as n_links from links group by u)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join least_of l on l.u = vec_id left join counts c on c.u = vec_id
+""",
+    "op8_line_dedup": r"""
+with parts as (
+  select doc_id, text, string_split(text, chr(10)) as p from documents
+), raw as (
+  select doc_id, unnest(range(0, len(p))) as place, unnest(p) as full_line from parts
+), lines as (
+  select doc_id, place, trim(full_line, ' ') as line from raw where length(trim(full_line, ' ')) >= 20
+), firsts as (
+  select line, length(line) as n, min({'d': doc_id, 'p': place}) as first from lines group by line
+), near as (
+  select a.line, min(b.first) as other from firsts a join firsts b
+  on b.n between a.n - 2 and a.n + 2 and b.first < a.first where levenshtein(a.line, b.line) <= 2 group by a.line
+), cut as (
+  select doc_id, place from lines join firsts using (line) left join near using (line)
+  where first <> {'d': doc_id, 'p': place} or other is not null
+), kept as (
+  select r.doc_id, string_agg(full_line, chr(10) order by r.place) as t
+  from raw r anti join cut c on c.doc_id = r.doc_id and c.place = r.place group by r.doc_id
+), dropped as (
+  select doc_id, count(*) as n, string_agg(place::varchar, ',' order by place) as l from cut group by doc_id
+)
+select doc_id, coalesce(n, 0)::bigint as n_dropped, coalesce(l, '') as dropped, sha256(coalesce(t, '')) as text_sha256
+from documents left join kept using (doc_id) left join dropped using (doc_id)
+""",
     "op10_tensored_minhash": r"""
 with recursive words as (
   select doc_id, list_filter(string_split_regex(
