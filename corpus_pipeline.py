@@ -2,23 +2,66 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import saved, table
+from quotelake.llm.common import bounded_broadcast, saved, table
+from quotelake.llm.langid import fit, keep_identified
+from quotelake.llm.lines import dedup_lines
 from quotelake.llm.near_dup import near_duplicates
+from quotelake.llm.packing import pack_documents
+from quotelake.llm.secrets import redact_secrets
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COPY_SHARE = 0.2
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars brought up to the text."""
+    size = F.length("text").cast("long")
+    return docs.withColumn("n_chars", size).select(DOCUMENT_COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay whose language is found with a score of at least one half.
+
+    Null texts and texts without letters go. The model is fitted on a bounded sample of the labelled rows.
+    """
+    return keep_identified(docs, fit(docs)).select(DOCUMENT_COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat earlier ones, or all but two edits of them, are cut; every document stays.
+
+    Where lines from other documents make up more than a fifth of a document, it is a copy rather than a
+    document with boilerplate, and they are left for document dedup.
+    """
+    return _documents(dedup_lines(docs, copy_share=COPY_SHARE))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that with the smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(DOCUMENT_COLUMNS)
+    gone = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti").select(DOCUMENT_COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found is replaced by a mark; every document stays."""
+    return _documents(redact_secrets(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens: one row per piece of a document, with its ids."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan), ("packing", packing),
+]
 
+# token packing has no SQL form: see tests/llm/test_pipeline.py
 ORACLE_SQL = None
 
 

@@ -15,6 +15,8 @@ from quotelake.llm.lines import dedup_lines
 from quotelake.llm.near_dup import near_duplicates
 from quotelake.llm.packing import pack_documents
 from quotelake.llm.pieces import piece_digests
+from quotelake.llm.preference import format_preferences, preference_digests
+from quotelake.llm.search import build_index, search_index
 from quotelake.llm.secrets import find_secrets, span_digests
 from quotelake.llm.warc import round_trip
 
@@ -31,6 +33,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search_index(docs.where(F.col("doc_id") % 100 == 0), build_index(docs), 10)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (remainder(F.col("doc_id")) == 2).alias("held_out")
@@ -39,7 +46,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(spark, table(spark, sf_dir, "pages"))
+    records = round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.where("indexed").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
 
 
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +67,21 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen is every conversation with an answer; rejected has the last answer of the next one instead."""
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "pair_id")
+    last = (
+        turns.where("role = 'assistant'").groupBy("pair_id")
+        .agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("answer"))
+    )
+    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("answer").alias("other"))
+    rejected = turns.join(last.select("pair_id", "last").join(other, "pair_id"), "pair_id").withColumn(
+        "text", F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("other"))
+        .otherwise(F.col("text")),
+    )
+    return preference_digests(format_preferences(turns, rejected))
+
+
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,10 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_forest": op1_embedding_forest,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
+    "op4_block_max_search": op4_block_max_search,
     "op5_language_id": op5_language_id,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_vector_packing": op7_vector_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_preference_pairs": op9_preference_pairs,
     "op10_tensored_minhash": op10_tensored_minhash,
 }
 
@@ -88,6 +115,63 @@ with recursive v as (
 counts as (select u, count(*) as n_links from links group by u)
 select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
 from embeddings join least_of l on l.u = vec_id left join counts c on c.u = vec_id
+""",
+    "op4_block_max_search": r"""
+with words as (
+  select doc_id, unnest(list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '')) as w
+  from documents
+), uses as (select doc_id, w, count(*) as c from words group by all),
+sizes as (select doc_id, coalesce(sum(c), 0) as n from documents left join uses using (doc_id) group by doc_id),
+whole as (select count(*) as docs, avg(n) as mean from sizes),
+df as (select w, count(*) as df from uses group by w),
+scored as (
+  select q.doc_id as query_id, d.doc_id, round(sum(
+    q.c * ln(1 + (docs - df + 0.5) / (df + 0.5)) * d.c * 2.2 / (d.c + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score
+  from uses q join uses d using (w) join df using (w) join sizes s on s.doc_id = d.doc_id cross join whole
+  where q.doc_id % 100 = 0 group by all
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored
+)
+select query_id, rank, doc_id, score from ranked where rank <= 10
+""",
+    "op9_preference_pairs": """
+with last as (
+  select conv_id, max(turn) as last, arg_max(text, turn) as answer from conversations where role = 'assistant' group by 1
+), pairs as (
+  select a.conv_id, a.last, b.answer as other from last a join last b on b.conv_id = a.conv_id + 1
+), turns as (
+  select conv_id, turn, role, text, last, case when turn = last and role = 'assistant' then other else text end as alt
+  from conversations join pairs using (conv_id)
+), ends as (select conv_id, min(turn) filter (where text <> alt) as e from turns group by 1),
+parts as (
+  select conv_id, turn, role, text, 'prompt' as part from turns join ends using (conv_id) where e is null or turn < e
+  union all select conv_id, turn, role, text, 'chosen' from turns join ends using (conv_id) where turn >= e
+  union all select conv_id, turn, role, alt, 'rejected' from turns join ends using (conv_id) where turn >= e
+), shown as (
+  select conv_id, turn, part, role = 'assistant' and part <> 'prompt' as trained,
+    '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as t from parts
+)
+select conv_id as pair_id, count(*) filter (where part = 'prompt') as prompt_turns,
+  coalesce(sum(length(t)) filter (where part = 'prompt'), 0)::bigint as prompt_chars,
+  coalesce(sum(length(t)) filter (where part = 'chosen'), 0)::bigint as chosen_chars,
+  coalesce(sum(length(t)) filter (where part = 'rejected'), 0)::bigint as rejected_chars,
+  coalesce(sum(length(t)) filter (where part = 'chosen' and trained), 0)::bigint as chosen_trained_chars,
+  coalesce(sum(length(t)) filter (where part = 'rejected' and trained), 0)::bigint as rejected_trained_chars,
+  sum(('0x' || substr(md5(part || '|' || turn || '|' || t), 1, 8))::bigint)::bigint as digest
+from shown group by conv_id
+""",
+    "op6_warc_round_trip": """
+with p as (
+  select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages
+), first as (select h, max(page_id) as m from p group by h)
+select page_id, octet_length(encode(body))::bigint as payload_bytes,
+  (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(p.h, 5 * i + 1, 5))::int >> s & 31) + 1, 1), '' order by i, s desc)
+   from range(8) a(i), (values (15), (10), (5), (0)) b(s)) as payload_digest,
+  case when page_id = m then 'response' else 'revisit' end as record_type,
+  case when page_id <> m then m end as refers_to
+from p join first using (h)
 """,
     "op8_line_dedup": r"""
 with parts as (
