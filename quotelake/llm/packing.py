@@ -8,9 +8,11 @@ a bounded pool, so nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from quotelake.llm.common import byte_view, lists, ragged, steps
 
-CACHED_CHUNKS = 200_000
-POOL = 2048
+CACHED_CHUNKS = 500_000
+POOL = 1024
+# fixed value: the word pattern of byte-level vocabularies
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @dataclass(frozen=True)
@@ -45,21 +49,38 @@ def _cut_tables() -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
+def byte_signs() -> dict[str, int]:
+    """The visible signs that byte-level vocabularies write for the 256 bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class ByteEncoder:
     """Ids of whole texts as the tokenizers library gives them, without added special tokens.
 
     A byte-level tokenizer starts a new word at a blank between two visible characters, so the parts
-    between such blanks are encoded once each and remembered up to a bound.
+    between such blanks are encoded once each and remembered up to a bound. Parts are encoded many at a
+    time by the rank encoder over the same vocabulary and pattern; those with an added token or with
+    blanks at an end go through the tokenizer itself.
     """
 
     def __init__(self, model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
-        self.size_of = np.zeros(self.model.get_vocab_size(), np.int64)
-        for piece, i in self.model.get_vocab(with_added_tokens=True).items():
-            self.size_of[i] = len(piece)  # one sign a byte; added tokens are ASCII
+        spec = json.loads(model)
+        signs = byte_signs()
+        ranks = {bytes(signs[c] for c in piece): i for piece, i in spec["model"]["vocab"].items()}
+        if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"] or not _merges_in_order(spec):
+            raise ValueError("only byte-level models whose ids follow the merges are supported")
+        self.ranks = Encoding("ranks", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.size_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        for piece, i in ranks.items():
+            self.size_of[i] = len(piece)
         self.before, self.after = _cut_tables()
         self._clear()
 
@@ -70,24 +91,29 @@ class ByteEncoder:
         self.sizes = np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def _ids(self, text: str) -> list[int]:
-        return self.model.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, chunks: list[str]) -> None:
-        inner, first = [], []
-        for c in chunks:
-            joinable = c[0] == " " and not c[1:2].isspace() and not c[-1].isspace()
-            (inner if joinable else first).append(c)
+    def _joinable(self, chunks: pa.Array) -> np.ndarray:
+        """Parts that may be encoded in one run with others: the seams are word starts."""
+        data, offsets = byte_view(chunks)
+        first, last = offsets[:-1], offsets[1:] - 1
+        fine = (last > first) & (data[first] == 32) & self.after[data[np.minimum(first + 1, last)]]
+        return fine & (self.before[data[last]] | ((data[last - 1] == 0xC3) & (data[last] >= 128)))
+
+    def _learn(self, chunks: pa.Array) -> None:
+        whole = self._joinable(chunks)
+        for token in self.added:
+            whole &= ~pc.match_substring(chunks, token).to_numpy(zero_copy_only=False)
+        inner, first = chunks.filter(pa.array(whole)), chunks.filter(pa.array(~whole)).to_pylist()
+        data, offsets = byte_view(inner)
         ids, sizes = [], []
-        for k in range(0, len(inner), 4096):  # encoded in one run: the cuts are word starts
-            group = inner[k:k + 4096]
-            got = np.array(self._ids("".join(group)), np.int32)
-            ends = np.cumsum(np.fromiter((len(c.encode()) for c in group), np.int64, len(group)))
-            at = np.searchsorted(np.cumsum(self.size_of[got]), ends, "left") + 1
+        for k in range(0, len(inner), 8192):
+            ends = offsets[k + 1:k + 8193]
+            run = data[offsets[k]:ends[-1]].tobytes().decode("utf-8")
+            got = np.asarray(self.ranks.encode_to_numpy(run)).astype(np.int32)
+            at = np.searchsorted(np.cumsum(self.size_of[got]), ends - offsets[k], "left") + 1
             ids.append(got)
             sizes.append(np.diff(at, prepend=0))
         for chunk in first:
-            got = np.array(self._ids(chunk), np.int32)
+            got = np.array(self.model.encode(chunk, add_special_tokens=False).ids, np.int32)
             ids.append(got)
             sizes.append(np.array([len(got)]))
         flat, size = np.concatenate(ids), np.concatenate(sizes)
@@ -100,8 +126,7 @@ class ByteEncoder:
         self.sizes[count:count + len(chunks)] = size
         self.starts[count:count + len(chunks)] = self.used + np.cumsum(size) - size
         self.used += len(flat)
-        for k, chunk in enumerate(inner + first):
-            self.known[chunk] = count + k
+        self.known.update(zip(inner.to_pylist() + first, range(count, count + len(chunks))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, flat, and their number per text. Nulls are empty texts."""
@@ -109,9 +134,12 @@ class ByteEncoder:
         data, offsets = byte_view(texts)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        blank = np.flatnonzero(data[1:-1] == 32) + 1
+        blank = blank[self.after[data[blank + 1]]]
+        prior = data[blank - 1]
+        fine = self.before[prior] | ((prior >= 128) & (blank > 1) & (data[blank - 2] == 0xC3))
         cut = np.zeros(len(data), bool)
-        cut[1:-1] = (data[1:-1] == 32) & self.before[data[:-2]] & self.after[data[2:]]
-        cut[2:-1] |= (data[2:-1] == 32) & (data[:-3] == 0xC3) & (data[1:-2] >= 128) & self.after[data[3:]]
+        cut[blank[fine]] = True
         ends = offsets[1:-1]
         inside = ends[(ends > 0) & (ends < len(data))]
         cut[inside - 1] = False  # what follows belongs to another text
@@ -124,10 +152,11 @@ class ByteEncoder:
         names = chunks.dictionary.to_pylist()
         if len(self.known) + len(names) > CACHED_CHUNKS and self.known:
             self._clear()
-        fresh = [c for c in names if c not in self.known]
-        if fresh:
-            self._learn(fresh)
-        index = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        index = np.array(list(map(self.known.get, names, repeat(-1))), np.int64)
+        fresh = np.flatnonzero(index < 0)
+        if len(fresh):
+            self._learn(chunks.dictionary.take(pa.array(fresh)))
+            index[fresh] = [self.known[names[k]] for k in fresh.tolist()]
         index = index[chunks.indices.to_numpy()]
         sizes = self.sizes[index]
         ids = self.flat[ragged(self.starts[index], sizes)]
@@ -135,6 +164,17 @@ class ByteEncoder:
         return ids, np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
 
 
+def _merges_in_order(spec: dict) -> bool:
+    """Whether every merge makes a piece of the next higher id, so that ids rank the merges."""
+    vocab, last = spec["model"]["vocab"], -1
+    for merge in spec["model"]["merges"]:
+        left, right = merge.split(" ") if isinstance(merge, str) else merge
+        if vocab[left + right] <= last:
+            return False
+        last = vocab[left + right]
+    return True
+
+
 class Packer:
     """Fills sequences from a pool of pieces (key, start, ids, total)."""
 
@@ -176,21 +216,22 @@ class Packer:
         """Open sequences until only ``keep`` pieces wait."""
         pool = self.pool
         tokens = np.array([len(p[2]) for p in pool], float)
-        asks = np.stack([tokens, np.ones(len(pool)), np.maximum(tokens - 1, 0)], 1)
-        weight = asks / self.most
+        loss = np.maximum(tokens - 1, 0)
+        scale = 1 / self.most**2
         waiting = np.ones(len(pool), bool)
         left_over = len(pool)
         while left_over > keep:
             room, taken = self.most.copy(), []
             while left_over:
-                fits = waiting & (asks <= room).all(1)
-                if fits.any():
-                    gain = np.where(fits, weight @ (room / self.most), -1.0)
-                    best = int(gain.argmax())
+                fits = waiting & (tokens <= room[0]) & (loss <= room[2])
+                if room[1] >= 1 and fits.any():
+                    # dot product of the three asks with the three rooms, each as a share of its limit
+                    gain = tokens * (room[0] * scale[0]) + room[1] * scale[1] + loss * (room[2] * scale[2])
+                    best = int(np.where(fits, gain, -1.0).argmax())
                     taken.append(pool[best])
                     waiting[best] = False
                     left_over -= 1
-                    room -= asks[best]
+                    room -= [tokens[best], 1, loss[best]]
                     continue
                 cut = int(min(room[0], room[2] + 1))
                 if room[1] < 1 or cut < self.min_cut:
@@ -200,8 +241,7 @@ class Packer:
                 taken.append((key, start, ids[:cut], total))
                 pool[best] = (key, start + cut, ids[cut:], total)
                 tokens[best] -= cut
-                asks[best] = [tokens[best], 1, max(tokens[best] - 1, 0)]
-                weight[best] = asks[best] / self.most
+                loss[best] = max(tokens[best] - 1, 0)
                 break
             if left_over or sum(len(p[2]) for p in taken) == self.limit:
                 self._sequence(taken)
