@@ -30,7 +30,7 @@ KINDS = [*BASE_KINDS, "pem", "key64", "keyhex", "jwt"]
 
 # what a text needs at least for a pattern to be worth running; automata without captures
 NEEDS = {
-    "assign": r"(?i)(passw|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{16}",
+    "assign": r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}", "pem": r"PRIVATE KEY-----", "key64": r"[A-Za-z0-9+/]{40}",
     "keyhex": r"30[0-9A-Fa-f]{62}", "jwt": r"ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]",
 }
