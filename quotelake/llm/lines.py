@@ -54,13 +54,12 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are within ``edits`` edits: a bit set of diagonals per number of edits.
+    """Whether two arrays of characters are within ``edits`` edits: a bit set of diagonals per number.
 
     Bit d of set e says that with e edits the text so far meets place d - edits of the other string.
     """
     full = (1 << (2 * edits + 1)) - 1
     width = 2 * edits + 1
-    left, right = F.split(a, ""), F.split(b, "")
     start = 0
     for e in range(edits + 1):
         level = sum(1 << (edits + d) for d in range(e + 1))
@@ -69,7 +68,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     def step(state: Column, i: Column) -> Column:
         match = F.lit(0)
         for d in range(width):
-            same = F.get(left, i) == F.when(i + d >= edits, F.get(right, i + (d - edits)))
+            same = F.get(a, i) == F.when(i + d >= edits, F.get(b, i + (d - edits)))
             match = match.bitwiseOR(F.when(same, F.lit(1 << d)).otherwise(0))
         sets = [F.shiftright(state, width * e).bitwiseAND(full) for e in range(edits + 1)]
         fresh, out = None, None
@@ -83,10 +82,10 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             out = part if out is None else out.bitwiseOR(part)
         return out
 
-    end = F.aggregate(F.sequence(F.lit(0), F.length(a) - 1), F.lit(start), step)
-    last = F.length(b) - F.length(a) + edits
+    end = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.lit(start), step)
+    last = F.size(b) - F.size(a) + edits
     return (
-        (F.abs(F.length(a) - F.length(b)) <= edits)
+        (F.abs(F.size(a) - F.size(b)) <= edits)
         & (F.getbit(F.shiftright(end, width * edits), last) == 1)
     )
 
@@ -109,12 +108,15 @@ def line_links(lines: DataFrame, edits: int) -> DataFrame:
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ids")
     texts = saved(
         lines.join(bounded_broadcast(ids, ids.count()), "h", "left_semi").select("h", "h2", "line")
-        .groupBy("h", "h2").agg(F.first("line").alias("line")), "line-texts",
+        .groupBy("h", "h2").agg(F.first("line").alias("line")).select("h", "h2", F.split("line", "").alias("line")),
+        "line-texts",
     )
     left = texts.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x"))
     right = texts.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("y"))
+    # comparing costs much more than its few bytes suggest: keep the number of partitions
+    spread = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        pairs.join(left, "a").join(right, "b").where(within_edits(F.col("x"), F.col("y"), edits))
+        pairs.join(left, "a").join(right, "b").repartition(spread).where(within_edits(F.col("x"), F.col("y"), edits))
         .select("a", "a2", "b", "b2")
     )
 
