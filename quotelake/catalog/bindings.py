@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Callable
 
@@ -31,18 +30,12 @@ def query(sql: str | None = None):
     return register
 
 
-SMALL_FILE = 256 << 20
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. A small single file is one row group, hence one task: spread its rows.
-
-    Real tables have many row groups and are read as they are.
-    """
-    path = f"{sf}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in ("documents", "conversations") and os.path.isfile(path) and os.path.getsize(path) < SMALL_FILE:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+    """A driver table. Text tables of fewer splits than there are cores are dealt to all of them."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "conversations") and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
     return df
 
 

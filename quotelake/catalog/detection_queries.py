@@ -109,10 +109,13 @@ def concordance_boost(spark, sf):
 _P_BOW = B.bow_ctes("p", "passages", "passage_id", "text", False)
 
 
-def _hits(keys: str, k: int) -> str:
+def _hits(keys: str, k: int, source: str) -> str:
+    """The k best passages of every row of the source; pairs without a common word score 0."""
     return f"""
-sc AS (SELECT {keys}, passage_id, round(sum(q_bow.w * p_bow.w) * 1e6) / 1e6 AS score
+met AS (SELECT {keys}, passage_id, round(sum(q_bow.w * p_bow.w) * 1e6) / 1e6 AS score
   FROM q_bow JOIN p_bow USING (dim) GROUP BY {keys}, passage_id),
+sc AS (SELECT {keys}, passage_id, coalesce(score, 0) AS score
+  FROM (SELECT {keys} FROM {source}) CROSS JOIN (SELECT passage_id FROM passages) LEFT JOIN met USING ({keys}, passage_id)),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, passage_id)::INTEGER AS rank FROM sc) WHERE rank <= {k})"""
 
 
@@ -167,27 +170,27 @@ def _turns(spark, sf):
 
 
 @query(f"""
-WITH {_SEARCH} {_hits("query_id", 10)}, {_ranked("query_id", "turns", "query")}
+WITH {_SEARCH} {_hits("query_id", 10, "turns")}, {_ranked("query_id", "turns", "query")}
 SELECT query_id, pos AS rank, edition, work, section, item, {R4("final", 4)} AS score, {R4("semantic", 4)} AS semantic, {R4("lexical", 4)} AS lexical
-FROM ranked WHERE semantic > 0
+FROM ranked
 """)
 def search_reranked(spark, sf):
     df = D.search(_turns(spark, sf), B.passages(spark, sf), settings=C.Settings())
-    return df.filter("semantic > 0").select(
+    return df.select(
         "query_id", "rank", "edition", "work", "section", "item",
         *[records.round_at(F.col(c), 4).alias(c) for c in ("score", "semantic", "lexical")],
     )
 
 
 @query(f"""
-WITH {_SEARCH} {_hits("query_id", 10)}
+WITH {_SEARCH} {_hits("query_id", 10, "turns")}
 SELECT query_id, edition, work, section, item, score, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS rank
-FROM hits JOIN passages USING (passage_id) WHERE edition = 'NKJV' AND score > 0
+FROM hits JOIN passages USING (passage_id) WHERE edition = 'NKJV'
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5
 """)
 def search_edition(spark, sf):
     df = D.search(_turns(spark, sf), B.passages(spark, sf), k=5, edition="NKJV", ranked=False)
-    return df.filter("score > 0").select("query_id", "rank", "edition", "work", "section", "item", "score")
+    return df.select("query_id", "rank", "edition", "work", "section", "item", "score")
 
 
 def _sig(x: str) -> str:
@@ -195,8 +198,8 @@ def _sig(x: str) -> str:
 
 
 @query(f"""
-WITH {_SEARCH} {_hits("query_id", 10)}, {_ranked("query_id", "turns", "query")},
-raw AS (SELECT *, 10::DOUBLE * lexical - 2::DOUBLE AS raw FROM ranked WHERE semantic > 0),
+WITH {_SEARCH} {_hits("query_id", 10, "turns")}, {_ranked("query_id", "turns", "query")},
+raw AS (SELECT *, 10::DOUBLE * lexical - 2::DOUBLE AS raw FROM ranked),
 sg AS (SELECT *, {_sig("raw")} AS sig FROM raw),
 mm AS (SELECT *, min(sig) OVER w AS lo, max(sig) OVER w AS hi FROM sg WINDOW w AS (PARTITION BY query_id)),
 ce AS (SELECT *, CASE WHEN hi - lo < 1e-6 THEN 0.5::DOUBLE ELSE (sig - lo) / (hi - lo) END AS scaled FROM mm),
@@ -207,7 +210,6 @@ SELECT query_id, edition, work, section, item, floor(blended * 1e4 + 0.5::DOUBLE
 def pair_score_blend(spark, sf):
     queries = _turns(spark, sf)
     found = D.candidates(queries, B.passages(spark, sf), ["query_id"], "query")
-    found = found.withColumn("cands", F.filter("cands", lambda c: c["score"] > 0))
     df = rerank.rerank(found, B.passages(spark, sf), "query", ["query_id"])
     df = rerank.blend_pair_scores(df, ["query_id"], lambda c: 10.0 * c["lexical"] - 2.0)
     df = df.select("query_id", F.posexplode("ranked").alias("pos", "c"))
@@ -222,7 +224,7 @@ _DOC_SENTS = f"""
 ds AS (SELECT doc_id, {B.sql_sentences('text')} AS ss FROM documents),
 dw AS (SELECT doc_id, (i - 1)::BIGINT AS sent_id, ss[i] AS candidate_text FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM ds))"""
 _DETECT = f"""{B.PASSAGES}, {_P_BOW}, {_DOC_SENTS}, {B.bow_ctes("q", "dw", "doc_id, sent_id", "candidate_text", True)},
-{_hits("doc_id, sent_id", 10)},
+{_hits("doc_id, sent_id", 10, "dw")},
 cue_segments AS (SELECT doc_id, sent_id, candidate_text AS text FROM dw),
 {_FLAGS},
 hp AS (SELECT * FROM hits JOIN passages USING (passage_id)),
@@ -260,22 +262,22 @@ def detection_records(spark, sf):
 @query(f"""
 WITH {_DETECT}
 SELECT doc_id, sent_id, pos, r.work || ' ' || r.section || ':' || r.item AS reference, r.edition, {R4("final", 4)} AS score
-FROM ranked r SEMI JOIN records USING (doc_id, sent_id) WHERE {R4("final", 4)} > 0
+FROM ranked r SEMI JOIN records USING (doc_id, sent_id)
 """)
 def top_candidates(spark, sf):
     df = _detected(spark, sf).select("doc_id", "sent_id", F.posexplode("candidates").alias("pos", "c"))
     return df.select(
         "doc_id", "sent_id", (F.col("pos") + 1).alias("pos"), "c.reference", "c.edition", "c.score"
-    ).filter("score > 0")
+    )
 
 
 @query(f"""
 WITH {B.PASSAGES}, {_P_BOW}, {B.CUE_SEGMENTS}, {_FLAGS},
 passed AS (SELECT stream_id, seg_id, text AS candidate_text, rule_score FROM rules WHERE rule_score >= 0.40),
-{B.bow_ctes("q", "passed", "stream_id, seg_id", "candidate_text", True)}, {_hits("stream_id, seg_id", 10)},
+{B.bow_ctes("q", "passed", "stream_id, seg_id", "candidate_text", True)}, {_hits("stream_id, seg_id", 10, "passed")},
 {_ranked("stream_id, seg_id", "passed", "candidate_text")}
 SELECT stream_id, seg_id, work || ' ' || section || ':' || item AS selected_reference, edition, {R4("final", 4)} AS confidence
-FROM ranked WHERE pos = 1 AND semantic > 0
+FROM ranked WHERE pos = 1
 """)
 def rules_detection(spark, sf):
     windows = B.cue_segments(spark, sf).withColumnRenamed("text", "candidate_text")
@@ -283,7 +285,7 @@ def rules_detection(spark, sf):
         windows, B.passages(spark, sf), ["stream_id", "seg_id"], detector="rules",
         settings=C.Settings(include_ignored=True),
     )
-    return df.filter(F.get("candidates", 0)["score"] > 0).select(
+    return df.select(
         "stream_id", "seg_id", "selected_reference", "edition", "confidence"
     )
 
@@ -302,7 +304,7 @@ variants AS (SELECT utt_id, text AS candidate_text, row_number() OVER (PARTITION
 
 @query(f"""
 WITH {B.PASSAGES}, {_P_BOW}, {B.CUE_SEGMENTS}, {_FLAGS}, {_LIVE_VARIANTS},
-{B.bow_ctes("q", "variants", "utt_id, variant_no", "variant", True)}, {_hits("utt_id, variant_no", 10)},
+{B.bow_ctes("q", "variants", "utt_id, variant_no", "variant", True)}, {_hits("utt_id, variant_no", 10, "variants")},
 {_ranked("utt_id, variant_no", "variants", "candidate_text")},
 pv AS (SELECT utt_id, variant_no, final AS confidence, work || ' ' || section || ':' || item AS reference FROM ranked WHERE pos = 1),
 bv AS (SELECT * FROM pv QUALIFY row_number() OVER (PARTITION BY utt_id ORDER BY confidence DESC, variant_no) = 1),

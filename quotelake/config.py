@@ -96,6 +96,8 @@ class Settings:
     pair_scorer_weight: float = 0.30
 
 
-def clamp_top_k(k: int) -> int:
-    """Search requests keep k within 1..50."""
-    return max(1, min(int(k), MAX_TOP_K))
+def checked_top_k(k: int) -> int:
+    """Searches take any positive k; a front end may bound it by MAX_TOP_K."""
+    if int(k) < 1:
+        raise ValueError(f"k must be positive: {k}")
+    return int(k)

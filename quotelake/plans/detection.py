@@ -84,14 +84,14 @@ def search(
     An edition filter over-fetches 2k and may return fewer than k; `prefilter` searches that
     edition alone instead.
     """
-    k = C.clamp_top_k(k)
-    pool = passages.filter(F.col("edition") == edition) if edition and prefilter else passages
+    k = C.checked_top_k(k)
+    edition = edition.upper() if edition else None
+    pool = passages.filter(F.upper("edition") == edition) if edition and prefilter else passages
     fetch = 2 * k if edition and not prefilter else k
     df = candidates(queries, pool, [query_id], text, embedder, fetch)
     if edition:
-        code = edition.upper()
         df = df.withColumn(
-            "cands", F.slice(F.filter("cands", lambda c: c["edition"] == code), 1, k)
+            "cands", F.slice(F.filter("cands", lambda c: F.upper(c["edition"]) == edition), 1, k)
         )
     if not ranked:
         df = df.select(query_id, F.posexplode("cands").alias("pos", "c"))
