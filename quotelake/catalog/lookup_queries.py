@@ -225,7 +225,8 @@ lowered AS (SELECT *, lower(text) AS low0, {B.sql_trim('lower(text)')} AS low,
 swaps AS (SELECT *, {_swap_sql(L.SWAP_TEMPLATES)} AS named,
   CASE WHEN n_words <= 6 THEN {_swap_sql([L.SWAP_BROAD])} END AS broad FROM lowered),
 acts AS (SELECT *, coalesce(named, broad) AS swap0,
-  CASE WHEN {_any(L.NAV_NEXT_ITEM)} THEN 'next_verse' WHEN {_any(L.NAV_PREV_ITEM)} THEN 'prev_verse'
+  CASE WHEN a_edition IS NULL AND coalesce(named, broad) IS NOT NULL THEN 'swap_translation'
+       WHEN {_any(L.NAV_NEXT_ITEM)} THEN 'next_verse' WHEN {_any(L.NAV_PREV_ITEM)} THEN 'prev_verse'
        WHEN {_any(L.NAV_NEXT_SECTION)} THEN 'next_chapter' WHEN {_any(L.NAV_PREV_SECTION)} THEN 'prev_chapter'
        WHEN coalesce(named, broad) IS NOT NULL THEN 'swap_translation' END AS action0 FROM swaps),
 intents AS (SELECT *, CASE WHEN ref_item IS NOT NULL THEN 'EXPLICIT_REF'

@@ -15,10 +15,30 @@ from . import live_queries, text_queries
 from .bindings import query
 
 
-def _stream(spark, sf, name):
-    """A driver table as a file stream."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{sf}/{name}*.parquet")
+def _replayed(events, name, slices=4, pause="1 day"):
+    """The events as a stream of many files out of order, one per trigger.
+
+    Slices of event time are written in swapped pairs (1, 0, 3, 2 ...), each dealt to two files, so rows
+    arrive up to two slices late. The lateness covers that. A last row, far ahead in a stream of its own,
+    moves the watermark past everything, as the next events of a running system would.
+    """
+    spark = events.sparkSession
+    home = f"{checkpoint_root(spark)}/quotelake-{name}-{uuid.uuid4().hex}"
+    low, high = events.agg(F.min("event_time"), F.max("event_time")).first()
+    width = max(1, -(-int((high - low).total_seconds() + 1) // slices))
+    part = F.floor((F.unix_micros("event_time") - F.unix_micros(F.lit(low))) / (width * 1_000_000))
+    for number in range(slices + slices % 2):
+        rows = events.filter(part == (number ^ 1))
+        rows.repartition(2).write.mode("append").parquet(home)
+    lateness = f"{3 * width} seconds"
+    ahead = F.lit(high) + F.expr(f"INTERVAL {6 * width} SECONDS") + F.expr(f"INTERVAL {pause}") * 3
+    closing = spark.range(1).select(*[
+        {"stream_id": F.lit("~"), "seq": F.lit(0), "event_time": ahead}.get(f.name, F.lit(None))
+        .cast(f.dataType).alias(f.name) for f in events.schema
+    ])
+    closing.write.mode("append").parquet(home)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(home)
+    return stream.withWatermark("event_time", lateness)
 
 
 def _finish(df, name):
@@ -32,15 +52,25 @@ def _finish(df, name):
     return spark.read.schema(df.schema).parquet(f"{home}/out/epoch=*")
 
 
+def _clock(turn):
+    """A turn every ten seconds; not from the epoch on, where the first watermark stands."""
+    return F.timestamp_seconds(F.col(turn) * 10 + 1_000_000)
+
+
+def _log(spark, sf):
+    log = B.live_log(spark, sf)
+    return log.withColumns({
+        "stream_id": F.col("stream_id").cast("string"), "event_time": F.col("ts").cast("timestamp"),
+    })
+
+
 @query(text_queries.ORACLE_OVERLAP_EXACT)
 def stream_overlap_trim(spark, sf):
-    batch = text_queries._overlapping(spark, sf)
-    home = f"{checkpoint_root(spark)}/quotelake-overlap-{uuid.uuid4().hex}"
-    batch.write.parquet(home)  # the overlapping turns are derived data: written once, then streamed
-    rows = spark.readStream.schema(batch.schema).parquet(home).select(
-        F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), "text"
+    rows = text_queries._overlapping(spark, sf).select(
+        F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"),
+        _clock("turn").alias("event_time"), "text",
     )
-    out = _finish(stateful.trim_overlaps(rows), "overlap_trim")
+    out = _finish(stateful.trim_overlaps(_replayed(rows, "overlap")), "overlap_trim")
     return out.select(
         F.col("stream_id").cast("long").alias("conv_id"), F.col("seq").alias("turn"), "dropped", "trimmed"
     )
@@ -53,18 +83,13 @@ SELECT e.stream_id, e.seq, count(a.seq) AS waiting FROM log e LEFT JOIN log a ON
 GROUP BY ALL
 """)
 def stream_queue_sizes(spark, sf):
-    log = B.live_log_of(_stream(spark, sf, "events")).withColumn("stream_id", F.col("stream_id").cast("string"))
-    out = _finish(stateful.queue_changes(log), "queue_sizes")
-    return out.select(
-        F.col("stream_id").cast("long").alias("stream_id"), "seq", F.size("waiting").cast("long").alias("waiting")
-    )
+    out = _finish(stateful.queue_changes(_replayed(_log(spark, sf), "queue")), "queue_sizes")
+    return out.select(F.col("stream_id").cast("long").alias("stream_id"), "seq", "waiting")
 
 
-# a quotation is emitted once its end mark, an opener or another intent has closed it
-@query(live_queries.ACCUMULATED + """
-SELECT stream_id, acc AS text FROM l WHERE fin OR EXISTS (SELECT 1 FROM rel WHERE rel.stream_id = l.stream_id AND rel.r > l.r)
-""")
+@query(live_queries.ACCUMULATED + "SELECT stream_id, acc AS text FROM l")
 def stream_quotes(spark, sf):
+    """Quotations, closed by an end mark, an opener, another intent or silence."""
     rows = _session_rows(spark, sf).filter("out_kind = 'quote'")
     return rows.select(F.col("stream_id").cast("long").alias("stream_id"), "text")
 
@@ -75,35 +100,33 @@ def stream_live_session(spark, sf):
 
 
 def _session_rows(spark, sf):
-    turns = live_queries._routed_turns_of(_stream(spark, sf, "conversations"))
     none = F.lit(None)
-    events = turns.select(
+    events = live_queries._routed_turns(spark, sf).select(
         F.col("stream_id").cast("string"), F.col("seg_id").alias("seq"),
-        F.timestamp_seconds(F.col("seg_id") * 10).alias("event_time"), F.lit("segment").alias("kind"), "text",
+        _clock("seg_id").alias("event_time"), F.lit("segment").alias("kind"), "text",
         F.lit(True).alias("is_final"), none.cast("string").alias("edition"), none.cast("string").alias("work"),
         none.cast("int").alias("section"), none.cast("int").alias("item"),
-    ).withWatermark("event_time", "30 seconds")
-    return _finish(stateful.live_session(events), "live_session")
+    )
+    return _finish(stateful.live_session(_replayed(events, "session")), "live_session")
 
 
 @query()
 def stream_utterances(spark, sf):
-    raw = live_queries._messages_of(_stream(spark, sf, "conversations"))
+    raw = live_queries._messages_of(B.table(spark, sf, "conversations"))
     rows = transcripts.parse_messages(raw).select(
-        F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), "type", "text",
+        F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"),
+        _clock("turn").alias("event_time"), "type", "text",
         "start_time", "end_time", "is_final", "speech_final",
     )
-    return _finish(stateful.assemble_utterances(rows), "utterances")
+    return _finish(stateful.assemble_utterances(_replayed(rows, "messages")), "utterances")
 
 
 @query(f"""
-WITH {B.LIVE_LOG},
-w AS (SELECT kind, time_bucket(INTERVAL 86400 SECONDS, ts, TIMESTAMP '1970-01-01') AS chunk_start, count(*) AS n, coalesce(sum(value) / nullif(sum(item), 0), 0) > 0.95 AS lagging FROM log GROUP BY ALL)
-SELECT * FROM w WHERE chunk_start + INTERVAL 86400 SECONDS <= (SELECT max(ts) FROM log) - INTERVAL 30 SECONDS
+WITH {B.LIVE_LOG}
+SELECT kind, time_bucket(INTERVAL 86400 SECONDS, ts, TIMESTAMP '1970-01-01') AS chunk_start, count(*) AS n, coalesce(sum(value) / nullif(sum(item), 0), 0) > 0.95 AS lagging FROM log GROUP BY ALL
 """)
 def stream_progress(spark, sf):
     """Windowed metrics in append mode: a window is written once the watermark has passed it."""
-    log = B.live_log_of(_stream(spark, sf, "events"))
-    log = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "30 seconds")
-    out = _finish(live.progress_metrics(log, ["kind"], "ts", "value", "item", 86400.0), "progress")
+    log = _replayed(_log(spark, sf), "progress")
+    out = _finish(live.progress_metrics(log, ["kind"], "event_time", "value", "item", 86400.0), "progress")
     return out.select("kind", F.col("chunk_start").cast("timestamp_ntz").alias("chunk_start"), "n", "lagging")

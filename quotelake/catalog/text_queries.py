@@ -149,7 +149,7 @@ p AS (SELECT conv_id, turn, text, {B.sql_words('text')} AS nw,
         {B.sql_words("coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS pw FROM seg),
 k AS (SELECT *, {_shared('pw', 'nw')}::INTEGER AS dropped FROM p)
 SELECT conv_id, turn, dropped, CASE WHEN dropped = 0 THEN text ELSE array_to_string(nw[dropped + 1:], ' ') END AS trimmed
-FROM k
+FROM k WHERE trim(trimmed, ' ') <> ''
 """)
 def overlap_trim_lag(spark, sf):
     return SE.overlap_trim_lag(_overlapping(spark, sf), "conv_id", "turn").select(
@@ -167,7 +167,7 @@ f AS (
   SELECT conv_id, turn, r, text, nw, k, CASE WHEN k < len(nw) THEN nw[k + 1:] ELSE nw END
   FROM (SELECT n.*, {_shared('f.state', 'n.nw')}::INTEGER AS k FROM n JOIN f ON n.conv_id = f.conv_id AND n.r = f.r + 1))
 SELECT conv_id, turn, dropped, CASE WHEN dropped = 0 THEN text ELSE array_to_string(nw[dropped + 1:], ' ') END AS trimmed
-FROM f
+FROM f WHERE trim(trimmed, ' ') <> ''
 """
 
 

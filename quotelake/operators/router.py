@@ -23,10 +23,14 @@ def is_clear(low: Column) -> Column:
     return low.rlike(L.either(L.CLEAR_PHRASES)) & (T.word_count(low) <= 8)
 
 
-def nav_action(low: Column, swap: Column) -> Column:
-    """Item steps win over section steps, forward over backward, swaps come last."""
+def nav_action(low: Column, swap: Column, anchored: Column) -> Column:
+    """Item steps win over section steps, forward over backward, swaps come last.
+
+    Without an anchor there is nothing to step from, and a named edition comes first.
+    """
     return (
-        F.when(low.rlike(L.either(L.NAV_NEXT_ITEM)), "next_verse")
+        F.when(~anchored & swap.isNotNull(), "swap_translation")
+        .when(low.rlike(L.either(L.NAV_NEXT_ITEM)), "next_verse")
         .when(low.rlike(L.either(L.NAV_PREV_ITEM)), "prev_verse")
         .when(low.rlike(L.either(L.NAV_NEXT_SECTION)), "next_chapter")
         .when(low.rlike(L.either(L.NAV_PREV_SECTION)), "prev_chapter")
@@ -34,18 +38,21 @@ def nav_action(low: Column, swap: Column) -> Column:
     )
 
 
-def classify(df: DataFrame, text: str) -> DataFrame:
+def classify(df: DataFrame, text: str, anchored: Column | None = None) -> DataFrame:
     """Add the parsed reference, `named` edition, `action`, `swap` and `intent` by precedence.
 
-    The broad edition template only counts in utterances of at most six words.
+    The broad edition template only counts in utterances of at most six words. `anchored` tells
+    rows with an anchor; by default those whose `a_edition` is set.
     """
+    if anchored is None:
+        anchored = F.col("a_edition").isNotNull() if "a_edition" in df.columns else F.lit(False)
     col = F.col(text)
     df = df.withColumns({**R.spoken_reference(col), "_low": _low(col), "named": R.named_edition(col)})
     short = T.word_count(F.col("_low")) <= 6
     df = df.withColumn(
         "_swap", F.coalesce("named", F.when(short, R.broadly_named_edition(col)))
     )
-    df = df.withColumn("_action", nav_action(F.col("_low"), F.col("_swap")))
+    df = df.withColumn("_action", nav_action(F.col("_low"), F.col("_swap"), anchored))
     intent = (
         F.when(F.col("ref_item").isNotNull(), EXPLICIT_REF)
         .when(is_clear(F.col("_low")), CLEAR)

@@ -182,7 +182,10 @@ def boundary_windows(
 def overlap_trim_lag(
     segments: DataFrame, stream: str, seq: str, text: str = "text", width: int = 65536
 ) -> DataFrame:
-    """Drop up to ten leading words that repeat the end of the previous raw text."""
+    """Drop up to ten leading words that repeat the end of the previous raw text.
+
+    Rows of which nothing is left are dropped.
+    """
     axis = Axis((stream,), (seq,), width)
     df = ordered.carry_last(segments, axis, {"_prev": F.col(text)}).drop(CHUNK)
     df = df.withColumns(
@@ -191,7 +194,8 @@ def overlap_trim_lag(
     df = df.withColumn("dropped", T.shared_overlap(F.col("_pw"), F.col("_nw")))
     rest = F.slice("_nw", F.col("dropped") + 1, F.greatest(F.size("_nw"), F.lit(1)))
     trimmed = F.when(F.col("dropped") == 0, F.col(text)).otherwise(F.array_join(rest, " "))
-    return df.withColumn("trimmed", trimmed).drop("_prev", "_pw", "_nw")
+    df = df.withColumn("trimmed", trimmed).drop("_prev", "_pw", "_nw")
+    return df.filter(F.trim("trimmed") != "")
 
 
 def _trim_state(prev: list[str], dropped: int) -> list[str]:
@@ -202,7 +206,7 @@ def _trim_state(prev: list[str], dropped: int) -> list[str]:
 def overlap_trim_exact(
     segments: DataFrame, stream: str, seq: str, text: str = "text", width: int = 65536
 ) -> DataFrame:
-    """Overlap removal where the carried text is the trimmed one.
+    """Overlap removal where the carried text is the trimmed one; rows left empty are dropped.
 
     The only state is how many words the row before lost (0..10, plus its raw text, which is
     known), so eleven entry states describe a chunk.
@@ -229,7 +233,7 @@ def overlap_trim_exact(
     nw = T.words(F.col(text))
     rest = F.slice(nw, F.col("dropped") + 1, F.greatest(F.size(nw), F.lit(1)))
     trimmed = F.when(F.col("dropped") == 0, F.col(text)).otherwise(F.array_join(rest, " "))
-    return df.withColumn("trimmed", trimmed).drop("_prev", CHUNK)
+    return df.withColumn("trimmed", trimmed).drop("_prev", CHUNK).filter(F.trim("trimmed") != "")
 
 
 def numbered_lines(df: DataFrame, keys: list[str], order: str, out: str = "line_no") -> DataFrame:

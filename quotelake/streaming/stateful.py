@@ -1,13 +1,16 @@
 """Keyed state machines of the live path.
 
-A state function sees the new rows of one stream in one micro-batch, so its memory is bounded by
-the batch size and the state is a handful of fields. Rows are folded in `seq` order; a row whose
-`seq` was seen before is ignored, which makes replays harmless.
+Rows of a stream are folded in `seq` order, whatever the files and micro-batches they come in: a row
+waits in the state until the watermark has passed its `event_time`, so the state holds what may still
+be overtaken, that is the rows of the lateness, and a handful of fields. Rows that repeat a `seq` count
+once. Rows behind the watermark are dropped by Spark and counted (`sources.late_rows`). What is open
+when a stream has been silent for `idle` is delivered then.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,81 +22,128 @@ from .. import lexicons as L
 from ..functions import text as T
 from ..operators import router
 
+IDLE_MS = 60_000
 
-def _ordered(frames: Iterator[pd.DataFrame], last: int) -> pd.DataFrame:
-    rows = pd.concat(list(frames), ignore_index=True)
-    return rows[rows["seq"] > last].sort_values("seq").drop_duplicates("seq")
 
+class Row(dict):
+    """An event as its fields."""
+
+    __getattr__ = dict.__getitem__
+
+
+def _in_order(
+    df: DataFrame, start: tuple, fold: Callable, finish: Callable | None, out: str, state: str,
+    idle_ms: int = IDLE_MS,
+) -> DataFrame:
+    """Fold every stream in order of `seq` behind the watermark of `event_time`.
+
+    `fold(key, row, carried, emit)` returns what is carried on; `finish(key, last_seq, carried, emit)`
+    delivers what is open once the stream was idle.
+    """
+    columns = [c.split()[0] for c in out.split(", ")]
+    ints = [c.split()[0] for c in out.split(", ") if c.split()[1] == "int"]
+
+    def run(key, frames, group: GroupState):
+        pending, newest, last, *carried = group.get if group.exists else ("[]", 0, -1, *start)
+        held = {r["seq"]: r for r in json.loads(pending)}
+        if not group.hasTimedOut:
+            for frame in frames:
+                for r in json.loads(frame.to_json(orient="records", date_unit="ms")):
+                    held.setdefault(r["seq"], r)
+        mark = group.getCurrentWatermarkMs()
+        ready = sorted(s for s, r in held.items() if r["event_time"] <= mark)
+        rows: list[tuple] = []
+        for seq in ready:
+            row = Row(held.pop(seq))
+            carried = fold(key, row, carried, rows.append)
+            newest, last = max(newest, row["event_time"]), seq
+        if finish and not held and last >= 0 and newest + idle_ms <= mark:
+            carried = finish(key, last, carried, rows.append)
+        group.update((json.dumps(list(held.values())), int(newest), int(last), *carried))
+        if held:
+            group.setTimeoutTimestamp(min(r["event_time"] for r in held.values()))
+        elif finish and newest + idle_ms > mark:
+            group.setTimeoutTimestamp(newest + idle_ms)
+        yield pd.DataFrame(rows, columns=columns).astype(dict.fromkeys(ints, "Int32"))
 
-def _apply(df: DataFrame, fn, out: str, state: str) -> DataFrame:
     return df.groupBy("stream_id").applyInPandasWithState(
-        fn, out, state, "append", GroupStateTimeout.NoTimeout
+        run, out, f"pending string, newest long, last long, {state}", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def trim_overlaps(segments: DataFrame) -> DataFrame:
-    """Remove words that repeat the end of the previous (trimmed) text of the stream."""
+    """Remove words that repeat the end of the previous (trimmed) text of the stream.
+
+    Rows of which nothing is left are dropped.
+    """
     limit = C.OVERLAP_WORDS
 
-    def fold(key, frames, state: GroupState):
-        last, prev = state.get if state.exists else (-1, "")
-        out = []
-        for row in _ordered(frames, last).itertuples():
-            before, after = prev.split(), (row.text or "").split()
-            top = min(len(before), len(after), limit)
-            k = next((n for n in range(top, 0, -1) if before[-n:] == after[:n]), 0)
-            kept = " ".join(after[k:]) if k else (row.text or "")
-            prev = kept or row.text
-            last = row.seq
-            out.append((key[0], row.seq, k, kept))
-        state.update((int(last), prev or ""))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "dropped", "trimmed"])
-
-    return _apply(
-        segments, fold, "stream_id string, seq long, dropped int, trimmed string", "last long, prev string"
+    def fold(key, row, carried, emit):
+        (prev,) = carried
+        text = row["text"] or ""
+        before, after = prev.split(), text.split()
+        top = min(len(before), len(after), limit)
+        k = next((n for n in range(top, 0, -1) if before[-n:] == after[:n]), 0)
+        kept = " ".join(after[k:]) if k else text
+        if kept.strip(" "):
+            emit((key[0], row["seq"], k, kept))
+        return (kept or text,)
+
+    slim = segments.select("stream_id", "seq", "event_time", "text")
+    return _in_order(
+        slim, ("",), fold, None, "stream_id string, seq long, dropped int, trimmed string", "prev string"
     )
 
 
 def assemble_utterances(messages: DataFrame) -> DataFrame:
     """Final segments from interim and final recognition results.
 
-    Input: `stream_id, seq, type, text, start_time, end_time, is_final, speech_final`. Results
-    that start within half a second refine the open utterance; another start commits it; a final
-    result of the open utterance is delivered only with `speech_final`; an end message commits.
+    Input: `stream_id, seq, event_time, type, text, start_time, end_time, is_final, speech_final`, and
+    `words` where there are any. Results that start within half a second refine the open utterance;
+    another start commits it; a final result of the open utterance is delivered only with
+    `speech_final`; an end message commits, and so does silence.
     """
     gap = C.UTTERANCE_GAP_SECONDS
-    columns = ["stream_id", "seq", "text", "start_time", "end_time"]
-
-    def fold(key, frames, state: GroupState):
-        last, is_open, text, start, end = state.get if state.exists else (-1, False, "", 0.0, 0.0)
-        out = []
-        for row in _ordered(frames, last).itertuples():
-            last = row.seq
-            if row.type != "Results":
-                if is_open:
-                    out.append((key[0], row.seq, text, start, end))
-                is_open = False
-                continue
-            same = is_open and abs(start - row.start_time) < gap
-            if same:
-                text, end = row.text, row.end_time
-            if row.is_final:
-                if same and not row.speech_final:
-                    continue
-                if is_open and not same:
-                    out.append((key[0], row.seq, text, start, end))
-                out.append((key[0], row.seq, row.text, row.start_time, row.end_time))
-                is_open = False
-            elif not same:
-                if is_open:
-                    out.append((key[0], row.seq, text, start, end))
-                is_open, text, start, end = True, row.text, row.start_time, row.end_time
-        state.update((int(last), bool(is_open), text, float(start), float(end)))
-        yield pd.DataFrame(out, columns=columns)
-
-    return _apply(
-        messages, fold, "stream_id string, seq long, text string, start_time double, end_time double",
-        "last long, is_open boolean, text string, start double, end double",
+    fields = ["stream_id", "seq", "event_time", "type", "text", "start_time", "end_time", "is_final", "speech_final"]
+    words = F.to_json("words") if "words" in messages.columns else F.lit(None).cast("string")
+
+    def fold(key, row, carried, emit):
+        is_open, text, start, end, said = carried
+
+        def commit():
+            emit((key[0], row["seq"], text, start, end, said))
+
+        if row["type"] != "Results":
+            if is_open:
+                commit()
+            return (False, text, start, end, said)
+        fresh = (row["text"], row["start_time"], row["end_time"], row["words"])
+        same = is_open and abs(start - row["start_time"]) < gap
+        if same:
+            text, end, said = row["text"], row["end_time"], row["words"]
+        if row["is_final"]:
+            if same and not row["speech_final"]:
+                return (True, text, start, end, said)
+            if is_open and not same:
+                commit()
+            emit((key[0], row["seq"], *fresh))
+            return (False, text, start, end, said)
+        if not same:
+            if is_open:
+                commit()
+            return (True, *fresh)
+        return (True, text, start, end, said)
+
+    def finish(key, last, carried, emit):
+        is_open, text, start, end, said = carried
+        if is_open:
+            emit((key[0], last, text, start, end, said))
+        return (False, text, start, end, said)
+
+    return _in_order(
+        messages.select(*fields, words.alias("words")), (False, "", 0.0, 0.0, None), fold, finish,
+        "stream_id string, seq long, text string, start_time double, end_time double, words string",
+        "is_open boolean, text string, start double, end double, words string",
     )
 
 
@@ -102,7 +152,7 @@ SESSION_OUT = (
     "a_edition string, a_work string, a_section int, a_item int, mode string"
 )
 SESSION_STATE = (
-    "last long, acc string, mode string, edition string, work string, section int, item int"
+    "acc string, mode string, edition string, work string, section int, item int"
 )
 
 
@@ -112,84 +162,82 @@ def live_session(events: DataFrame, initial_mode: str = "semi_autopilot") -> Dat
     Kinds: `segment` (final or interim by `is_final`), `present` (carries the displayed
     reference), `clear`, and `mode` (name in `text`). Output kinds: `quote` (a complete quotation
     text to search), `explicit`, `nav` with the anchor of that moment, and `clear`. Displays feed
-    back as `present` events, so the anchor follows every display and a clear keeps it.
+    back as `present` events, so the anchor follows every display and a clear keeps it. A quotation
+    that is open when the stream falls silent is delivered then.
     """
     col = F.col("text")
-    df = router.classify(events, "text").select(
-        "stream_id", "seq", "kind", "text", "is_final", "edition", "work", "section", "item", "intent",
-        "action", "swap", T.word_count(col).alias("n_words"),
+    df = router.classify(events, "text", F.lit(True)).select(
+        "stream_id", "seq", "event_time", "kind", "text", "is_final", "edition", "work", "section", "item",
+        "intent", "action", "swap", T.word_count(col).alias("n_words"),
         F.coalesce(col.rlike(L.SENTENCE_END_PATTERN), F.lit(False)).alias("ends"),
         F.coalesce(F.lower(col).rlike(L.QUOTE_OPENER_PATTERN), F.lit(False)).alias("opener"),
     )
     shortest, cue, nav, clear = C.MIN_WORDS, router.CUE, router.NAV, router.CLEAR
-    columns = [c.split()[0] for c in SESSION_OUT.split(", ")]
-
-    def fold(key, frames, state: GroupState):
-        last, acc, mode, *ref = (
-            state.get if state.exists else (-1, None, initial_mode, None, None, None, None)
-        )
-        out = []
-
-        def emit(row, kind, text=None, action=None, swap=None):
-            out.append((key[0], row.seq, kind, text, action, swap, *ref, mode))
-
-        for row in _ordered(frames, last).itertuples():
-            last = row.seq
-            if row.kind == "mode":
-                mode = row.text
-            elif row.kind == "present":
-                ref = [row.edition, row.work, int(row.section), int(row.item)]
-            elif row.kind == "clear":
-                emit(row, "clear")
-            elif mode == "manual":
-                continue
-            elif not row.is_final:
-                text = row.text.strip()
-                if row.n_words < shortest:
-                    continue
+
+    def fold(key, row, carried, emit):
+        acc, mode, *ref = carried
+
+        def put(kind, text=None, action=None, swap=None):
+            emit((key[0], row.seq, kind, text, action, swap, *ref, mode))
+
+        if row.kind == "mode":
+            mode = row.text
+        elif row.kind == "present":
+            ref = [row.edition, row.work, int(row.section), int(row.item)]
+        elif row.kind == "clear":
+            put("clear")
+        elif mode == "manual":
+            pass
+        elif not row.is_final:
+            text = row.text.strip()
+            if row.n_words >= shortest:
                 if acc is not None and row.opener:
-                    emit(row, "quote", acc)
+                    put("quote", acc)
                 acc = text
-            elif row.intent != cue:
-                if acc is not None:
-                    emit(row, "quote", acc)
+        elif row.intent != cue:
+            if acc is not None:
+                put("quote", acc)
+            acc = None
+            kind = "nav" if row.intent == nav else "clear" if row.intent == clear else "explicit"
+            # without an anchor there is nothing to step from: a named edition comes first
+            free_swap = row.intent == nav and ref[0] is None and row.swap is not None
+            put(kind, row.text, "swap_translation" if free_swap else row.action, row.swap)
+        elif row.n_words >= shortest:
+            if acc is not None and row.opener:
+                put("quote", acc)
                 acc = None
-                kind = "nav" if row.intent == nav else "clear" if row.intent == clear else "explicit"
-                emit(row, kind, row.text, row.action, row.swap)
-            elif row.n_words >= shortest:
-                if acc is not None and row.opener:
-                    emit(row, "quote", acc)
-                    acc = None
-                if acc is None or row.text in acc or acc in row.text:
-                    acc = row.text
-                else:
-                    acc = acc + " " + row.text
-                if row.ends:
-                    emit(row, "quote", acc)
-                    acc = None
-        state.update((int(last), acc, mode, *ref))
-        result = pd.DataFrame(out, columns=columns)
-        yield result.astype({"a_section": "Int32", "a_item": "Int32"})
-
-    return _apply(df, fold, SESSION_OUT, SESSION_STATE)
+            if acc is None or row.text in acc or acc in row.text:
+                acc = row.text
+            else:
+                acc = acc + " " + row.text
+            if row.ends:
+                put("quote", acc)
+                acc = None
+        return (acc, mode, *ref)
+
+    def finish(key, last, carried, emit):
+        acc, mode, *ref = carried
+        if acc is not None:
+            emit((key[0], last, "quote", acc, None, None, *ref, mode))
+        return (None, mode, *ref)
+
+    return _in_order(
+        df, (None, initial_mode, None, None, None, None), fold, finish, SESSION_OUT, SESSION_STATE
+    )
 
 
 def queue_changes(events: DataFrame, item: str = "item") -> DataFrame:
-    """Queue size after every add, remove and clear; the state is the list of waiting items."""
-    def fold(key, frames, state: GroupState):
-        last, waiting = state.get if state.exists else (-1, [])
-        waiting, out = list(waiting), []
-        for row in _ordered(frames, last).itertuples():
-            last = row.seq
-            if row.kind == "queue_add":
-                waiting.append(int(row.item))
-            elif row.kind == "queue_remove":
-                waiting = [w for w in waiting if w != row.item]
-            elif row.kind == "queue_clear":
-                waiting = []
-            out.append((key[0], row.seq, list(waiting)))
-        state.update((int(last), waiting))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "waiting"])
-
-    slim = events.select("stream_id", "seq", "kind", F.col(item).alias("item"))
-    return _apply(slim, fold, "stream_id string, seq long, waiting array<int>", "last long, waiting array<int>")
+    """Number of waiting items after every add, remove and clear; the items stay in the state."""
+    def fold(key, row, carried, emit):
+        waiting = json.loads(carried[0])
+        if row.kind == "queue_add":
+            waiting.append(row.item)
+        elif row.kind == "queue_remove":
+            waiting = [w for w in waiting if w != row.item]
+        elif row.kind == "queue_clear":
+            waiting = []
+        emit((key[0], row.seq, len(waiting)))
+        return (json.dumps(waiting),)
+
+    slim = events.select("stream_id", "seq", "event_time", "kind", F.col(item).alias("item"))
+    return _in_order(slim, ("[]",), fold, None, "stream_id string, seq long, waiting long", "waiting string")
