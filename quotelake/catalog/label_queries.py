@@ -330,24 +330,28 @@ def drop_reasons(spark, sf):
 _QUOTAS = {"explicit_reference": 10, "paraphrase": 5, "narration_chop": 20}
 _ACCEPT = rf"""
 good AS (SELECT row_id, text, subtype, regexp_replace({B.sql_trim('lower(text)')}, '\s+', ' ', 'g') AS norm FROM checked WHERE drop_reason IS NULL),
-fresh AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY norm ORDER BY row_id) = 1),
-acc AS (SELECT row_id, subtype FROM (SELECT *, row_number() OVER (PARTITION BY subtype ORDER BY row_id) AS r FROM fresh)
-  WHERE r <= CASE subtype WHEN 'explicit_reference' THEN 10 WHEN 'paraphrase' THEN 5 WHEN 'narration_chop' THEN 20 ELSE 0 END)"""
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY row_id) AS rn FROM good),
+f AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS row_id, NULL::VARCHAR AS subtype, FALSE AS ok, []::VARCHAR[] AS seen, 0 AS a, 0 AS b, 0 AS c
+  UNION ALL
+  SELECT rn, row_id, subtype, ok, CASE WHEN ok THEN list_append(seen, norm) ELSE seen END, a + (ok AND subtype = 'explicit_reference')::INTEGER,
+    b + (ok AND subtype = 'paraphrase')::INTEGER, c + (ok AND subtype = 'narration_chop')::INTEGER
+  FROM (SELECT n.*, f.seen, f.a, f.b, f.c, NOT list_contains(f.seen, n.norm) AND CASE n.subtype WHEN 'explicit_reference' THEN f.a < 10
+    WHEN 'paraphrase' THEN f.b < 5 WHEN 'narration_chop' THEN f.c < 20 ELSE FALSE END AS ok FROM f JOIN numbered n ON n.rn = f.rn + 1)),
+acc AS (SELECT row_id, subtype FROM f WHERE ok)"""
 
 
 def _accepted(spark, sf):
     checked = synthetic.validate(_synthetic(spark, sf), B.passages(spark, sf))
-    fresh = synthetic.unseen(checked.filter(F.col("drop_reason").isNull()), None, "row_id")
-    return synthetic.accept_quota(fresh, "row_id", targets=_QUOTAS)
+    return synthetic.accept_fresh(checked.filter(F.col("drop_reason").isNull()), "row_id", targets=_QUOTAS)
 
 
-@query(f"WITH {B.PASSAGES}, {_SYN}, {_ACCEPT} SELECT row_id, subtype FROM acc")
+@query(f"WITH RECURSIVE {B.PASSAGES}, {_SYN}, {_ACCEPT} SELECT row_id, subtype FROM acc")
 def quota_accept(spark, sf):
     return _accepted(spark, sf).select("row_id", "subtype")
 
 
 @query(f"""
-WITH {B.PASSAGES}, {_SYN}, {_ACCEPT}, g(subtype, target) AS (VALUES ('explicit_reference', 10), ('paraphrase', 5), ('narration_chop', 20))
+WITH RECURSIVE {B.PASSAGES}, {_SYN}, {_ACCEPT}, g(subtype, target) AS (VALUES ('explicit_reference', 10), ('paraphrase', 5), ('narration_chop', 20))
 SELECT g.subtype, g.target::BIGINT AS target, count(acc.row_id) AS accepted, greatest(0, g.target - count(acc.row_id))::BIGINT AS remaining FROM g LEFT JOIN acc USING (subtype) GROUP BY g.subtype, g.target
 """)
 def quota_progress(spark, sf):

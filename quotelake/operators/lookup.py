@@ -45,18 +45,21 @@ def with_fallback(
 ) -> DataFrame:
     """Requested edition, else the default, else the first by name. Unmatched refs are kept.
 
-    Rows without a work get a join key of their own, so they do not all meet in one partition.
+    Rows without a whole reference get a join key of their own, so they do not all meet in one partition.
     """
     default = F.lit(default) if isinstance(default, str) else default
     table = passages.select(
-        F.col("work").alias("_work"), "section", "item", F.col("edition").alias("found_edition"),
+        F.col("work").alias("_work"), F.col("section").alias("_section"), F.col("item").alias("_item"),
+        F.col("edition").alias("found_edition"),
         F.col("text").alias("_t"),
     )
+    whole = F.col("work").isNotNull() & F.col("section").isNotNull() & F.col("item").isNotNull()
     own_key = F.concat(F.lit("\u0000"), F.col(ref_id).cast("string"))
     joined = (
         refs.withColumn("_default", default)
-        .withColumn("_work", F.coalesce("work", own_key))
-        .join(table, ["_work", "section", "item"], "left")
+        .withColumn("_work", F.when(whole, F.col("work")).otherwise(own_key))
+        .withColumns({"_section": F.coalesce("section", F.lit(-1)), "_item": F.coalesce("item", F.lit(-1))})
+        .join(table, ["_work", "_section", "_item"], "left")
     )
     priority = F.struct(
         F.when(F.col("found_edition") == F.col("edition"), 0)

@@ -31,8 +31,14 @@ def validate(rows: DataFrame, passages: DataFrame, targets: dict[str, int] | Non
     sub = F.trim(F.coalesce("subtype", F.lit("")))
     df = rows.withColumns({"text": text, "subtype": sub, **R.strict_reference(F.col("verse"))})
     df = R.work_titles(df, "ref_token", "work", passages)
-    sets = passage_word_sets(passages).withColumnsRenamed({"section": "ref_section", "item": "ref_item"})
-    df = df.join(sets, ["work", "ref_section", "ref_item"], "left")
+    # rows whose reference did not resolve get join keys of their own, so they do not meet in one task
+    whole = F.col("work").isNotNull() & F.col("ref_section").isNotNull() & F.col("ref_item").isNotNull()
+    df = df.withColumn(
+        "_key", F.when(whole, F.concat_ws("\u0000", "work", "ref_section", "ref_item"))
+        .otherwise(F.concat(F.lit("\u0000"), F.md5(F.concat_ws("|", "text", "verse", "subtype"))))
+    )
+    sets = passage_word_sets(passages).select(F.concat_ws("\u0000", "work", "section", "item").alias("_key"), "_sets")
+    df = df.join(sets, "_key", "left").drop("_key")
     known = F.col("_sets").isNotNull()
     overlap = F.array_max(
         F.transform("_sets", lambda s: T.content_overlap(s, T.content_set(F.col("text"))))
@@ -60,21 +66,64 @@ def validate(rows: DataFrame, passages: DataFrame, targets: dict[str, int] | Non
     ).drop("ref_token", "ref_section", "ref_item", "work", "_sets")
 
 
+def _digest(text: str):
+    return F.md5(T.norm_text(F.col(text)))
+
+
 def unseen(rows: DataFrame, existing: DataFrame | None, order: str, text: str = "text") -> DataFrame:
     """First row of every normalised text that `existing` does not hold yet.
 
-    An aggregate with map-side combine keeps the first row, so copies of one text never meet in
-    one window task.
+    Texts meet as digests, and an aggregate with map-side combine keeps the first row, so copies of one
+    text never meet in one window task.
     """
-    df = rows.withColumn("_norm", T.norm_text(F.col(text)))
+    df = rows.withColumn("_norm", _digest(text))
     if existing is not None:
-        seen = existing.select(T.norm_text(F.col(text)).alias("_norm")).distinct()
+        seen = existing.select(_digest(text).alias("_norm")).distinct()
         df = df.join(seen, "_norm", "left_anti")
     keep = [c for c in rows.columns]
     first = df.groupBy("_norm").agg(F.min_by(F.struct(*keep), order).alias("_row"))
     return first.select("_row.*")
 
 
+def accept_fresh(
+    rows: DataFrame, order: str, targets: dict[str, int] | None = None,
+    existing: DataFrame | None = None, text: str = "text", width: int = 65536,
+) -> DataFrame:
+    """Rows in arrival order whose text is new and whose subtype is not full.
+
+    A text counts as seen once a row of it is accepted, so a copy of a text whose subtype was full may
+    come in under another subtype. `order` is unique. Quotas fill up one after the other: with the
+    places known at which the first ones were full, what comes in before the next one fills up is known
+    too, so there are at most as many rounds as subtypes.
+    """
+    targets = dict(targets or L.SUBTYPE_TARGETS)
+    slim = rows.select(order, "subtype", _digest(text).alias("_norm"))
+    slim = slim.filter(F.col("subtype").isin(list(targets)))
+    if existing is not None:
+        seen = existing.select(_digest(text).alias("_norm")).distinct()
+        slim = slim.join(seen, "_norm", "left_anti")
+        used = {r["subtype"]: r["n"] for r in existing.groupBy("subtype").agg(F.count("*").alias("n")).collect()}
+        targets = {k: n - used.get(k, 0) for k, n in targets.items()}
+    full: dict[str, int] = {}
+    slim = slim.filter(F.col("subtype").isin([k for k, n in targets.items() if n > 0])).persist()
+    while True:
+        open_ = F.lit(True)
+        for subtype, last in full.items():
+            open_ = open_ & ((F.col("subtype") != subtype) | (F.col(order) <= last))
+        fresh = slim.filter(open_).groupBy("_norm").agg(F.min_by(F.struct(order, "subtype"), order).alias("_row"))
+        ranked = ordered.dense_index(fresh.select("_row.*"), Axis(("subtype",), (order,), width), "_rank")
+        quota = F.try_element_at(R.literal_map(targets), F.col("subtype"))
+        ends = (
+            ranked.filter((F.col("_rank") == quota - 1) & ~F.col("subtype").isin(list(full)))
+            .select(order, "subtype").orderBy(order).limit(1).collect()  # the next quota to fill up
+        )
+        if not ends:
+            break
+        full[ends[0]["subtype"]] = ends[0][order]
+    accepted = fresh.select(F.col(f"_row.{order}").alias(order))
+    return rows.join(accepted, order, "left_semi")
+
+
 def accept_quota(
     rows: DataFrame, order: str, targets: dict[str, int] | None = None,
     already: DataFrame | None = None, width: int = 65536,

@@ -43,5 +43,4 @@ def validate_synthetic(
     """(accepted rows, drop counts): validation, duplicate check and quotas in arrival order."""
     checked = synthetic.validate(rows, passages)
     good = checked.filter(F.col("drop_reason").isNull())
-    fresh = synthetic.unseen(good, existing, order)
-    return synthetic.accept_quota(fresh, order, already=existing), synthetic.drop_counts(checked)
+    return synthetic.accept_fresh(good, order, existing=existing), synthetic.drop_counts(checked)

@@ -40,7 +40,7 @@ def _read(spark: SparkSession, path: str, body: t.ArrayType) -> DataFrame:
     )
     is_list = F.ltrim("value").startswith("[")
     wrapped = F.when(is_list, F.concat(F.lit('{"books":'), "value", F.lit("}"))).otherwise(F.col("value"))
-    return raw.select(F.from_json(wrapped, top).alias("d")).select("d.*")
+    return raw.select(F.from_json(wrapped, top).alias("d"), F.col("_metadata.file_path").alias("_file")).select("d.*", "_file")
 
 
 def _flatten(df: DataFrame) -> DataFrame:
@@ -69,14 +69,14 @@ def read_editions(spark: SparkSession, path: str) -> DataFrame:
     """Several editions per file: the text is a map, or a string of the first declared edition.
 
     Work names that are not canonical are resolved by alias where possible. The last text of a
-    repeated key wins.
+    repeated key wins: by file name, then by place in the file.
     """
     df = _flatten(_read(spark, path, _nested(t.StringType())))
     raw = F.trim("v.text")
     texts = F.from_json(F.when(raw.startswith("{"), raw), "map<string,string>")
     first = F.coalesce(F.get("versions", 0), F.lit(""))
     entries = F.coalesce(F.map_entries(texts), F.array(F.struct(first.alias("key"), raw.alias("value"))))
-    df = df.withColumn("_nr", F.monotonically_increasing_id())
+    df = df.withColumn("_nr", F.struct("_file", F.monotonically_increasing_id()))  # a file is one row, in order
     df = df.select("work", "section", "item", "_nr", F.explode(entries).alias("e"))
     df = df.select(
         T.edition_code(F.col("e.key")).alias("edition"), "work", "section", "item",
