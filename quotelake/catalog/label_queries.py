@@ -166,15 +166,14 @@ def removed_counts(spark, sf):
 
 
 @query(f"""
-WITH {_LABELLED}, k AS (SELECT label, text FROM labelled GROUP BY text, label)
-SELECT label, count(*) AS n, ceil(round(count(*) * 0.1::DOUBLE, 9))::BIGINT AS n_validation FROM k GROUP BY label
+WITH {_LABELLED}, k AS (SELECT min(doc_id) AS doc_id, text FROM labelled GROUP BY text),
+r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || k.text)) AS r, count(*) OVER (PARTITION BY label) AS n
+  FROM k JOIN labelled USING (doc_id) WHERE label IS NOT NULL)
+SELECT doc_id, label, r <= ceil(round(n * 0.1::DOUBLE, 9)) AS is_validation FROM r
 """)
 def stratified_split(spark, sf):
     rows = training.keep_first_texts(_labelled(spark, sf).select("doc_id", "text", "label"), "doc_id")
-    split = training.stratified_split(rows)
-    return split.groupBy("label").agg(
-        F.count("*").alias("n"), F.count_if("is_validation").alias("n_validation")
-    )
+    return training.stratified_split(rows).select("doc_id", "label", "is_validation")
 
 
 @query(f"WITH {_LABELLED} SELECT label, count(*) AS n, {R4('(SELECT count(*) FROM labelled)::DOUBLE / (2 * count(*))', 6)} AS weight FROM labelled GROUP BY label")

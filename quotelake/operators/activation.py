@@ -6,7 +6,6 @@ deactivate and revoke. A key has at most one active device.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -15,28 +14,35 @@ from .. import config as C
 from . import ordered
 from .ordered import CHUNK, Axis
 
-FREE, REVOKED = "", "#revoked"
+FREE = ""
 
 
 def activation_outcomes(log: DataFrame, width: int = 65536) -> DataFrame:
     """Add `holder` (device holding the key before the row) and `outcome` for every row."""
     axis = Axis(("license_key",), ("seq",), width)
 
-    def step(rows: pd.DataFrame, entry: str) -> list:
+    def step(rows: ordered.Rows, entry: str) -> list:
         state, states = entry, []
         for action, device in zip(rows["action"], rows["fingerprint"]):
-            if action == "revoke":
-                state = REVOKED
-            elif action == "activate" and state == FREE:
+            if action == "activate" and state == FREE:
                 state = device
             elif action == "deactivate" and state == device:
                 state = FREE
             states.append(state)
         return states
 
-    # a device that is not deactivated inside a chunk passes through it unchanged, unless revoked
-    def entries(rows: pd.DataFrame) -> list:
-        return [FREE, REVOKED, *rows["fingerprint"].unique()]
+    def outcomes(rows: ordered.Rows) -> dict:
+        """One backward pass: who holds the key at the end if it is free, or held, before a row.
+
+        A holder keeps the key up to its own deactivation, from where on the key is free.
+        """
+        free, held = FREE, {}
+        for action, device in zip(reversed(rows["action"]), reversed(rows["fingerprint"])):
+            if action == "deactivate":
+                held[device] = free
+            elif action == "activate":
+                free = held.get(device, device)
+        return {FREE: free, **held}
 
     def revoke_first(df: DataFrame) -> DataFrame:
         first = df.filter(F.col("action") == "revoke").groupBy("license_key").agg(
@@ -47,7 +53,7 @@ def activation_outcomes(log: DataFrame, width: int = 65536) -> DataFrame:
     df = revoke_first(log)
     before = F.col("_revoked").isNull() | (F.col("seq") < F.col("_revoked"))
     scanned = ordered.state_scan(
-        df.filter(before), axis, entries, step, "_after", ["action", "fingerprint"], FREE, StringType()
+        df.filter(before), axis, outcomes, step, "_after", ["action", "fingerprint"], FREE, StringType()
     ).drop(CHUNK)
     scanned = ordered.carry_last(scanned, axis, {"holder": F.col("_after")}).drop(CHUNK)
     holder = F.coalesce("holder", F.lit(FREE))

@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,10 +107,17 @@ def first_per_group(df: DataFrame, axis: Axis, quota: Column, out: str = "_rank"
     return ranked.filter(F.col(out) < quota)
 
 
-# step(rows, entry) folds the sorted rows of one chunk and returns the state after every row
-Step = Callable[[pd.DataFrame, object], list]
-# entries(rows) lists the entry states whose outcome the chunk has to tabulate
-Entries = Callable[[pd.DataFrame], list]
+# the sorted rows of one chunk as columns
+Rows = dict[str, list]
+# step(rows, entry) folds a chunk and returns the state after every row
+Step = Callable[[Rows, object], list]
+# outcomes(rows) gives the state after the chunk for every entry state that does not pass unchanged
+Outcomes = Callable[[Rows], dict]
+
+
+def folded(entries: list, step: Step) -> Outcomes:
+    """Outcomes by one fold per entry state, for a small fixed list of states."""
+    return lambda rows: {entry: step(rows, entry)[-1] for entry in entries}
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[pa.Table]:
@@ -130,13 +136,13 @@ def _by_group(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[p
 
 
 def state_scan(
-    df: DataFrame, axis: Axis, entries: Entries, step: Step, out: str, columns: list[str],
+    df: DataFrame, axis: Axis, outcomes: Outcomes, step: Step, out: str, columns: list[str],
     initial, state_type: t.DataType,
 ) -> DataFrame:
     """Sequential fold run in parallel over chunks; the results equal the plain fold.
 
-    Folding a chunk is a function of its entry state. Each chunk tabulates that function for the
-    states `entries` names (every other state must pass through unchanged), the small tables are
+    Folding a chunk is a function of its entry state. Each chunk tabulates that function by
+    `outcomes` (every other state must pass through unchanged), the small tables are
     composed chunk by chunk, and each chunk is replayed once from its true entry state. Chunks
     are read from sorted partitions, so short streams cost no task or batch of their own.
     """
@@ -152,10 +158,9 @@ def state_scan(
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_group(batches, group):
-            pdf = rows.select(used).to_pandas()
-            given = list(dict.fromkeys(entries(pdf)))
-            exits = [step(pdf, s)[-1] for s in given]
-            record = {c: [rows.column(c)[0].as_py()] for c in group} | {"_in": [given], "_out": [exits]}
+            exits = outcomes(rows.select(used).to_pydict())
+            record = {c: [rows.column(c)[0].as_py()] for c in group}
+            record |= {"_in": [list(exits)], "_out": [list(exits.values())]}
             yield pa.RecordBatch.from_pydict(record, schema=table_arrow)
 
     sliced = df.select(*dict.fromkeys([*group, *used])).repartition(*group)
@@ -184,7 +189,7 @@ def state_scan(
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_group(batches, group):
-            states = step(rows.select(used).to_pandas(), rows.column("_entry")[0].as_py())
+            states = step(rows.select(used).to_pydict(), rows.column("_entry")[0].as_py())
             rows = rows.drop_columns(["_entry"]).append_column(
                 out, pa.array(states, replay_arrow.field(out).type)
             )

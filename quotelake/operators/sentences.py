@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -215,7 +214,7 @@ def overlap_trim_exact(
     df = ordered.carry_last(segments, axis, {"_prev": F.col(text)}).drop(CHUNK)
     limit = C.OVERLAP_WORDS
 
-    def step(rows: pd.DataFrame, entry: int) -> list:
+    def step(rows: ordered.Rows, entry: int) -> list:
         states = []
         lost = entry
         for prev, new in zip(rows["_prev"], rows[text]):
@@ -227,7 +226,7 @@ def overlap_trim_exact(
         return states
 
     df = ordered.state_scan(
-        df, axis, lambda rows: list(range(limit + 1)), step, "dropped",
+        df, axis, ordered.folded(list(range(limit + 1)), step), step, "dropped",
         ["_prev", text], 0, IntegerType(),
     )
     nw = T.words(F.col(text))

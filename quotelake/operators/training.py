@@ -16,12 +16,13 @@ BUCKET_BITS = 20
 
 
 def keep_first_texts(rows: DataFrame, order: str) -> DataFrame:
-    """First row of every text, then rows without text or label removed."""
-    cols = rows.columns
-    first = rows.groupBy("text").agg(
-        F.min_by(F.struct(*[c for c in cols if c != "text"]), order).alias("_row")
-    )
-    return first.select("text", "_row.*").select(*cols).na.drop(subset=["label", "text"])
+    """First row of every text, then rows without text or label removed. `order` is unique.
+
+    Texts meet as digests and only their first places are shuffled; a text is read again from its row.
+    """
+    key = F.coalesce(F.md5("text"), F.lit(""))
+    first = rows.groupBy(key.alias("_text")).agg(F.min(order).alias(order)).select(order)
+    return rows.join(first, order, "left_semi").na.drop(subset=["label", "text"])
 
 
 def removed_counts(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -38,15 +39,14 @@ def removed_counts(before: DataFrame, after: DataFrame) -> DataFrame:
 def stratified_split(
     rows: DataFrame, label: str = "label", text: str = "text", fraction: float = 0.10, seed: int = 42
 ) -> DataFrame:
-    """Add `is_validation` for exactly ceil(fraction * n) rows of each label, by seeded text hash.
+    """Add `is_validation` for exactly ceil(fraction * n) rows of each label, by seeded text digest.
 
     Two labels mean two huge groups, so no window ranks a label. Rows fall into 2^20 hash
     buckets; the counts per bucket say which bucket the cut falls into, and only the rows of that
     one bucket are ranked. Texts are expected to be distinct.
     """
-    h = F.xxhash64(text, F.lit(seed))
-    df = rows.withColumn("_h", h).withColumn(
-        "_bucket", F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("long")
+    df = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(text)))).withColumn(
+        "_bucket", F.conv(F.substring("_h", 1, BUCKET_BITS // 4), 16, 10).cast("long")
     )
     counts = df.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
     sizes = counts.groupBy(label).agg(F.ceil(F.round(F.sum("_n") * fraction, 9)).alias("_want"))
