@@ -21,7 +21,7 @@ from quotelake.llm.words import SPACE
 
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
-CACHED_TOKENS = 200_000
+CACHED_TOKENS = 400_000
 
 
 @dataclass(frozen=True)
@@ -29,17 +29,19 @@ class Bounds:
     """What bounds the model: about rows and languages of the sample, kept words and grams."""
 
     sample_rows: int = 2000
-    languages: int = 64
+    languages: int = 32
     words: int = 20_000
     grams: int = 10_000
 
 
 @dataclass
 class LanguageModel:
+    """Log frequencies per language: words, then grams by ORDERS, each as entry to row and a matrix."""
+
     languages: list[str]
     prior: np.ndarray
-    tables: list[dict[str, list[tuple[int, float]]]]  # words, then grams by ORDERS
-    floors: np.ndarray                                # per table and language: log of an unseen entry
+    entries: list[dict[str, int]]
+    logs: list[np.ndarray]
 
 
 def remainder(id_col: Column, parts: int = 4) -> Column:
@@ -76,7 +78,7 @@ def fit(
     word = F.explode(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " ")).alias("w")
     words = chosen.select("lang", word).where("w != ''").groupBy("lang", "w").count().cache()
     languages = [lang for lang, _ in counts]
-    tables, floors = [], []
+    entries, logs = [], []
 
     def most(frame: DataFrame, number: int) -> None:
         rank = Window.partitionBy("lang").orderBy(F.desc("count"), "w")
@@ -85,13 +87,15 @@ def fit(
         at = {lang: i for i, lang in enumerate(languages)}
         for r in rows:
             total[at[r["lang"]]] += r["count"]
-        floor = np.log(0.5 / (total + 1.0))
-        table: dict[str, list[tuple[int, float]]] = {}
+        table: dict[str, int] = {}
+        for r in rows:
+            table.setdefault(r["w"], len(table))
+        log = np.tile(np.log(0.5 / (total + 1.0)), (len(table), 1)).astype(np.float32)
         for r in rows:
             i = at[r["lang"]]
-            table.setdefault(r["w"], []).append((i, float(np.log((r["count"] + 0.5) / (total[i] + 1.0)))))
-        tables.append(table)
-        floors.append(floor)
+            log[table[r["w"]], i] = np.log((r["count"] + 0.5) / (total[i] + 1.0))
+        entries.append(table)
+        logs.append(log)
 
     most(words, bounds.words)
     for n in ORDERS:
@@ -106,27 +110,21 @@ def fit(
         most(grams, bounds.grams)
     words.unpersist()
     rows = np.array([n for _, n in counts], float)
-    return LanguageModel(languages, np.log(rows / rows.sum()) if len(rows) else rows, tables, np.array(floors))
-
+    return LanguageModel(languages, np.log(rows / rows.sum()) if len(rows) else rows, entries, logs)
 
-def word_scores(model: LanguageModel, word: str) -> np.ndarray | None:
-    """Log frequency per language by backoff; None if nothing of the word is known."""
-    def row(table: int, found: list[tuple[int, float]]) -> np.ndarray:
-        out = model.floors[table].copy()
-        for i, value in found:
-            out[i] = value
-        return out
 
-    found = model.tables[0].get(word)
-    if found:
-        return row(0, found)
+def found_entries(model: LanguageModel, word: str) -> tuple[int, list[int]] | None:
+    """Table and rows that score a word, by backoff; None if nothing of the word is known."""
+    row = model.entries[0].get(word)
+    if row is not None:
+        return 0, [row]
     padded = f" {word} "
     for table, n in enumerate(ORDERS, 1):
         text = padded if n > 1 else word
-        known = [model.tables[table].get(text[i:i + n]) for i in range(len(text) - n + 1)]
-        known = [k for k in known if k]
-        if known:
-            return np.mean([row(table, k) for k in known], 0)
+        get = model.entries[table].get
+        rows = [r for i in range(len(text) - n + 1) if (r := get(text[i:i + n])) is not None]
+        if rows:
+            return table, rows
     return None
 
 
@@ -136,23 +134,39 @@ class Predictor:
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-
-    def _learn(self, token: str) -> int:
-        """Row: summed scores, number of scored words, number of letters."""
-        width = len(self.model.languages)
-        out = np.zeros(width + 2)
-        lowered = token.lower()
-        if not lowered.isalpha():
-            lowered = "".join(c if c.isalpha() else " " for c in lowered)
-        for word in lowered.split():
-            scores = word_scores(self.model, word)
-            if scores is not None:
-                out[:width] += scores
-                out[width] += 1
-            out[width + 1] += len(word)
-        self.rows.append(out)
-        return len(self.rows) - 1
+        # per token: summed scores of its words, number of scored words, number of letters
+        self.rows = np.zeros((1 << 12, len(model.languages) + 2))
+
+    def _learn(self, tokens: list[str]) -> None:
+        width, count = len(self.model.languages), len(self.known)
+        while count + len(tokens) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        out = self.rows[count:count + len(tokens)]
+        out[:] = 0
+        # by table: the token of each scored word, how many entries it has, and the entries
+        owners: list[list[int]] = [[] for _ in self.model.logs]
+        sizes: list[list[int]] = [[] for _ in self.model.logs]
+        found: list[list[int]] = [[] for _ in self.model.logs]
+        for k, token in enumerate(tokens):
+            lowered = token.lower()
+            if lowered.isalpha():
+                words = (lowered,)
+            else:
+                words = "".join(c if c.isalpha() else " " for c in lowered).split()
+            for word in words:
+                out[k, width + 1] += len(word)
+                hit = found_entries(self.model, word) if width else None
+                if hit:
+                    owners[hit[0]].append(k)
+                    sizes[hit[0]].append(len(hit[1]))
+                    found[hit[0]] += hit[1]
+        for log, owner, size, rows in zip(self.model.logs, owners, sizes, found):
+            if owner:
+                size = np.array(size)
+                mean = np.add.reduceat(log[rows].astype(float), np.cumsum(size) - size) / size[:, None]
+                np.add.at(out[:, :width], owner, mean)
+                np.add.at(out[:, width], owner, 1)
+        self.known.update(zip(tokens, range(count, count + len(tokens))))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score (0 to 1) per text."""
@@ -173,11 +187,9 @@ class Predictor:
             ).dictionary_encode()
             names = [t.strip() for t in tokens.dictionary.to_pylist()]
             if len(self.known) + len(names) > CACHED_TOKENS:
-                self.known, self.rows = {}, []
-            for name in names:
-                if name not in self.known:
-                    self.known[name] = self._learn(name)
-            local = np.array([self.rows[self.known[n]] for n in names])
+                self.known = {}
+            self._learn(list(dict.fromkeys(t for t in names if t not in self.known)))
+            local = self.rows[list(map(self.known.__getitem__, names))]
             index = tokens.indices.to_numpy()
             owner = np.searchsorted(offsets, starts, "right") - 1
             for k in range(width + 2):
