@@ -389,21 +389,30 @@ def works_by_frequency(spark, sf):
     return accepted.groupBy("work").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "work")
 
 
-def hybrid_scores(spark, sf):
-    """Rules decide where one fires, a model trained on rule-labelled turns scores the rest."""
+def _hybrid(spark, sf):
+    """The hybrid gate with a model trained on rule-labelled turns."""
     from ..operators import training
 
-    rows = detect.rule_gate(B.cue_segments(spark, sf), "text")
-    model = training.train(
-        rows.select("text", (F.col("rule_score") >= 0.4).cast("int").alias("label")), max_iter=10
-    )
-    rest = training.score(model, rows.filter(F.col("rule_score") < 0.4).select("stream_id", "seg_id", "text"))
-    fired = rows.filter(F.col("rule_score") >= 0.4).select(
-        "stream_id", "seg_id", F.col("rule_score").alias("score"), F.lit("rule").alias("source")
-    )
-    return fired.unionByName(
-        rest.select("stream_id", "seg_id", F.col("model_prob").alias("score"), F.lit("model").alias("source"))
-    )
+    rows = B.cue_segments(spark, sf)
+    gated = detect.rule_gate(rows, "text")
+    labels = gated.select("text", (F.col("rule_score") >= 0.4).cast("int").alias("label"))
+    scorer = training.scorer(training.train(labels, max_iter=10))
+    df = detect.hybrid_gate(rows, scorer, "text")
+    return df.select("stream_id", "seg_id", F.col("quote_prob").alias("score"), "source")
 
 
-B.query()(hybrid_scores)
+@query()
+def hybrid_scores(spark, sf):
+    """Rules decide where one fires, the model scores the rest."""
+    return _hybrid(spark, sf)
+
+
+@query(f"""
+WITH {B.CUE_SEGMENTS}, {_FLAGS}
+SELECT stream_id, seg_id, CASE WHEN n > 0 THEN {R4("rule_score", 4)} END AS rule_part, CASE WHEN sig_cue THEN 'cue' WHEN sig_reference THEN 'reference'
+  WHEN sig_attribution THEN 'attribution' WHEN sig_work THEN 'book_name' ELSE 'model' END AS source FROM rules
+""")
+def hybrid_sources(spark, sf):
+    """Who decides each turn, and the rules' scores where they do."""
+    ruled = F.when(F.col("source") != "model", records.round_at(F.col("score"), 4))
+    return _hybrid(spark, sf).select("stream_id", "seg_id", ruled.alias("rule_part"), "source")

@@ -357,6 +357,28 @@ def quota_progress(spark, sf):
     return synthetic.progress(_accepted(spark, sf), _QUOTAS)
 
 
+@query(f"""
+WITH RECURSIVE {B.PASSAGES}, {_SYN}, {_ACCEPT}
+SELECT label, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM acc), 6) AS share FROM acc JOIN checked USING (row_id) GROUP BY label
+""")
+def label_shares(spark, sf):
+    df = synthetic.label_shares(_accepted(spark, sf))
+    return df.withColumn("share", F.round("share", 6))
+
+
+@query("""
+WITH p AS (SELECT quality AS y, toxic AS x FROM labels), c AS (SELECT y AS class FROM p UNION SELECT x FROM p)
+SELECT class, round(coalesce(count(*) FILTER (y = class AND x = class)::DOUBLE / nullif(count(*) FILTER (x = class), 0), 0), 6) AS precision,
+  round(coalesce(count(*) FILTER (y = class AND x = class)::DOUBLE / nullif(count(*) FILTER (y = class), 0), 0), 6) AS recall,
+  round(coalesce(2 * count(*) FILTER (y = class AND x = class)::DOUBLE / nullif(count(*) FILTER (y = class) + count(*) FILTER (x = class), 0), 0), 6) AS f1,
+  count(*) FILTER (y = class) AS support FROM c CROSS JOIN p GROUP BY class
+""")
+def class_report(spark, sf):
+    rows = B.table(spark, sf, "labels").select(F.col("quality").alias("label"), F.col("toxic").alias("prediction"))
+    df = training.class_report(rows)
+    return df.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
 @query("""
 SELECT conv_id, turn, i::INTEGER AS i, text AS value FROM conversations, (VALUES (0), (1)) v(i)
 """)

@@ -12,8 +12,13 @@ from ..functions import signals as S
 from ..functions import text as T
 from . import rerank as RR
 
-# A model scorer maps a text column to a probability column (usually a pandas or Arrow UDF).
-Scorer = Callable[[Column], Column]
+# A model scorer adds a probability column `model_prob` for a text column: see `training.scorer`.
+Scorer = Callable[[DataFrame, str], DataFrame]
+
+
+def column_scorer(score: Callable[[Column], Column]) -> Scorer:
+    """A scorer from a column expression or an Arrow function."""
+    return lambda df, text: df.withColumn("model_prob", score(F.col(text)))
 
 
 def rule_gate(windows: DataFrame, text: str = "candidate_text") -> DataFrame:
@@ -35,13 +40,14 @@ def hybrid_gate(
         return df.withColumn("source", S.signal_source("none"))
     fired = df.filter(S.signal_count() > 0).withColumn("source", S.signal_source())
     rest = df.filter(S.signal_count() == 0)
-    rest = rest.withColumn("quote_prob", F.least(F.lit(C.SCORE_CAP), scorer(F.col(text))))
-    return fired.unionByName(rest.withColumn("source", F.lit("model")))
+    rest = scorer(rest, text).withColumn("quote_prob", F.least(F.lit(C.SCORE_CAP), "model_prob"))
+    return fired.unionByName(rest.drop("model_prob").withColumn("source", F.lit("model")))
 
 
 def model_gate(windows: DataFrame, scorer: Scorer, text: str = "candidate_text") -> DataFrame:
-    prob = F.greatest(F.lit(0.0), F.least(F.lit(C.SCORE_CAP), scorer(F.col(text))))
-    return windows.withColumn("quote_prob", prob)
+    """The model alone decides, whatever the rules say."""
+    prob = F.greatest(F.lit(0.0), F.least(F.lit(C.SCORE_CAP), "model_prob"))
+    return scorer(windows, text).withColumn("quote_prob", prob).drop("model_prob")
 
 
 def semantic_gate(

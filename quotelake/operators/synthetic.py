@@ -154,6 +154,13 @@ def progress(accepted: DataFrame, targets: dict[str, int] | None = None) -> Data
     )
 
 
+def label_shares(accepted: DataFrame) -> DataFrame:
+    """Accepted rows per label and their share of all."""
+    counts = accepted.groupBy("label").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("label", "n", (F.col("n") / F.col("_total")).alias("share"))
+
+
 def drop_counts(validated: DataFrame) -> DataFrame:
     return (
         validated.filter(F.col("drop_reason").isNotNull())

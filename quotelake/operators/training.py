@@ -138,3 +138,33 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("model_prob", prob).withColumn(
         "prediction", F.col("prediction").cast("int")
     ).drop(*hidden)
+
+
+def scorer(model: PipelineModel):
+    """The model as a scorer of the detection gates: adds `model_prob` for any text column."""
+    def add(df: DataFrame, text: str) -> DataFrame:
+        renamed = df.withColumnsRenamed({"text": "_own_text"} if "text" in df.columns and text != "text" else {})
+        scored = score(model, renamed.withColumn("text", F.coalesce(text, F.lit(""))))
+        out = scored.drop("prediction") if text == "text" else scored.drop("prediction", "text")
+        return out.withColumnsRenamed({"_own_text": "text"})
+
+    return add
+
+
+def class_report(rows: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
+    """Precision, recall, F1 and support of every class; a zero denominator gives 0."""
+    pairs = rows.groupBy(label, pred).agg(F.count("*").alias("n"))
+    sides = pairs.select(F.col(label).alias("class"), F.col("n").alias("support"), F.lit(0).alias("predicted"),
+                         F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0).alias("hit"))
+    sides = sides.unionByName(pairs.select(F.col(pred).alias("class"), F.lit(0).cast("long").alias("support"),
+                                           F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hit")))
+    total = sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hit")])
+
+    def ratio(a, b):
+        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+    hit, support, predicted = (F.col(c) for c in ("hit", "support", "predicted"))
+    return total.select(
+        "class", ratio(hit, predicted).alias("precision"), ratio(hit, support).alias("recall"),
+        ratio(2 * hit, support + predicted).alias("f1"), "support",
+    )

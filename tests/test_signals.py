@@ -43,8 +43,19 @@ def test_counts_and_source(spark, text, count, source):
 
 def test_hybrid_only_sends_silent_rows_to_the_model(spark):
     df = spark.createDataFrame([("The Bible says so.",), ("plain words here",)], "candidate_text string")
-    scored = detect.hybrid_gate(df, lambda c: F.when(c.contains("Bible"), F.raise_error(F.lit("called"))).otherwise(0.7))
+    scored = detect.hybrid_gate(df, detect.column_scorer(lambda c: F.when(c.contains("Bible"), F.raise_error(F.lit("called"))).otherwise(0.7)))
     got = {r["source"]: r["quote_prob"] for r in scored.collect()}
     # cue and attribution both fire
     assert got == {"cue": pytest.approx(0.95), "model": 0.7}
     assert detect.hybrid_gate(df, None).filter("source = 'none'").first()["quote_prob"] == 0.05
+
+
+def test_a_trained_model_can_gate(spark):
+    from quotelake.operators import training
+
+    rows = [(f"the bible says {i}", 1) for i in range(20)] + [(f"weather and news {i}", 0) for i in range(20)]
+    scorer = training.scorer(training.train(spark.createDataFrame(rows, "text string, label int"), max_iter=5))
+    windows = spark.createDataFrame([("weather news", "own"), ("bible says", "own")], "candidate_text string, text string")
+    got = {r["candidate_text"]: r for r in detect.model_gate(windows, scorer).collect()}
+    assert got["bible says"]["quote_prob"] > 0.5 > got["weather news"]["quote_prob"]
+    assert got["bible says"]["text"] == "own"
