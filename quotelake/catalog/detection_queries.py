@@ -306,12 +306,12 @@ variants AS (SELECT utt_id, text AS candidate_text, row_number() OVER (PARTITION
 WITH {B.PASSAGES}, {_P_BOW}, {B.CUE_SEGMENTS}, {_FLAGS}, {_LIVE_VARIANTS},
 {B.bow_ctes("q", "variants", "utt_id, variant_no", "variant", True)}, {_hits("utt_id, variant_no", 10, "variants")},
 {_ranked("utt_id, variant_no", "variants", "candidate_text")},
-pv AS (SELECT utt_id, variant_no, final AS confidence, work || ' ' || section || ':' || item AS reference FROM ranked WHERE pos = 1),
+pv AS (SELECT utt_id, variant_no, final AS confidence, work || ' ' || section || ':' || item AS reference, edition, passage_id FROM ranked WHERE pos = 1),
 bv AS (SELECT * FROM pv QUALIFY row_number() OVER (PARTITION BY utt_id ORDER BY confidence DESC, variant_no) = 1),
-ag AS (SELECT bv.utt_id, bv.reference, bv.variant_no, bv.confidence, count(*) AS agree FROM bv JOIN pv ON pv.utt_id = bv.utt_id AND pv.reference = bv.reference GROUP BY ALL),
+ag AS (SELECT bv.utt_id, bv.reference, bv.edition, bv.passage_id, bv.variant_no, bv.confidence, count(*) AS agree FROM bv JOIN pv ON pv.utt_id = bv.utt_id AND pv.reference = bv.reference GROUP BY ALL),
 bo AS (SELECT *, least(1::DOUBLE, confidence + CASE WHEN agree >= 2 THEN least(0.12::DOUBLE, 0.03::DOUBLE * (agree - 1)) ELSE 0::DOUBLE END) AS c2 FROM ag)
-SELECT utt_id, reference, variant_no::INTEGER AS variant_no, agree::INTEGER AS agree, {R4("c2", 4)} AS confidence,
-  CASE WHEN c2 >= 0.60 THEN 'autopilot-eligible' ELSE 'review queue' END AS confidence_band FROM bo WHERE c2 >= 0.45
+SELECT utt_id, reference, bo.edition, passages.text AS passage_text, variant_no::INTEGER AS variant_no, agree::INTEGER AS agree, {R4("c2", 4)} AS confidence,
+  CASE WHEN c2 >= 0.60 THEN 'autopilot-eligible' ELSE 'review queue' END AS confidence_band FROM bo JOIN passages USING (passage_id) WHERE c2 >= 0.45
 """)
 def live_detections(spark, sf):
     utts = B.cue_segments(spark, sf).select(

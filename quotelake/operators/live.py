@@ -109,17 +109,17 @@ def accumulate_cues(
     ).drop("_parts")
 
 
-def vote(variant_best: DataFrame, keys: list[str]) -> DataFrame:
+def vote(variant_best: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
     """Best query variant per text with the agreement boost.
 
-    Input: one row per (text, variant_no) with `reference`, `confidence`. The first strictly
-    highest confidence wins; n variants that agree on its reference add 0.03 (n-1), at most 0.12.
-    A text has few variants, so its list is small.
+    Input: one row per (text, variant_no) with `reference`, `confidence` and the columns to carry from
+    the winner. The first strictly highest confidence wins; n variants that agree on its reference add
+    0.03 (n-1), at most 0.12. A text has few variants, so its list is small.
     """
     packed = variant_best.groupBy(*keys).agg(
         F.array_sort(
             F.collect_list(
-                F.struct((-F.col("confidence")).alias("o"), "variant_no", "confidence", "reference")
+                F.struct((-F.col("confidence")).alias("o"), "variant_no", "confidence", "reference", *carry)
             )
         ).alias("_v")
     )
@@ -128,7 +128,7 @@ def vote(variant_best: DataFrame, keys: list[str]) -> DataFrame:
     boost = F.least(F.lit(C.AGREEMENT_CAP), C.AGREEMENT_STEP * (agree - 1))
     return packed.select(
         *keys, best["reference"].alias("reference"), best["variant_no"].alias("variant_no"),
-        agree.alias("agree"),
+        agree.alias("agree"), *[best[c].alias(c) for c in carry],
         F.least(F.lit(1.0), best["confidence"] + F.when(agree >= 2, boost).otherwise(0.0)).alias("confidence"),
     )
 
@@ -191,15 +191,19 @@ def queue_state(events: DataFrame, stream: str, seq: str, kind: str, item: str)
     ).drop("_c", "_r")
 
 
-def event_feed(transcripts: DataFrame, detections: DataFrame, displays: DataFrame, queue: DataFrame) -> DataFrame:
+def event_feed(
+    transcripts: DataFrame, detections: DataFrame, displays: DataFrame, queue: DataFrame,
+    sessions: DataFrame | None = None,
+) -> DataFrame:
     """Typed feed rows `(type, payload)`; detections carry a whole-number percentage."""
     def typed(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.lit(name).alias("type"), F.to_json(F.struct("*")).alias("payload"))
 
     percent = F.floor(F.col("confidence") * 100 + F.lit(0.5)).cast("int")
-    return (
+    feed = (
         typed(transcripts, "transcript_update")
         .unionByName(typed(detections.withColumn("confidence_percent", percent), "detection"))
         .unionByName(typed(displays, "display_update"))
         .unionByName(typed(queue, "queue_update"))
     )
+    return feed if sessions is None else feed.unionByName(typed(sessions, "session_update"))

@@ -134,7 +134,10 @@ def detect_utterances(
     utterances: DataFrame, passages: DataFrame, key: str = "utt_id", text: str = "text",
     settings: C.Settings = C.Settings(), embedder=None,
 ) -> DataFrame:
-    """Live detection of complete quotation texts: gate, query variants, best variant, agreement."""
+    """Live detection of complete quotation texts: gate, query variants, best variant, agreement.
+
+    A detection carries the reference, edition and text of the passage, so it can be presented.
+    """
     gated = detect.rule_gate(utterances.withColumn("candidate_text", F.col(text)))
     gated = gated.filter(F.col("quote_prob") >= settings.quote_threshold)
     gated = detect.min_words(gated, "candidate_text")
@@ -148,8 +151,9 @@ def detect_utterances(
     per_variant = ranked.select(
         key, "variant_no", best["final"].alias("confidence"),
         T.reference(best["work"], best["section"], best["item"]).alias("reference"),
+        best["edition"].alias("edition"), best["text"].alias("passage_text"),
     )
-    voted = live.live_floor(live.vote(per_variant, [key]))
+    voted = live.live_floor(live.vote(per_variant, [key], ("edition", "passage_text")))
     return voted.withColumn("confidence_band", T.band(F.col("confidence")))
 
 

@@ -39,17 +39,21 @@ def detect_batch(passages: DataFrame, out: str) -> Callable[[DataFrame, int], No
     """Resolve commands and detect quotations of one micro-batch of the live session."""
     def work(df: DataFrame, epoch: int) -> None:
         key = F.concat_ws("-", "stream_id", "seq", "out_kind")
-        df = df.withColumn("utt_id", key)
-        quotes = df.filter("out_kind = 'quote'").select("utt_id", "text")
-        found = detection.detect_utterances(quotes, passages)
+        df = df.withColumn("utt_id", key).persist()  # the state is read once, the branches share it
+        quotes = df.filter("out_kind = 'quote'").select("utt_id", "stream_id", "seq", "text")
+        found = detection.detect_utterances(quotes.select("utt_id", "text"), passages)
+        found = found.join(quotes.withColumnRenamed("text", "transcript"), "utt_id")
         commands = df.filter("out_kind IN ('nav', 'explicit')").select(
             "utt_id", "text", "a_edition", "a_work", "a_section", "a_item"
         )
         shown = router.route(commands, passages).filter(F.col("reason").isNull())
+        shown = shown.drop("available").join(df.select("utt_id", "stream_id", "seq"), "utt_id")
+        sessions = df.groupBy("stream_id").agg(F.max_by("mode", "seq").alias("mode"), F.max("seq").alias("as_of"))
         feed = live.event_feed(
-            quotes, found, shown.drop("available"), df.filter("out_kind = 'clear'").select("stream_id", "seq")
+            quotes, found, shown, df.filter("out_kind = 'clear'").select("stream_id", "seq"), sessions
         )
         feed.write.mode("overwrite").json(f"{out}/epoch={epoch}")
+        df.unpersist()
 
     return work
 

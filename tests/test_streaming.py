@@ -156,3 +156,27 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert go() == 0
     df.filter("event_time < timestamp_seconds(2000)").coalesce(1).write.mode("append").json(path)
     assert go() == 1
+
+
+def test_detect_live_publishes_full_detections(spark, tmp_path):
+    import json
+
+    verse = "love is patient and kind and it does not envy or boast in anything"
+    passages = spark.createDataFrame(
+        [(1, "NKJV", "John", 3, 16, verse), (2, "NKJV", "John", 3, 17, "quite another sentence about rivers and stones")],
+        "passage_id long, edition string, work string, section int, item int, text string",
+    )
+    rows = [("s", i, None, "segment", t, True, None, None, None, None, None) for i, t in enumerate(
+        [f"The Bible says {verse}.", "turn to John 3:17"]
+    )]
+    path = _feed(spark, tmp_path, rows, EVT, parts=1)
+    session = stateful.live_session(_events(spark, path, EVT))
+    out = str(tmp_path / "feed")
+    jobs.detect_live(session, passages, out, checkpoint=str(tmp_path / "ck"), available_now=True).awaitTermination()
+    feed = {}
+    for r in spark.read.json(f"{out}/epoch=*").collect():
+        feed.setdefault(r["type"], []).append(json.loads(r["payload"]))
+    (found,) = feed["detection"]
+    assert (found["reference"], found["edition"], found["passage_text"]) == ("John 3:16", "NKJV", verse)
+    assert found["stream_id"] == "s" and found["confidence_percent"] >= 60
+    assert feed["display_update"][0]["item"] == 17 and feed["session_update"][0]["mode"] == "semi_autopilot"
