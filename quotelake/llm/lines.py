@@ -3,18 +3,23 @@
 A line within ``edits`` edits of another keeps at least one of that line's edits + 1 segments whole, at
 a place shifted by no more than the edits before and after it allow. Every line is indexed by its own
 segments and probes with the few substrings that such a segment can be, for its own and the slightly
-smaller lengths. Candidates are confirmed by an edit automaton that runs over a band of diagonals held
+smaller lengths. Lines that meet must agree in how often letters occur, but for two counts per edit.
+Candidates are confirmed by an edit automaton that runs over a band of diagonals held
 in one bit set per number of edits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelake.llm.common import bounded_broadcast, saved
 
 EDITS, MIN_CHARS = 2, 20
+BLOCKS = 16
+SKETCH_LETTERS = "enatrisohldcumpgbfwv"
 
 
 def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
@@ -26,10 +31,51 @@ def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
     return before * size + F.greatest(before - short, F.lit(0)) + 1, size + F.when(before >= short, 1).otherwise(0)
 
 
-def _key(line: Column, length: Column, number: int, shift: int, edits: int) -> Column:
-    start, size = _segment(length, number, edits)
-    text = F.substring(line, (start + shift).cast("int"), size.cast("int"))
-    return F.xxhash64(F.lit(number), length, text)
+def _keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, v) of every probe: v is twice the line's id, plus one where the probe is an own segment.
+
+    All probes of one segment lie around the same place, so they are cut from one piece of the line.
+    """
+    reach = 2 * edits  # shifts and smaller lengths move a probe by no more
+    n = F.col("n")
+    pieces = {}
+    for number in range(edits + 1):
+        start, _ = _segment(n, number, edits)
+        begin = F.greatest(start - reach, F.lit(1)).cast("int")
+        pieces[f"p{number}"] = F.substring("line", begin, (F.floor(n / (edits + 1)) + 2 * reach + 2).cast("int"))
+    cut = lines.select("id63", "n", *[piece.alias(name) for name, piece in pieces.items()])
+    probes = []
+    for less, number, shift in probe_shifts(edits):
+        start, size = _segment(n - less, number, edits)
+        begin = F.greatest(_segment(n, number, edits)[0] - reach, F.lit(1))
+        text = F.substring(f"p{number}", (start + shift - begin + 1).cast("int"), size.cast("int"))
+        own = 1 if (less, shift) == (0, 0) else 0
+        probes.append(F.struct(
+            F.xxhash64(F.lit(number), n - less, text).alias("key"),
+            F.shiftleft("id63", 1).bitwiseOR(own).alias("v"),
+        ))
+    return cut.select(F.inline(F.array(*probes)))
+
+
+def sketch(line: Column) -> Column:
+    """How often each of twenty letters occurs, modulo eight, in three bits each."""
+    size = F.octet_length(line)
+    counts = [
+        F.shiftleft((size - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(7).cast("long"), 3 * k)
+        for k, c in enumerate(SKETCH_LETTERS)
+    ]
+    return reduce(Column.bitwiseOR, counts)
+
+
+def sketch_distance(a: Column, b: Column) -> Column:
+    """A lower bound of the letters' count differences; an edit changes two counts by one at most."""
+    total = F.lit(0)
+    for k in range(len(SKETCH_LETTERS)):
+        apart = F.abs(
+            F.shiftright(a, 3 * k).bitwiseAND(7).cast("int") - F.shiftright(b, 3 * k).bitwiseAND(7).cast("int")
+        )
+        total = total + F.least(apart, 8 - apart)
+    return total
 
 
 def probe_shifts(edits: int) -> list[tuple[int, int, int]]:
@@ -90,34 +136,56 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     )
 
 
+def blocks_agree(a: Column, b: Column, edits: int) -> Column:
+    """Whether all but ``edits`` of sixteen blocks of a stand in b at nearly the same place.
+
+    True for all strings within ``edits`` edits, and cheap; short strings are not looked at.
+    """
+    size = F.floor(F.length(a) / BLOCKS).cast("int")
+    total = F.lit(0)
+    for k in range(BLOCKS):
+        start = size * k + 1
+        window = F.substring(b, F.greatest(start - edits, F.lit(1)), size + 2 * edits)
+        total = total + F.when(F.contains(window, F.substring(a, start, size)), 1).otherwise(0)
+    return (size < 2 * edits) | (total >= BLOCKS - edits)
+
+
 def line_links(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, a2, b, b2): digests of every two different lines within ``edits`` edits; b is not longer."""
-    n = F.col("n")
-    index = lines.select(
-        "h", F.explode(F.array(*[_key(F.col("line"), n, i, 0, edits) for i in range(edits + 1)])).alias("key")
-    ).distinct()
-    probes = lines.select(
-        "h", F.explode(F.array(*[
-            _key(F.col("line"), n - less, i, shift, edits) for less, i, shift in probe_shifts(edits)
-        ])).alias("key")
-    ).distinct()
-    pairs = saved(
-        probes.withColumnRenamed("h", "a").join(index.withColumnRenamed("h", "b"), "key")
-        .where("a != b").select("a", "b").distinct(), "line-pairs",
+    """(a, a2, b, b2): digests of every two different lines within ``edits`` edits.
+
+    ``lines`` has each different line once: h, h2, n, line. Only the rows of keys that several lines
+    have go on, and only their lines' texts are looked at again.
+    """
+    id63 = F.shiftrightunsigned("h", 1)
+    rows = _keys(lines.withColumn("id63", id63), edits)
+    line_of = F.shiftrightunsigned("v", 1)
+    key = Window.partitionBy("key")
+    shared = saved(
+        rows.withColumns({"low": F.min(line_of).over(key), "high": F.max(line_of).over(key)})
+        .where("low < high").select("key", "v"), "line-keys",
     )
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ids")
+    ids = saved(shared.select(line_of.alias("id63")).distinct(), "line-ids")
     texts = saved(
-        lines.join(bounded_broadcast(ids, ids.count()), "h", "left_semi").select("h", "h2", "line")
-        .groupBy("h", "h2").agg(F.first("line").alias("line")).select("h", "h2", F.split("line", "").alias("line")),
-        "line-texts",
+        lines.withColumn("id63", id63).join(bounded_broadcast(ids, ids.count()), "id63", "left_semi")
+        .select("id63", "h", "h2", "line", sketch(F.col("line")).alias("s")), "line-texts",
+    )
+    marked = shared.withColumn("id63", line_of).join(texts.select("id63", "s"), "id63")
+    own = marked.where(F.col("v").bitwiseAND(1) == 1).select("key", F.col("id63").alias("b"), F.col("s").alias("t"))
+    pairs = saved(
+        marked.select("key", F.col("id63").alias("a"), "s").join(own, "key")
+        .where((F.col("a") != F.col("b")) & (sketch_distance(F.col("s"), F.col("t")) <= 2 * edits))
+        .select("a", "b").distinct(), "line-pairs",
     )
-    left = texts.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x"))
-    right = texts.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("y"))
+    left = texts.select(F.col("id63").alias("a"), F.col("h").alias("ah"), F.col("h2").alias("a2"), F.col("line").alias("x"))
+    right = texts.select(F.col("id63").alias("b"), F.col("h").alias("bh"), F.col("h2").alias("b2"), F.col("line").alias("y"))
     # comparing costs much more than its few bytes suggest: keep the number of partitions
     spread = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        pairs.join(left, "a").join(right, "b").repartition(spread).where(within_edits(F.col("x"), F.col("y"), edits))
-        .select("a", "a2", "b", "b2")
+    both = pairs.join(left, "a").join(right, "b").where(blocks_agree(F.col("x"), F.col("y"), edits)).repartition(spread)
+    # characters as columns of their own, which a filter is not moved below: they are split once
+    split = F.struct(F.split("x", "").alias("p"), F.split("y", "").alias("q"))
+    chars = both.select("ah", "a2", "bh", "b2", F.inline(F.array(split)))
+    return chars.where(within_edits(F.col("p"), F.col("q"), edits)).select(
+        F.col("ah").alias("a"), "a2", F.col("bh").alias("b"), "b2"
     )
 
 
@@ -141,10 +209,16 @@ def duplicate_lines(
         {"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")}
     )
     at = F.struct("id", "k", "place")
+    seen = saved(lines.drop("line"), "line-places")
     firsts = saved(
-        lines.groupBy("h", "h2").agg(F.min(at).alias("first"), F.count("*").alias("uses")), "line-firsts"
+        seen.groupBy("h", "h2").agg(F.min(at).alias("first"), F.count("*").alias("uses")), "line-firsts"
+    )
+    again = firsts.where("uses > 1").select("h", "h2", "first")
+    once = (
+        lines.join(bounded_broadcast(again, again.count(), 400_000), ["h", "h2"], "left")
+        .where(F.col("first").isNull() | (F.col("first") == at)).select("h", "h2", "n", "line")
     )
-    links = saved(line_links(lines, edits), "line-links")
+    links = saved(line_links(once, edits), "line-links")
     both = links.unionByName(links.selectExpr("b as a", "b2 as a2", "a as b", "a2 as b2")).distinct()
     other = firsts.selectExpr("h as b", "h2 as b2", "first as other")
     linked = both.join(other, ["b", "b2"]).groupBy("a", "a2").agg(F.min("other").alias("other"))
@@ -154,8 +228,7 @@ def duplicate_lines(
         .select("h", "h2", "first", F.when(F.expr("other < first"), F.col("other")).alias("other")), "line-verdicts",
     )
     hits = (
-        lines.select("id", "k", "place", "n", "h", "h2")
-        .join(bounded_broadcast(verdicts, verdicts.count(), 400_000), ["h", "h2"])
+        seen.join(bounded_broadcast(verdicts, verdicts.count(), 400_000), ["h", "h2"])
         .where((F.col("first") != at) | F.col("other").isNotNull())
         .withColumn("own", F.coalesce("other", "first")["id"] == F.col("id"))
         .groupBy("id", "k").agg(
