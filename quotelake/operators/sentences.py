@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -40,17 +40,19 @@ def segment_windows(
     """
     axis = Axis((stream,), (seq,), width)
     df = segments.withColumn("_sents", T.sentences(F.col("text"))).drop("text")
-    df = df.filter(F.size("_sents") > 0)
-    df = ordered.running_sum(df, axis, F.size("_sents").cast("long"), "_first")
+    df = axis.cut(df.filter(F.size("_sents") > 0))
+    words = F.transform("_sents", T.words)
+    df = df.withColumns({"_words": words, "_last": F.element_at("_sents", -1), "_n": F.size("_sents").cast("long")})
+    df = df.withColumn("_head", F.slice(F.flatten("_words"), 1, next_words))
+    df = _within_chunks(df, axis, next_words)
+    df = axis.stitch(df, _between_chunks(df, axis, next_words))
     df = df.withColumns(
         {
-            "_words": F.transform("_sents", T.words),
-            "_last": F.element_at("_sents", -1),
+            "_first": F.col("_first") + F.coalesce("_before", F.lit(0)),
+            "_prev": F.coalesce("_prev", "_last_before"),
+            "_ahead": F.slice(F.concat("_near", F.coalesce("_far", F.array().cast("array<string>"))), 1, next_words),
         }
-    )
-    df = df.withColumn("_head", F.slice(F.flatten("_words"), 1, next_words))
-    df = ordered.carry_last(df, axis, {"_prev": F.col("_last")})
-    df = _next_words(df, axis, next_words)
+    ).drop("_before", "_last_before", "_near", "_far", "_n")
     tail = F.transform(
         F.sequence(F.lit(0), F.size("_sents") - 1),
         lambda i: F.struct(
@@ -81,21 +83,32 @@ def segment_windows(
     return df.withColumn("text", window_text())
 
 
-def _next_words(df: DataFrame, axis: Axis, n: int) -> DataFrame:
-    """First `n` words after the segment. `n` following segments or chunks always suffice."""
-    following = axis.local.rowsBetween(1, n)
-    local = F.slice(F.flatten(F.collect_list("_head").over(following)), 1, n)
-    df = df.withColumn("_near", local).withColumn(
-        "_rank", F.row_number().over(axis.local)
+def _within_chunks(df: DataFrame, axis: Axis, n: int) -> DataFrame:
+    """Sentences before, last sentence before and first `n` words after each segment, in its chunk."""
+    earlier = axis.local.rowsBetween(Window.unboundedPreceding, -1)
+    # `n` following segments always suffice
+    heads = F.collect_list("_head").over(axis.local.rowsBetween(1, n))
+    return df.withColumns(
+        {
+            "_first": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
+            "_prev": F.lag("_last").over(axis.local),
+            "_near": F.slice(F.flatten(heads), 1, n),
+        }
     )
-    heads = df.filter(F.col("_rank") == 1).select(
-        *axis.keys, CHUNK, F.slice(F.concat("_head", "_near"), 1, n).alias("_chead")
+
+
+def _between_chunks(df: DataFrame, axis: Axis, n: int) -> DataFrame:
+    """One row per chunk: the same three things from the chunks around it."""
+    (order,) = axis.order
+    chunks = df.groupBy(*axis.keys, CHUNK).agg(
+        F.sum("_n").alias("_total"), F.max_by("_last", order).alias("_end"),
+        F.min_by(F.slice(F.concat("_head", "_near"), 1, n), order).alias("_start"),
     )
-    far = F.slice(F.flatten(F.collect_list("_chead").over(axis.across.rowsBetween(1, n))), 1, n)
-    ahead = heads.select(*axis.keys, CHUNK, far.alias("_far"))
-    df = axis.stitch(df, ahead)
-    return df.withColumn("_ahead", F.slice(F.concat("_near", "_far"), 1, n)).drop(
-        "_near", "_far", "_rank"
+    earlier = axis.across.rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.collect_list("_start").over(axis.across.rowsBetween(1, n))
+    return chunks.select(
+        *axis.keys, CHUNK, F.sum("_total").over(earlier).alias("_before"),
+        F.lag("_end").over(axis.across).alias("_last_before"), F.slice(F.flatten(starts), 1, n).alias("_far"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,7 @@ def build_session(app: str = "quotelake", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.numRecentProgressUpdates", "100000")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -28,10 +30,15 @@ def build_session(app: str = "quotelake", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own setting, a scratch folder only if unset."""
+    """Shared folder for checkpoints: the cluster's own setting.
+
+    A scratch folder of this machine is only taken where everything runs in this process.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = tempfile.mkdtemp(prefix="quotelake-ckpt-")
     spark.sparkContext.setCheckpointDir(root)
     return root

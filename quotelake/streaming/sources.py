@@ -30,7 +30,10 @@ def interims(events: DataFrame) -> DataFrame:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came behind the watermark and were dropped, over all finished batches."""
+    """Rows that came behind the watermark and were dropped, over the batches whose progress Spark keeps.
+
+    `session.build_session` keeps that of 100 000 batches.
+    """
     return sum(
         int(op.get("numRowsDroppedByWatermark", 0))
         for progress in query.recentProgress for op in progress["stateOperators"]
