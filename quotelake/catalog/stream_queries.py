@@ -110,7 +110,24 @@ def _session_rows(spark, sf):
     return _finish(stateful.live_session(_replayed(events, "session")), "live_session")
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE m AS (SELECT *, conv_id + turn AS n FROM conversations WHERE (conv_id + turn) % 13 <> 0),
+x AS MATERIALIZED (SELECT conv_id, turn, n % 11 = 0 AS closing, CASE WHEN n % 7 = 0 THEN '' ELSE {B.sql_trim('text')} END AS text,
+  n % 2 = 0 AS is_final, n % 3 = 0 AS speech_final, turn * 10.0::DOUBLE AS start_time, turn * 10.0::DOUBLE + 2.5 AS end_time,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM m WHERE n % 11 = 0 OR n % 7 <> 0),
+f AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS r, NULL::BIGINT AS turn, NULL::STRUCT(t VARCHAR, s DOUBLE, e DOUBLE) AS held, []::STRUCT(t VARCHAR, s DOUBLE, e DOUBLE)[] AS out FROM x
+  UNION ALL
+  SELECT conv_id, r, turn,
+    CASE WHEN closing OR (is_final AND NOT (same AND NOT speech_final)) THEN NULL WHEN same THEN {{'t': text, 's': held.s, 'e': end_time}} ELSE fresh END,
+    CASE WHEN closing THEN shut WHEN is_final AND same AND NOT speech_final THEN [] WHEN is_final AND same THEN [fresh]
+      WHEN is_final THEN list_append(shut, fresh) WHEN same THEN [] ELSE shut END
+  FROM (SELECT x.*, f.held, coalesce(abs(f.held.s - x.start_time) < 0.5, FALSE) AS same, {{'t': x.text, 's': x.start_time, 'e': x.end_time}} AS fresh,
+      CASE WHEN f.held IS NULL THEN [] ELSE [f.held] END AS shut FROM f JOIN x ON x.conv_id = f.conv_id AND x.r = f.r + 1)),
+rows_out AS (SELECT conv_id, turn, unnest(out) AS o FROM f UNION ALL
+  SELECT conv_id, turn, held FROM (SELECT *, max(r) OVER (PARTITION BY conv_id) AS last FROM f) WHERE r = last AND held IS NOT NULL)
+SELECT conv_id::VARCHAR AS stream_id, turn AS seq, o.t AS text, o.s AS start_time, o.e AS end_time, NULL::VARCHAR AS words FROM rows_out
+""")
 def stream_utterances(spark, sf):
     raw = live_queries._messages_of(B.table(spark, sf, "conversations"))
     rows = transcripts.parse_messages(raw).select(
