@@ -35,7 +35,7 @@ def _in_order(
     df: DataFrame, start: tuple, fold: Callable, finish: Callable | None, out: str, state: str,
     idle_ms: int = IDLE_MS,
 ) -> DataFrame:
-    """Fold every stream in order of `seq` behind the watermark of `event_time`.
+    """Fold every stream in order of `seq`, and of `part` if there is one, behind the watermark.
 
     `fold(key, row, carried, emit)` returns what is carried on; `finish(key, last_seq, carried, emit)`
     delivers what is open once the stream was idle.
@@ -43,20 +43,23 @@ def _in_order(
     columns = [c.split()[0] for c in out.split(", ")]
     ints = [c.split()[0] for c in out.split(", ") if c.split()[1] == "int"]
 
+    def place(row: dict) -> tuple[int, int]:
+        return row["seq"], row.get("part", 0)
+
     def run(key, frames, group: GroupState):
         pending, newest, last, *carried = group.get if group.exists else ("[]", 0, -1, *start)
-        held = {r["seq"]: r for r in json.loads(pending)}
+        held = {place(r): r for r in json.loads(pending)}
         if not group.hasTimedOut:
             for frame in frames:
                 for r in json.loads(frame.to_json(orient="records", date_unit="ms")):
-                    held.setdefault(r["seq"], r)
+                    held.setdefault(place(r), r)
         mark = group.getCurrentWatermarkMs()
         ready = sorted(s for s, r in held.items() if r["event_time"] <= mark)
         rows: list[tuple] = []
-        for seq in ready:
-            row = Row(held.pop(seq))
+        for at in ready:
+            row = Row(held.pop(at))
             carried = fold(key, row, carried, rows.append)
-            newest, last = max(newest, row["event_time"]), seq
+            newest, last = max(newest, row["event_time"]), row["seq"]
         if finish and not held and last >= 0 and newest + idle_ms <= mark:
             carried = finish(key, last, carried, rows.append)
         group.update((json.dumps(list(held.values())), int(newest), int(last), *carried))
@@ -156,6 +159,17 @@ SESSION_STATE = (
 )
 
 
+def sentence_events(events: DataFrame) -> DataFrame:
+    """Final segments as one event per sentence, told apart by `part`; other events as they are.
+
+    A command or a quotation inside a segment is then routed for itself.
+    """
+    final = (F.col("kind") == "segment") & F.col("is_final")
+    parts = F.when(final, T.sentences(F.col("text"))).otherwise(F.array("text"))
+    others = [c for c in events.columns if c != "text"]
+    return events.select(*others, F.posexplode(parts).alias("part", "text"))
+
+
 def live_session(events: DataFrame, initial_mode: str = "semi_autopilot") -> DataFrame:
     """Route, accumulate and anchor in one state machine per stream.
 
@@ -167,8 +181,8 @@ def live_session(events: DataFrame, initial_mode: str = "semi_autopilot") -> Dat
     """
     col = F.col("text")
     df = router.classify(events, "text", F.lit(True)).select(
-        "stream_id", "seq", "event_time", "kind", "text", "is_final", "edition", "work", "section", "item",
-        "intent", "action", "swap", T.word_count(col).alias("n_words"),
+        "stream_id", "seq", *[c for c in ("part",) if c in events.columns], "event_time", "kind", "text",
+        "is_final", "edition", "work", "section", "item", "intent", "action", "swap", T.word_count(col).alias("n_words"),
         F.coalesce(col.rlike(L.SENTENCE_END_PATTERN), F.lit(False)).alias("ends"),
         F.coalesce(F.lower(col).rlike(L.QUOTE_OPENER_PATTERN), F.lit(False)).alias("opener"),
     )

@@ -180,3 +180,15 @@ def test_detect_live_publishes_full_detections(spark, tmp_path):
     assert (found["reference"], found["edition"], found["passage_text"]) == ("John 3:16", "NKJV", verse)
     assert found["stream_id"] == "s" and found["confidence_percent"] >= 60
     assert feed["display_update"][0]["item"] == 17 and feed["session_update"][0]["mode"] == "semi_autopilot"
+
+
+def test_sentences_of_a_segment_are_routed_for_themselves(spark, tmp_path):
+    rows = [("s", 0, None, "segment", "Amen to that my friends. The Bible says love is kind. Next verse.", True, *[None] * 5),
+            ("s", 1, None, "segment", "so it is written", False, *[None] * 5), ("s", 2, None, "clear", None, None, *[None] * 5)]
+    path = _feed(spark, tmp_path, rows, EVT, parts=1)
+    session = stateful.live_session(stateful.sentence_events(_events(spark, path, EVT)))
+    out = _run(session, tmp_path, "sentences").collect()
+    assert [(r["seq"], r["out_kind"], r["text"]) for r in sorted(out, key=lambda r: r["seq"])] == [
+        (0, "quote", "Amen to that my friends."), (0, "quote", "The Bible says love is kind."), (0, "nav", "Next verse."),
+        (2, "clear", None), (2, "quote", "so it is written"),
+    ]
