@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -35,6 +38,24 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFr
     return F.broadcast(df) if rows <= most else df
 
 
+def tidied(run):
+    """The same function of batches, after which the worker gives the memory it has freed back.
+
+    Python workers live on for other stages; without this, each keeps the most that any stage took.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and the offsets of its rows; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):

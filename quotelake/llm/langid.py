@@ -16,12 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import byte_view, steps
+from quotelake.llm.common import byte_view, steps, tidied
 from quotelake.llm.words import SPACE
 
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
-CACHED_TOKENS = 400_000
+CACHED_TOKENS = 200_000
 
 
 @dataclass(frozen=True)
@@ -226,7 +226,7 @@ def identify(
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(tidied(run), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep_identified(
@@ -244,4 +244,4 @@ def keep_identified(
                 keep = [n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist())]
                 yield part.filter(pa.array(keep, pa.bool_())).rename_columns(batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import bounded_broadcast, byte_view, lists, mixed, saved, steps
+from quotelake.llm.common import bounded_broadcast, byte_view, lists, mixed, saved, steps, tidied
 from quotelake.llm.components import components
 from quotelake.llm.words import shingle_sets
 
 WIDTH, SIMILARITY, GROUPS = 5, 75, 10
 BLOCK_ROWS, BLOCK_SHINGLES, SLICE = 128, 1 << 16, 4096
+STEP = 1 << 18  # bytes of text looked at together; a dozen arrays of eight bytes each go with them
 SIGNATURE = "id long, n_shingles long, h1 long, h2 long, half array<long>"
 
 
@@ -30,7 +31,7 @@ def signatures(docs: DataFrame, width: int, groups: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 sets, sizes = shingle_sets(*byte_view(part.column("text")), width)
                 full = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[full]
@@ -50,7 +51,7 @@ def signatures(docs: DataFrame, width: int, groups: int) -> DataFrame:
                     ["id", "n_shingles", "h1", "h2", "half"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, SIGNATURE)
+    return docs.select("id", "text").mapInArrow(tidied(run), SIGNATURE)
 
 
 def _table_keys(groups: int) -> Column:
@@ -88,20 +89,20 @@ def _hub_rows(keyed: DataFrame) -> DataFrame:
 
     return (
         keyed.repartition("key").sortWithinPartitions("key", "id")
-        .mapInArrow(run, "key long, id long, hub long")
+        .mapInArrow(tidied(run), "key long, id long, hub long")
     )
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 sets, sizes = shingle_sets(*byte_view(part.column("text")), width)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), lists(sets.view(np.int64), sizes, pa.int64())], ["id", "shingles"]
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(tidied(run), "id long, shingles array<long>")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:

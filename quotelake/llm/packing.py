@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import byte_view, lists, ragged, steps
+from quotelake.llm.common import byte_view, lists, ragged, steps, tidied
 
 CACHED_CHUNKS = 500_000
 POOL = 1024
@@ -318,4 +318,4 @@ def pack_documents(
             yield rows(id_type, packer.out)
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(tidied(run), schema).withColumnRenamed("id", id_col)
