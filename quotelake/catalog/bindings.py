@@ -184,12 +184,12 @@ cue_segments AS (
 
 # ---- spoken commands and references from documents ------------------------------------------------
 def utterances(spark: SparkSession, sf: str) -> DataFrame:
-    """One utterance per document: a reference, a command, or the document's own text."""
+    """Two utterances per document: a reference or command, and the document's own text."""
     d = F.col("doc_id")
     work = pick(WORK_POOL, d)
     section, item = (d % 4 + 1).cast("string"), (d % 6 + 1).cast("string")
     edition = pick(ALIAS_POOL, d)
-    kind = F.col("n_chars") % 12
+    kind = F.col("n_chars") % 10
     forms = [
         F.concat(F.lit("turn to "), work, F.lit(" "), section, F.lit(":"), item),
         F.concat(work, F.lit(" chapter "), section, F.lit(" verse "), item),
@@ -197,34 +197,34 @@ def utterances(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("next verse"), F.lit("go back a verse please"), F.lit("next chapter"),
         F.lit("Previous chapter"), F.concat(F.lit("read it in the "), edition),
         F.concat(F.lit("now in "), edition), F.lit("Remove it."),
-        F.concat(F.lit("the bible says "), F.col("text")), F.col("text"),
     ]
-    text = forms[-1]
+    spoken = forms[-1]
     for i, form in enumerate(forms[:-1]):
-        text = F.when(kind == i, form).otherwise(text)
+        spoken = F.when(kind == i, form).otherwise(spoken)
+    said = F.concat(F.when(F.col("n_chars") % 2 == 0, "the bible says ").otherwise(""), F.col("text"))
     anchored = F.col("lang") != "es"
     return table(spark, sf, "documents").select(
-        d.alias("utt_id"), "source", text.alias("text"),
+        d, "source", F.posexplode(F.array(spoken, said)).alias("half", "text"),
         F.when(anchored, pick(["AMP", "NKJV"], d)).alias("a_edition"),
         F.when(anchored, pick(WORK_POOL, d + 1)).alias("a_work"),
         F.when(anchored, (d % 3 + 1).cast("int")).alias("a_section"),
         F.when(anchored, (d % 5 + 1).cast("int")).alias("a_item"),
-    )
+    ).withColumn("utt_id", d * 2 + F.col("half")).drop("doc_id", "half")
 
 
 UTTERANCES = f"""raw_utt AS (
-  SELECT doc_id, source, text AS doc_text, lang, n_chars % 12 AS kind,
+  SELECT doc_id, source, text AS doc_text, lang, n_chars, half, n_chars % 10 AS kind,
          {sql_pick(WORK_POOL, "doc_id")} AS w, (doc_id % 4 + 1)::VARCHAR AS s,
          (doc_id % 6 + 1)::VARCHAR AS i, {sql_pick(ALIAS_POOL, "doc_id")} AS e
-  FROM documents),
+  FROM documents CROSS JOIN (VALUES (0), (1)) h(half)),
 utterances AS (
-  SELECT doc_id AS utt_id, source, CASE kind
+  SELECT doc_id * 2 + half AS utt_id, source, CASE WHEN half = 1 THEN CASE WHEN n_chars % 2 = 0 THEN 'the bible says ' ELSE '' END || doc_text ELSE CASE kind
     WHEN 0 THEN 'turn to ' || w || ' ' || s || ':' || i
     WHEN 1 THEN w || ' chapter ' || s || ' verse ' || i
     WHEN 2 THEN lower(w) || ' ' || s || ' ' || i
     WHEN 3 THEN 'next verse' WHEN 4 THEN 'go back a verse please' WHEN 5 THEN 'next chapter'
     WHEN 6 THEN 'Previous chapter' WHEN 7 THEN 'read it in the ' || e WHEN 8 THEN 'now in ' || e
-    WHEN 9 THEN 'Remove it.' WHEN 10 THEN 'the bible says ' || doc_text ELSE doc_text END AS text,
+    WHEN 9 THEN 'Remove it.' END END AS text,
     CASE WHEN lang <> 'es' THEN {sql_pick(["AMP", "NKJV"], "doc_id")} END AS a_edition,
     CASE WHEN lang <> 'es' THEN {sql_pick(WORK_POOL, "doc_id + 1")} END AS a_work,
     CASE WHEN lang <> 'es' THEN (doc_id % 3 + 1)::INTEGER END AS a_section,

@@ -67,15 +67,13 @@ def _routed_turns(spark, sf):
 
 
 def _routed_turns_of(conversations):
-    """Turns with quotation phrases; some turns lose their end mark or turn into commands."""
+    """Turns with quotation phrases, some without their end mark, and commands after some of them."""
     seg = B.cue_segments_of(B.segments_of(conversations))
     n = F.col("stream_id") + F.col("seg_id") * 3
-    text = (
-        F.when(n % 11 == 0, F.lit("next verse"))
-        .when(n % 2 == 0, F.regexp_replace("text", r"[.!?]+\s*$", ""))
-        .otherwise(F.col("text"))
-    )
-    return seg.withColumn("text", text).select("stream_id", "seg_id", "text")
+    text = F.when(n % 2 == 0, F.regexp_replace("text", r"[.!?]+\s*$", "")).otherwise(F.col("text"))
+    said = F.when(n % 11 == 0, F.array(text, F.lit("next verse"))).otherwise(F.array(text))
+    turns = seg.select("stream_id", "seg_id", F.posexplode(said).alias("half", "text"))
+    return turns.select("stream_id", (F.col("seg_id") * 2 + F.col("half")).alias("seg_id"), "text")
 
 
 _SPOKEN_RE2 = B.lit("(?i)" + B.START + L.SPOKEN_REF_PATTERN[len(r"(?i)\b"):-2] + B.END)
@@ -84,8 +82,8 @@ _OPENER = B.lit(L.QUOTE_OPENER_PATTERN[:-2] + B.END)
 
 ACCUMULATED = rf"""
 WITH RECURSIVE {B.CUE_SEGMENTS},
-tx AS (SELECT stream_id, seg_id, CASE WHEN (stream_id + seg_id * 3) % 11 = 0 THEN 'next verse'
-  WHEN (stream_id + seg_id * 3) % 2 = 0 THEN regexp_replace(text, '[.!?]+\s*$', '') ELSE text END AS text FROM cue_segments),
+tx AS (SELECT stream_id, seg_id * 2 AS seg_id, CASE WHEN (stream_id + seg_id * 3) % 2 = 0 THEN regexp_replace(text, '[.!?]+\s*$', '') ELSE text END AS text FROM cue_segments
+  UNION ALL SELECT stream_id, seg_id * 2 + 1, 'next verse' FROM cue_segments WHERE (stream_id + seg_id * 3) % 11 = 0),
 cl AS (SELECT *, text = 'next verse' OR regexp_matches(text, {_SPOKEN_RE2}) AS other, regexp_matches(text, '[.!?][''"]?\s*$') AS fin,
   regexp_matches(lower(text), {_OPENER}) AS opener, len({B.sql_words('text')}) AS nw FROM tx),
 rel AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seg_id) AS r FROM cl WHERE other OR nw >= 3),
