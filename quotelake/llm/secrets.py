@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import lists, steps
+from quotelake.llm.common import lists, steps, tidied
 
 # fixed values: the base patterns
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -171,7 +171,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, {FOUND}").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(tidied(run), f"id {kind}, {FOUND}").withColumnRenamed("id", id_col)
 
 
 def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -200,17 +200,17 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at)
-            found = spans_of(texts)
-            rows = [i for i, spans in enumerate(found) if spans]
-            if rows:
-                fresh = texts.to_pylist()
-                for i in rows:
-                    fresh[i] = _redacted(fresh[i], found[i], mark)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(fresh, texts.type))
-            yield batch
-
-    return docs.mapInArrow(run, docs.schema)
+            names = batch.schema.names
+            numbered = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+            for part in steps(numbered, f"c{at}"):
+                found = spans_of(part.column(at))
+                if any(found):
+                    fresh = part.column(at).to_pylist()
+                    fresh = [_redacted(t, spans, mark) if spans else t for t, spans in zip(fresh, found)]
+                    part = part.set_column(at, part.schema.field(at), pa.array(fresh, part.schema.field(at).type))
+                yield part.rename_columns(names)
+
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def _redacted(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
