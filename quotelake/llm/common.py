@@ -33,7 +33,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
+def bounded_broadcast(df: DataFrame, rows: int, most: int = 400_000) -> DataFrame:
     """Hint a broadcast only where the counted rows (of a few numbers each) stay below the bound."""
     return F.broadcast(df) if rows <= most else df
 
