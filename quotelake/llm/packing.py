@@ -25,6 +25,7 @@ from quotelake.llm.common import byte_view, lists, ragged, steps, tidied
 
 CACHED_CHUNKS = 500_000
 POOL = 1024
+PLAIN_BLANKS = str.maketrans("", "", " \n\r\t")
 # fixed value: the word pattern of byte-level vocabularies
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -68,9 +69,8 @@ class ByteEncoder:
     def __init__(self, model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tiktoken import Encoding
-        from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(model)
+        self.text, self.model = model, None
         spec = json.loads(model)
         signs = byte_signs()
         ranks = {bytes(signs[c] for c in piece): i for piece, i in spec["model"]["vocab"].items()}
@@ -98,6 +98,19 @@ class ByteEncoder:
         fine = (last > first) & (data[first] == 32) & self.after[data[np.minimum(first + 1, last)]]
         return fine & (self.before[data[last]] | ((data[last - 1] == 0xC3) & (data[last] >= 128)))
 
+    def _alone(self, chunk: str) -> list[int]:
+        """A part that is not joined. The tokenizer itself is loaded for the first odd one only."""
+        plain = not any(token in chunk for token in self.added) and not any(
+            c.isspace() or c < " " for c in chunk.translate(PLAIN_BLANKS)
+        )
+        if plain:
+            return self.ranks.encode_ordinary(chunk)
+        if self.model is None:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_str(self.text)
+        return self.model.encode(chunk, add_special_tokens=False).ids
+
     def _learn(self, chunks: pa.Array) -> None:
         whole = self._joinable(chunks)
         for token in self.added:
@@ -113,7 +126,7 @@ class ByteEncoder:
             ids.append(got)
             sizes.append(np.diff(at, prepend=0))
         for chunk in first:
-            got = np.array(self.model.encode(chunk, add_special_tokens=False).ids, np.int32)
+            got = np.array(self._alone(chunk), np.int32)
             ids.append(got)
             sizes.append(np.array([len(got)]))
         flat, size = np.concatenate(ids), np.concatenate(sizes)
