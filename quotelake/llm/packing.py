@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quotelake.llm.common import byte_view, lists, ragged, steps, tidied
 
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 340_000
 POOL = 1024
 PLAIN_BLANKS = str.maketrans("", "", " \n\r\t")
 # fixed value: the word pattern of byte-level vocabularies
