@@ -34,16 +34,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat earlier ones, or all but two edits of them, are cut; every document stays.
 
-    Where lines from other documents make up more than a fifth of a document, it is a copy rather than a
-    document with boilerplate, and they are left for document dedup.
+    Where lines from other documents make up more than a fifth of a document, it may be a copy rather than a
+    document with boilerplate, and they wait for document dedup, which cuts them if the document stays.
     """
     return _documents(dedup_lines(docs, copy_share=COPY_SHARE))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest doc_id."""
+    """One document of each near-duplicate group stays: that with the smallest doc_id.
+
+    The repeated lines that the stage before left in likely copies are then cut from those that stay,
+    whatever they make up of a document, so no line that repeats one of a document kept is left.
+    """
     gone = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti").select(DOCUMENT_COLUMNS)
+    stay = saved(
+        docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti").select(DOCUMENT_COLUMNS), "stay"
+    )
+    return _documents(dedup_lines(stay))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

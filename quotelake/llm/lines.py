@@ -232,11 +232,12 @@ def duplicate_lines(
         .where((F.col("first") != at) | F.col("other").isNotNull())
         .withColumn("own", F.coalesce("other", "first")["id"] == F.col("id"))
         .groupBy("id", "k").agg(
-            F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("foreign_chars"),
-            F.sort_array(F.collect_list(F.struct("place", "own"))).alias("hits"),
+            # equal rows of an id have the same places: each counts once
+            F.sort_array(F.collect_set(F.struct("place", "own", "n"))).alias("hits")
         )
     )
-    return hits.select("id", "k", "foreign_chars", "hits") if copy_share is None else hits
+    foreign = F.aggregate("hits", F.lit(0), lambda t, s: t + F.when(s["own"], 0).otherwise(s["n"]))
+    return hits.select("id", "k", foreign.alias("foreign_chars"), "hits")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

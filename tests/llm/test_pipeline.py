@@ -61,3 +61,30 @@ def test_pipeline_runs_on_an_empty_and_a_small_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, SF)
         assert frame.count() == 0
+
+
+def test_no_repeated_line_is_left_in_documents_that_stay(spark):
+    def lines(name, n):
+        return [" ".join(f"{name}{k}word{j}" for j in range(12)) for k in range(n)]
+
+    shared = [lines(name, 3) for name in ("uno", "due", "tre")]
+    texts = [part + lines(f"own{i}x", 6) for i, part in enumerate(shared)]
+    texts.append(shared[0] + lines("half", 3))                   # half of it stands in another document
+    texts.append(shared[0] + shared[1] + shared[2] + lines("few", 1))  # nine tenths, from three documents
+    texts.append(texts[0][:-1] + lines("near", 1))               # a near copy of the first
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, "\n".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    out = corpus_pipeline.near_dedup(
+        spark, corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, schema), SF), SF)
+    got = {r.doc_id: r for r in out.collect()}
+    assert set(got) == {0, 1, 2, 3, 4}
+    assert got[3].text == "\n".join(lines("half", 3)) and got[4].text == lines("few", 1)[0]
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_equal_rows_do_not_add_to_what_repeats(spark):
+    line, body = "a line that stands in several documents", "own " * 60
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(0, line + "\nfirst", "en", "s", 0), *[(1, line + "\n" + body, "en", "s", 0)] * 3]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, schema), SF).where("doc_id = 1").collect()
+    assert [r.text for r in out] == [body] * 3
