@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quotelake.llm.common import bounded_broadcast, saved, table
 from quotelake.llm.langid import fit, keep_identified
 from quotelake.llm.lines import dedup_lines
-from quotelake.llm.near_dup import near_duplicates
+from quotelake.llm.near_dup import near_duplicate_rows
 from quotelake.llm.packing import pack_documents
 from quotelake.llm.secrets import redact_secrets
 
@@ -42,13 +42,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that with the smallest doc_id.
+    Texts of a repeated doc_id are told apart.
 
     The repeated lines that the stage before left in likely copies are then cut from those that stay,
     whatever they make up of a document, so no line that repeats one of a document kept is left.
     """
-    gone = saved(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    gone = saved(near_duplicate_rows(docs).where("not kept").select("id", "k").distinct(), "gone")
+    copy = (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("k"))
     stay = saved(
-        docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti").select(DOCUMENT_COLUMNS), "stay"
+        docs.join(bounded_broadcast(gone, gone.count()), copy, "left_anti").select(DOCUMENT_COLUMNS), "stay"
     )
     return _documents(dedup_lines(stay))
 

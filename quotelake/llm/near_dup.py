@@ -20,14 +20,30 @@ from quotelake.llm.words import shingle_sets
 WIDTH, SIMILARITY, GROUPS = 5, 75, 10
 BLOCK_ROWS, BLOCK_SHINGLES, SLICE = 128, 1 << 16, 4096
 STEP = 1 << 18  # bytes of text looked at together; a dozen arrays of eight bytes each go with them
-SIGNATURE = "id long, n_shingles long, h1 long, h2 long, half array<long>"
+CLASS = ["h1", "h2", "n_shingles"]
+SIGNATURE = "id long, k long, n_shingles long, h1 long, h2 long, half array<long>"
 
 
-def signatures(docs: DataFrame, width: int, groups: int) -> DataFrame:
-    """Per row: size of the shingle set, a 128-bit digest of it and the 2 * groups half keys."""
+def _constants(groups: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(7))
     flips = rng.integers(0, 2**64 - 1, 4 * groups, dtype=np.uint64)
-    factors = rng.integers(0, 2**64 - 1, 4 * groups, dtype=np.uint64) | np.uint64(1)
+    return flips, rng.integers(0, 2**64 - 1, 4 * groups, dtype=np.uint64) | np.uint64(1)
+
+
+def _digests(sets: np.ndarray, sizes: np.ndarray, flip: np.uint64) -> np.ndarray:
+    """Two sums over each set; zeros for an empty one."""
+    full = np.flatnonzero(sizes)
+    digest = np.zeros((2, len(sizes)), np.uint64)
+    if len(full):
+        starts = (np.cumsum(sizes) - sizes)[full]
+        digest[0, full] = np.add.reduceat(mixed(sets), starts)
+        digest[1, full] = np.add.reduceat(mixed(sets ^ flip), starts)
+    return digest
+
+
+def signatures(docs: DataFrame, width: int, groups: int) -> DataFrame:
+    """Per row: size of the shingle set, a 128-bit digest of it and the 2 * groups half keys."""
+    flips, factors = _constants(groups)
 
     def run(batches):
         for batch in batches:
@@ -35,23 +51,21 @@ def signatures(docs: DataFrame, width: int, groups: int) -> DataFrame:
                 sets, sizes = shingle_sets(*byte_view(part.column("text")), width)
                 full = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[full]
-                digest = np.zeros((2, len(sizes)), np.uint64)
+                digest = _digests(sets, sizes, flips[0])
                 half = np.zeros((len(full), 2 * groups), np.uint64)
                 if len(full):
-                    digest[0, full] = np.add.reduceat(mixed(sets), starts)
-                    digest[1, full] = np.add.reduceat(mixed(sets ^ flips[0]), starts)
                     for k in range(4 * groups):
                         low = np.minimum.reduceat((sets ^ flips[k]) * factors[k], starts)
                         half[:, k // 2] = half[:, k // 2] * factors[0] + low
                 lengths = np.where(sizes > 0, 2 * groups, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sizes.astype(np.int64)),
+                    [part.column("id"), part.column("k"), pa.array(sizes.astype(np.int64)),
                      pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)),
                      lists(mixed(half).view(np.int64).ravel(), lengths, pa.int64())],
-                    ["id", "n_shingles", "h1", "h2", "half"],
+                    ["id", "k", "n_shingles", "h1", "h2", "half"],
                 )
 
-    return docs.select("id", "text").mapInArrow(tidied(run), SIGNATURE)
+    return docs.select("id", "k", "text").mapInArrow(tidied(run), SIGNATURE)
 
 
 def _table_keys(groups: int) -> Column:
@@ -93,25 +107,41 @@ def _hub_rows(keyed: DataFrame) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, groups: int) -> DataFrame:
+    """(id, shingles) of the wanted classes: rows of id (of the class), member, h1, h2, n_shingles.
+
+    A class's set is taken from a text of the row id ``member``; its other texts have other digests.
+    """
+    flip = _constants(groups)[0][0]
+
     def run(batches):
         for batch in batches:
             for part in steps(batch, "text", STEP):
                 sets, sizes = shingle_sets(*byte_view(part.column("text")), width)
+                digest = _digests(sets, sizes, flip)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), lists(sets.view(np.int64), sizes, pa.int64())], ["id", "shingles"]
+                    [part.column("id"), pa.array(sizes.astype(np.int64)), pa.array(digest[0].view(np.int64)),
+                     pa.array(digest[1].view(np.int64)), lists(sets.view(np.int64), sizes, pa.int64())],
+                    ["member", "n_shingles", "h1", "h2", "shingles"],
                 )
 
-    return docs.select("id", "text").mapInArrow(tidied(run), "id long, shingles array<long>")
+    members = wanted.select(F.col("member").alias("id")).distinct()
+    count = wanted.count()
+    chosen = docs.select("id", "text").join(bounded_broadcast(members, count), "id", "left_semi")
+    sets = chosen.mapInArrow(tidied(run), "member long, n_shingles long, h1 long, h2 long, shingles array<long>")
+    return (
+        sets.join(bounded_broadcast(wanted, count), ["member", *CLASS])
+        .select("id", "shingles").dropDuplicates(["id"])
+    )
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(
+    docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, groups: int
+) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union on the full sets."""
-    ids = saved(
-        pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "pair-ids"
-    )
-    chosen = docs.join(bounded_broadcast(ids, ids.count()), "id", "left_semi")
-    sets = saved(_sets(chosen, width).dropDuplicates(["id"]), "pair-sets")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = saved(classes.drop("half").join(ids, "id"), "pair-ids")
+    sets = saved(_sets(docs, wanted, width, groups), "pair-sets")
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
@@ -126,7 +156,16 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
     percent: int = SIMILARITY, groups: int = GROUPS,
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
+    """One row per document: id, n_shingles, component_id, kept. See ``near_duplicate_rows``."""
+    rows = near_duplicate_rows(docs, id_col, text_col, width, percent, groups)
+    return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def near_duplicate_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+    percent: int = SIMILARITY, groups: int = GROUPS,
+) -> DataFrame:
+    """One row per document: id, k (xxhash64 of the text), n_shingles, component_id, kept.
 
     Documents link when 100 * intersection >= percent * union of their ``width``-word shingle sets;
     component_id is the smallest id reachable by links, kept tells the document of that id.
@@ -137,14 +176,17 @@ def near_duplicates(
     out, whatever the bucket's size.
 
     Null or empty texts have no shingles and stand alone. Rows with a null id take no part: they
-    come back with a null component and kept true. A repeated id is one document with each of its
-    texts; its rows are all returned. Other columns are ignored; an empty table gives no rows.
+    come back with a null component and kept true. Each text of a repeated id is a document of its
+    own, told apart by k; rows of one component and its id are all kept. Other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("k"))
     sig = saved(signatures(docs, width, groups), "signatures")
+    # ids of classes are numbers of their own: several texts of one document id are several classes
     classes = saved(
-        sig.where("n_shingles > 0 and id is not null").groupBy("h1", "h2", "n_shingles")
-        .agg(F.min("id").alias("id"), F.first("half").alias("half")), "classes",
+        sig.where("n_shingles > 0 and id is not null").groupBy(CLASS)
+        .agg(F.min("id").alias("member"), F.first("half").alias("half"))
+        .withColumn("id", F.monotonically_increasing_id()), "classes",
     )
     keyed = (
         classes.select("id", "half", F.explode(F.sequence(F.lit(0), F.lit(groups * groups - 1))).alias("table"))
@@ -152,25 +194,25 @@ def near_duplicates(
     )
     hubs = saved(_hub_rows(keyed), "hubs")
     pairs = saved(hubs.select(F.col("id").alias("u"), F.col("hub").alias("v")).where("u != v").distinct(), "pairs")
-    links = saved(_confirmed(docs, pairs, width, percent), "links")
-    links = links.unionByName(_cross_links(docs, hubs, components(links), width, percent))
-    found = components(links)
+    links = saved(_confirmed(docs, classes, pairs, width, percent, groups), "links")
+    links = links.unionByName(_cross_links(docs, classes, hubs, components(links), width, percent, groups))
+    found = classes.select(*CLASS, "id", "member").join(components(links), F.col("id") == F.col("node"), "left")
     # a class without links is its own component
-    roots = (
-        classes.select("h1", "h2", "n_shingles", "id")
-        .join(found, F.col("id") == F.col("node"), "left")
-        .select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("root"))
+    joined = saved(found.where("component is not null").select(*CLASS, "member", "component"), "joined")
+    least = saved(joined.groupBy("component").agg(F.min("member").alias("root")), "least")
+    roots = joined.join(bounded_broadcast(least, least.count()), "component").select(*CLASS, "root").unionByName(
+        found.where("component is null").select(*CLASS, F.col("member").alias("root"))
     )
-    out = sig.select("id", "n_shingles", "h1", "h2").join(roots, ["h1", "h2", "n_shingles"], "left")
+    out = sig.select("id", "k", *CLASS).join(roots, CLASS, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
+        "id", "k", "n_shingles", component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
 
 
 def _cross_links(
-    docs: DataFrame, hubs: DataFrame, found: DataFrame, width: int, percent: int
+    docs: DataFrame, classes: DataFrame, hubs: DataFrame, found: DataFrame, width: int, percent: int, groups: int
 ) -> DataFrame:
     """Links between different components that meet in a bucket of three or more.
 
@@ -193,14 +235,13 @@ def _cross_links(
         placed.join(open_keys, "key").select("id", "component", "first").distinct(), "open-rows"
     )
     clusters = components(open_rows.select(F.col("id").alias("u"), F.col("first").alias("v")))
-    # one document has one component and one cluster
+    # one class has one component and one cluster
     ids = saved(
         open_rows.select("id", "component").distinct()
         .join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "open-ids",
     )
-    chosen = docs.join(bounded_broadcast(ids.select("id"), ids.count()), "id", "left_semi")
-    sets = _sets(chosen, width).dropDuplicates(["id"]).join(ids, "id")
-    sets = saved(sets, "open-sets")
+    wanted = saved(classes.drop("half").join(ids.select("id"), "id"), "open-classes")
+    sets = saved(_sets(docs, wanted, width, groups).join(ids, "id"), "open-sets")
     blocks = sets.groupBy("cluster").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).alias("blocks")
     )

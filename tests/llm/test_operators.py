@@ -94,6 +94,16 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    rng = random.Random(31)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = [*a[:-1], "other"], [*b[:-1], "other"], [*c[:-1], "other"]
+    rows = [(5, a), (5, b), (9, near[0]), (11, near[1]), (3, near[2]), (7, c), (7, words(rng, 60))]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(frame).collect())
+    assert got == [(3, 3, True), (5, 5, True), (5, 5, True), (7, 3, False), (7, 7, True), (9, 5, False), (11, 5, False)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (5, 5), (None, 3)], "u long, v long")
     got = dict(map(tuple, components(edges).collect()))
