@@ -3,7 +3,8 @@
 A known word is scored by its log frequency in each language. An unseen word falls back to its known
 4-grams, else 3-grams, then 2-grams, then single letters: the mean log frequency of the first length at
 which any is known. The model is fitted on a bounded sample of labelled documents (about
-``sample_rows`` per language, whole texts) and keeps the most frequent words and grams per language.
+``sample_rows`` per language, whole texts) and keeps the most frequent words and grams per language. Every
+language is learned; beyond ``full_languages`` they share what so many languages have in all.
 """
 
 from __future__ import annotations
@@ -16,32 +17,57 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import byte_view, steps, tidied
+from quotelake.llm.common import byte_view, ragged, steps, tidied
 from quotelake.llm.words import SPACE
 
 UNKNOWN = "und"
 ORDERS = (4, 3, 2, 1)
-CACHED_TOKENS = 200_000
+CACHED_TOKENS, CACHED_NUMBERS = 200_000, 200_000 * 34
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """What bounds the model: about rows and languages of the sample, kept words and grams."""
+    """What bounds the model: rows of the sample, kept words and grams, per language.
+
+    With more than ``full_languages`` languages, each has its share of the same totals.
+    """
 
     sample_rows: int = 2000
-    languages: int = 32
+    full_languages: int = 32
     words: int = 20_000
     grams: int = 10_000
 
+    def share(self, number: int, languages: int) -> int:
+        return max(1, number * self.full_languages // max(languages, self.full_languages))
+
+
+@dataclass
+class SparseLogs:
+    """Log frequencies of entries: ``base`` per language, to which an entry adds in the languages that have it."""
+
+    base: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    more: np.ndarray
+
+    def means(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The mean of each run of ``sizes`` rows, per language."""
+        lengths = self.starts[rows + 1] - self.starts[rows]
+        at = ragged(self.starts[rows], lengths)
+        owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), lengths)
+        width = len(self.base)
+        total = np.bincount(owner * width + self.langs[at], weights=self.more[at], minlength=len(sizes) * width)
+        return self.base + total.reshape(len(sizes), width) / sizes[:, None]
+
 
 @dataclass
 class LanguageModel:
-    """Log frequencies per language: words, then grams by ORDERS, each as entry to row and a matrix."""
+    """Log frequencies per language: words, then grams by ORDERS, each as entry to row and the rows' logs."""
 
     languages: list[str]
     prior: np.ndarray
     entries: list[dict[str, int]]
-    logs: list[np.ndarray]
+    logs: list[SparseLogs]
 
 
 def remainder(id_col: Column, parts: int = 4) -> Column:
@@ -50,20 +76,19 @@ def remainder(id_col: Column, parts: int = 4) -> Column:
 
 
 def _sample(docs: DataFrame, bounds: Bounds) -> tuple[DataFrame, list[tuple[str, int]]]:
-    """About ``sample_rows`` labelled rows per language, chosen by a digest of the id."""
+    """About ``sample_rows`` labelled rows per language, or its share, chosen by a digest of the id."""
     counts = [
         (r["lang"], r["n"]) for r in
-        docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(bounds.languages).collect()
+        docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     ]
     if not counts:
         return docs.limit(0), counts
-    scale = 1 << 30
-    rate = F.element_at(
-        F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(scale, scale * bounds.sample_rows // n))]),
-        F.col("lang"),
+    scale, wanted = 1 << 30, bounds.share(bounds.sample_rows, len(counts))
+    rates = docs.sparkSession.createDataFrame(
+        [(lang, min(scale, scale * wanted // n)) for lang, n in counts], "lang string, rate long"
     )
-    known = docs.where(F.col("lang").isin([lang for lang, _ in counts]))
-    return known.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < rate), counts
+    known = docs.join(F.broadcast(rates), "lang")
+    return known.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < F.col("rate")).drop("rate"), counts
 
 
 def fit(
@@ -81,6 +106,7 @@ def fit(
     entries, logs = [], []
 
     def most(frame: DataFrame, number: int) -> None:
+        number = bounds.share(number, len(languages))
         rank = Window.partitionBy("lang").orderBy(F.desc("count"), "w")
         rows = frame.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= number).collect()
         total = np.zeros(len(languages))
@@ -90,10 +116,15 @@ def fit(
         table: dict[str, int] = {}
         for r in rows:
             table.setdefault(r["w"], len(table))
-        log = np.tile(np.log(0.5 / (total + 1.0)), (len(table), 1)).astype(np.float32)
-        for r in rows:
-            i = at[r["lang"]]
-            log[table[r["w"]], i] = np.log((r["count"] + 0.5) / (total[i] + 1.0))
+        base = np.log(0.5 / (total + 1.0))
+        row = np.array([table[r["w"]] for r in rows], np.int64)
+        lang = np.array([at[r["lang"]] for r in rows], np.int64)
+        uses = np.array([r["count"] for r in rows], float)
+        order = np.argsort(row, kind="stable")
+        row, lang, uses = row[order], lang[order], uses[order]
+        more = np.log((uses + 0.5) / (total[lang] + 1.0)) - base[lang]
+        starts = np.searchsorted(row, np.arange(len(table) + 1))
+        log = SparseLogs(base, starts, lang.astype(np.int32), more.astype(np.float32))
         entries.append(table)
         logs.append(log)
 
@@ -162,9 +193,7 @@ class Predictor:
                     found[hit[0]] += hit[1]
         for log, owner, size, rows in zip(self.model.logs, owners, sizes, found):
             if owner:
-                size = np.array(size)
-                mean = np.add.reduceat(log[rows].astype(float), np.cumsum(size) - size) / size[:, None]
-                np.add.at(out[:, :width], owner, mean)
+                np.add.at(out[:, :width], owner, log.means(np.array(rows), np.array(size)))
                 np.add.at(out[:, width], owner, 1)
         self.known.update(zip(tokens, range(count, count + len(tokens))))
 
@@ -186,7 +215,7 @@ class Predictor:
                 pa.py_buffer(np.ascontiguousarray(data)),
             ).dictionary_encode()
             names = [t.strip() for t in tokens.dictionary.to_pylist()]
-            if len(self.known) + len(names) > CACHED_TOKENS:
+            if len(self.known) + len(names) > min(CACHED_TOKENS, CACHED_NUMBERS // (width + 2)):
                 self.known = {}
             self._learn(list(dict.fromkeys(t for t in names if t not in self.known)))
             local = self.rows[list(map(self.known.__getitem__, names))]
@@ -197,13 +226,14 @@ class Predictor:
         words, letters = total[:, width], total[:, width + 1]
         if not width:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        # evidence of more than 30 words counts as that of 30; the prior decides only without evidence
+        # evidence of more than 30 words counts as that of 30; without any the score is 0
         weight = np.minimum(1.0, 30.0 / np.maximum(words, 1.0))
         logit = total[:, :width] * weight[:, None] + self.model.prior
         best = logit.argmax(1)
         share = np.exp(logit - logit.max(1, keepdims=True))
         score = 1.0 / share.sum(1)
         silent = letters == 0
+        score[words == 0] = 0.0
         names = [UNKNOWN if s else self.model.languages[b] for s, b in zip(silent.tolist(), best.tolist())]
         return names, np.where(silent, 0.0, score)
 
@@ -212,7 +242,8 @@ def identify(
     docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id, lang_pred, score) per row. ``und`` with score 0 if the text is null or has no letter, or if
-    nothing was learned; null and repeated ids are passed on; other columns are not looked at."""
+    nothing was learned. A text without any known word or gram is given the most frequent language with
+    score 0. Null and repeated ids are passed on; other columns are not looked at."""
 
     def run(batches):
         predictor = Predictor(model)

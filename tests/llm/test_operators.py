@@ -296,6 +296,19 @@ def test_language_by_words_then_grams(spark):
     assert {r.lang_pred for r in identify(asked, nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learned_and_no_evidence_scores_zero(spark):
+    letters = [chr(0x4E00 + k) for k in range(80)]  # each language has words of its own letters
+    rows = [(i, f"{letters[i % 40]}{letters[40 + i % 40]} " * 5, f"l{i % 40:02}", 0, "") for i in range(80)]
+    rows += [(100 + i, "the house", "en", 0, "") for i in range(300)]
+    model = fit(spark.createDataFrame(rows, DOCS))
+    assert len(model.languages) == 41
+    asked = docs_of(spark, [r[1] for r in rows[:40]] + ["\u05d0\u05d1 \u05d2"], lang=None)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(asked, model).collect()}
+    assert [got[i][0] for i in range(40)] == [f"l{i:02}" for i in range(40)]
+    assert got[40] == ("en", 0.0)
+    assert {r.doc_id for r in keep_identified(asked, model).collect()} == set(range(40))
+
+
 # --- archives --------------------------------------------------------------------------------------
 
 def test_archives_round_trip(spark):
