@@ -68,7 +68,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen is every conversation with an answer; rejected has the last answer of the next one instead."""
+    """Chosen is every conversation with an answer whose next id has one too; rejected has that last answer instead.
+
+    As in the SQL, answered conversations whose next id is missing or unanswered form no pair.
+    """
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "pair_id")
     last = (
         turns.where("role = 'assistant'").groupBy("pair_id")
