@@ -25,6 +25,7 @@ from quotelake.llm.common import byte_view, lists, ragged, steps, tidied
 
 CACHED_CHUNKS = 340_000
 POOL = 1024
+LONG_PART = 10_000
 PLAIN_BLANKS = str.maketrans("", "", " \n\r\t")
 # fixed value: the word pattern of byte-level vocabularies
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,8 +63,9 @@ class ByteEncoder:
 
     A byte-level tokenizer starts a new word at a blank between two visible characters, so the parts
     between such blanks are encoded once each and remembered up to a bound. Parts are encoded many at a
-    time by the rank encoder over the same vocabulary and pattern; those with an added token or with
-    blanks at an end go through the tokenizer itself.
+    time by the rank encoder over the same vocabulary and pattern; those with an added token, with odd
+    blanks at an end or beyond ``LONG_PART`` bytes (long runs of blanks overflow its pattern) go through
+    the tokenizer itself.
     """
 
     def __init__(self, model: str) -> None:
@@ -95,21 +97,25 @@ class ByteEncoder:
         """Parts that may be encoded in one run with others: the seams are word starts."""
         data, offsets = byte_view(chunks)
         first, last = offsets[:-1], offsets[1:] - 1
-        fine = (last > first) & (data[first] == 32) & self.after[data[np.minimum(first + 1, last)]]
+        fine = (last > first) & (last - first < LONG_PART) & (data[first] == 32) & self.after[data[np.minimum(first + 1, last)]]
         return fine & (self.before[data[last]] | ((data[last - 1] == 0xC3) & (data[last] >= 128)))
 
+    def _library(self):
+        """The tokenizer itself, loaded for the first odd part only."""
+        if self.model is None:
+            from tokenizers import Tokenizer
+
+            self.model = Tokenizer.from_str(self.text)
+        return self.model
+
     def _alone(self, chunk: str) -> list[int]:
-        """A part that is not joined. The tokenizer itself is loaded for the first odd one only."""
-        plain = not any(token in chunk for token in self.added) and not any(
+        """A part that is not joined."""
+        plain = len(chunk) <= LONG_PART and not any(token in chunk for token in self.added) and not any(
             c.isspace() or c < " " for c in chunk.translate(PLAIN_BLANKS)
         )
         if plain:
             return self.ranks.encode_ordinary(chunk)
-        if self.model is None:
-            from tokenizers import Tokenizer
-
-            self.model = Tokenizer.from_str(self.text)
-        return self.model.encode(chunk, add_special_tokens=False).ids
+        return self._library().encode(chunk, add_special_tokens=False).ids
 
     def _learn(self, chunks: pa.Array) -> None:
         whole = self._joinable(chunks)
