@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotelake.llm.align import alignment_counts
 from quotelake.llm.common import table
 from quotelake.llm.forest import vector_duplicates
 from quotelake.llm.langid import fit, identify, remainder
@@ -18,6 +19,8 @@ from quotelake.llm.pieces import piece_digests
 from quotelake.llm.preference import format_preferences, preference_digests
 from quotelake.llm.search import build_index, search_index
 from quotelake.llm.secrets import find_secrets, span_digests
+from quotelake.llm.tokenfile import read_token_files, write_token_files
+from quotelake.llm.trie import conversation_trie, ordered_turns, rebuilt_turns
 from quotelake.llm.warc import round_trip
 
 
@@ -89,6 +92,24 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations begin with up to eight turns of the one whose id is the multiple of five at or below theirs."""
+    raw, conv = table(spark, sf_dir, "conversations"), F.col("conv_id")
+    convs = raw.where("conv_id is not null").select("conv_id").distinct()
+    shared, donor = F.crc32(conv.cast("string")) % 9, conv - conv % 5
+    return conversation_trie(rebuilt_turns(convs, ordered_turns(raw), shared, donor, 8), convs)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment_counts(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_forest": op1_embedding_forest,
     "op2_sentencepiece": op2_sentencepiece,
@@ -100,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_preference_pairs": op9_preference_pairs,
     "op10_tensored_minhash": op10_tensored_minhash,
+    "op11_token_files": op11_token_files,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE = {
@@ -222,5 +246,39 @@ pairs as (
 ), least_of as (select u, min(v) as component_id from reach group by u)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
 from documents left join sizes using (doc_id) join least_of on u = doc_id
+""",
+    "op12_prefix_trie": """
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null
+), c as (
+  select distinct conv_id, conv_id - conv_id % 5 as donor, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))
+  )) % 9 as h from t
+), parts as (
+  select c.conv_id, 0 as part, pos, role, text from c join t on t.conv_id = donor and pos <= h
+  union all select conv_id, 1, pos, role, text from c join t using (conv_id) where pos > h
+), rebuilt as (
+  select *, row_number() over (partition by conv_id order by part, pos) as d from parts
+), paths as (
+  select conv_id, d, octet_length(encode(text)) as bytes,
+    string_agg(md5(role || chr(1) || text), '') over (partition by conv_id order by d) as k from rebuilt
+  union all select conv_id, 0, 0, '' from c
+), nodes as (
+  select d, k, min(conv_id) as conv_id, count(*) as n, any_value(bytes) as bytes from paths group by d, k
+), ended as (
+  select k, string_agg(conv_id::varchar, ',' order by conv_id) as ids
+  from (select conv_id, max_by(k, d) as k from paths group by conv_id) group by k
+), children as (select substr(k, 1, 32 * (d - 1)) as k, count(*) as m from nodes where d > 0 group by 1),
+below as (
+  select a.k, sum((b.n - 1) * b.bytes) as saved, count(*) filter (where m is null) as leaves
+  from nodes a join (select * from nodes left join children using (k)) b on substr(b.k, 1, 32 * a.d) = a.k group by a.k
+)
+select a.conv_id, a.d::bigint as depth, p.conv_id as parent_conv_id, a.n as n_convs, coalesce(m, 0)::bigint as n_children,
+  leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from nodes a join below using (k) left join children using (k) left join ended using (k)
+  left join nodes p on a.d > 0 and p.d = a.d - 1 and p.k = substr(a.k, 1, 32 * (a.d - 1))
 """,
 }
