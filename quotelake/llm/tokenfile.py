@@ -34,6 +34,7 @@ from quotelake.llm.packing import ByteEncoder
 FRAME_IDS = 1 << 16
 FILE_IDS = 1 << 26
 ROWS = 4096
+TASK_BYTES = 1 << 26
 # fixed values: the skippable frame and the end mark of the public seekable layout
 TABLE_MAGIC, END_MAGIC, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 FOOTER, HEAD, TRAILER = "<IBI", "<II", "<8sQQQ"
@@ -184,7 +185,7 @@ def write_token_files(
     empty texts have one id. ``id_col`` is a whole number; null ids come first, and rows of one id follow
     each other in an order set by their texts. All rows are written, repeated ones too; other columns are
     ignored; an empty table gives an empty manifest. A file ends after the document that takes it beyond
-    ``file_ids`` ids, and each task writes at least one file of its own. ``path`` is a folder that driver
+    ``file_ids`` ids; a task writes some ``TASK_BYTES`` of text, which repays the start of its encoder. ``path`` is a folder that driver
     and executors share and that pyarrow can reach (default: a new one in the shared folder).
 
     Manifest: path, part and seq (their order is that of the documents), n_ids, n_docs, and base, the
@@ -223,10 +224,11 @@ def write_token_files(
 
     text = F.col(text_col)
     keys = ["id", "mark", "place"]  # rows of one id may be dealt to several tasks
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"),
                     F.monotonically_increasing_id().alias("place"), text.alias("text"))
-        .repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
+        .repartitionByRange(-(-max(size, 1) // TASK_BYTES), *keys).sortWithinPartitions(*keys).select("id", "text")
     )
     kind = "path string, part long, seq long, n_ids long, n_docs long"
     files = saved(ordered.mapInArrow(tidied(run), kind), "token-files")
