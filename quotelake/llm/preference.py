@@ -7,9 +7,11 @@ bear the loss. Everything stays one row per turn, so a conversation of any lengt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotelake.llm.common import saved
+
 # fixed values: the turn markers of the template
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
@@ -57,6 +59,23 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
+def following(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """The same rows with ``name``: ``value`` of the row with the next larger ``key``; the last takes the first's.
+
+    Keys are distinct and may have gaps; rows with a null key are left out. Rows are sorted over the whole
+    table, so a task holds one part of them, and only one row a part is looked at in a single task.
+    """
+    parts = saved(
+        rows.where(F.col(key).isNotNull()).repartitionByRange(key).withColumn("part", F.spark_partition_id()), "parts"
+    )
+    heads = parts.groupBy("part").agg(F.min_by(F.struct(value), key).alias("head"))
+    order = Window.orderBy("part")
+    after = heads.select("part", F.lead("head").over(order).alias("after"), F.first("head").over(order).alias("top"))
+    inside = F.lead(F.struct(value)).over(Window.partitionBy("part").orderBy(key))
+    found = F.coalesce("inside", "after", "top")[value].alias(name)
+    return parts.withColumn("inside", inside).join(after, "part").select(*rows.columns, found)
+
+
 def preference_digests(turns: DataFrame) -> DataFrame:
     """One row per pair: turns and characters of the parts, trained characters, and a digest of all turns."""
     size = F.length("text")

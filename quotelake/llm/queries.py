@@ -16,7 +16,7 @@ from quotelake.llm.lines import dedup_lines
 from quotelake.llm.near_dup import near_duplicates
 from quotelake.llm.packing import pack_documents
 from quotelake.llm.pieces import piece_digests
-from quotelake.llm.preference import format_preferences, preference_digests
+from quotelake.llm.preference import following, format_preferences, preference_digests
 from quotelake.llm.search import build_index, search_index
 from quotelake.llm.secrets import find_secrets, span_digests
 from quotelake.llm.tokenfile import read_token_files, write_token_files
@@ -71,17 +71,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen is every conversation with an answer whose next id has one too; rejected has that last answer instead.
-
-    As in the SQL, answered conversations whose next id is missing or unanswered form no pair.
-    """
+    """Chosen is every conversation with an answer; rejected has the last answer of the next such one instead,
+    the last conversation that of the first."""
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "pair_id")
     last = (
         turns.where("role = 'assistant'").groupBy("pair_id")
         .agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("answer"))
     )
-    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("answer").alias("other"))
-    rejected = turns.join(last.select("pair_id", "last").join(other, "pair_id"), "pair_id").withColumn(
+    other = following(last, "pair_id", "answer", "other")
+    rejected = turns.join(other, "pair_id").withColumn(
         "text", F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("other"))
         .otherwise(F.col("text")),
     )
@@ -167,7 +165,8 @@ select query_id, rank, doc_id, score from ranked where rank <= 10
 with last as (
   select conv_id, max(turn) as last, arg_max(text, turn) as answer from conversations where role = 'assistant' group by 1
 ), pairs as (
-  select a.conv_id, a.last, b.answer as other from last a join last b on b.conv_id = a.conv_id + 1
+  select conv_id, last, case when conv_id = max(conv_id) over () then first_value(answer) over (order by conv_id)
+    else lead(answer) over (order by conv_id) end as other from last
 ), turns as (
   select conv_id, turn, role, text, last, case when turn = last and role = 'assistant' then other else text end as alt
   from conversations join pairs using (conv_id)
