@@ -253,30 +253,30 @@ def dedup_lines(
     """The same rows and columns with duplicate lines cut from the text, and ``dropped_lines``.
 
     dropped_lines holds the places (from 0) of the lines cut; it is empty where none is. Null texts stay
-    null; a text that loses all its lines becomes empty. See ``duplicate_lines`` for what is cut.
+    null; a text that loses all its lines becomes empty. A column of that name is replaced; all others may
+    have any name. See ``duplicate_lines`` for what is cut.
     """
     found = duplicate_lines(docs, id_col, text_col, edits, min_chars, copy_share)
-    found = saved(found, "line-hits").select(
-        F.col("id").alias("hit_id"), F.col("k").alias("hit_k"), "foreign_chars", "hits"
-    )
-    text = F.col(text_col)
-    joined = docs.join(
+    found = saved(found, "line-hits").select(F.struct("id", "k", "foreign_chars", "hits").alias("hit"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col(f"row.`{text_col}`")
+    joined = rows.join(
         bounded_broadcast(found, found.count(), 400_000),
-        (docs[id_col] == F.col("hit_id")) & (F.xxhash64(text) == F.col("hit_k")), "left",
+        (F.col(f"row.`{id_col}`") == F.col("hit.id")) & (F.xxhash64(text) == F.col("hit.k")), "left",
     )
     own_only = (
         F.lit(False) if copy_share is None
-        else F.col("foreign_chars") > copy_share * F.length(text)
+        else F.col("hit.foreign_chars") > copy_share * F.length(text)
     )
     cut = F.coalesce(
-        F.transform(F.filter("hits", lambda s: s["own"] | ~own_only), lambda s: s["place"].cast("int")),
+        F.transform(F.filter("hit.hits", lambda s: s["own"] | ~own_only), lambda s: s["place"].cast("int")),
         F.array().cast("array<int>"),
     )
     kept = F.array_join(
-        F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("dropped_lines"), i)), "\n"
+        F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n"
     )
-    fresh = F.when(F.size("dropped_lines") > 0, kept).otherwise(text)
-    return (
-        joined.withColumn("dropped_lines", cut)
-        .select(*[fresh.alias(c) if c == text_col else docs[c] for c in docs.columns], "dropped_lines")
+    fresh = F.when(F.size("cut") > 0, kept).otherwise(text)
+    return joined.withColumn("cut", cut).select(
+        *[(fresh if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != "dropped_lines"],
+        F.col("cut").alias("dropped_lines"),
     )
