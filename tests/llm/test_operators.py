@@ -19,7 +19,7 @@ from quotelake.llm.lines import dedup_lines, within_edits
 from quotelake.llm.near_dup import near_duplicates
 from quotelake.llm.packing import Limits, pack_documents
 from quotelake.llm.pieces import decode_pieces, encode_pieces, piece_digests
-from quotelake.llm.preference import format_preferences, preference_examples
+from quotelake.llm.preference import following, format_preferences, preference_examples
 from quotelake.llm.search import build_index, search_index
 from quotelake.llm.secrets import find_secrets, redact_secrets, span_digests
 from quotelake.llm.warc import archive_pages, fetch_records, page_records, round_trip
@@ -492,3 +492,24 @@ def test_preferences_share_their_prompt(spark):
     assert got[4].prompt == mark("", "") and got[4].rejected == mark("assistant", "b")
     assert got[5].chosen == mark("assistant", "more") and not got[5].rejected
     assert format_preferences(frame(chosen).limit(0), frame(rejected)).count() == 0
+
+
+# --- clashing names and gaps -------------------------------------------------------------------------
+
+def test_line_dedup_takes_any_column_names(spark):
+    line = "a line of text that is long enough"
+    rows = [(1, line, 5, "a", "b", 6, "x"), (2, f"other words first here\n{line}", 7, "c", "d", 8, "y")]
+    kind = "doc_id long, text string, hits int, hit_id string, dropped_lines string, row int, `hit.k` string"
+    got = dedup_lines(spark.createDataFrame(rows, kind)).orderBy("doc_id")
+    assert got.columns == ["doc_id", "text", "hits", "hit_id", "row", "hit.k", "dropped_lines"]
+    assert list(map(tuple, got.collect())) == [
+        (1, line, 5, "a", 6, "x", []), (2, "other words first here", 7, "c", 8, "y", [1]),
+    ]
+
+
+def test_following_rows_need_no_dense_ids(spark):
+    ids = [-7, 0, 3, 50, 1 << 40]
+    rows = [(k, f"v{k}" if k != 3 else None) for k in ids] + [(None, "x")]
+    got = following(spark.createDataFrame(rows, "key long, value string").repartition(4), "key", "value", "next")
+    want = [f"v{k}" if k != 3 else None for k in ids[1:] + ids[:1]]
+    assert [r["next"] for r in got.orderBy("key").collect()] == want

@@ -88,3 +88,11 @@ def test_equal_rows_do_not_add_to_what_repeats(spark):
     rows = [(0, line + "\nfirst", "en", "s", 0), *[(1, line + "\n" + body, "en", "s", 0)] * 3]
     out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, schema), SF).where("doc_id = 1").collect()
     assert [r.text for r in out] == [body] * 3
+
+
+def test_near_dedup_takes_any_column_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text if i < 2 else f"{i} other words", "en", "s", 1, "id", "k") for i in range(4)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, id string, k string"
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, kind), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 2, 3]
