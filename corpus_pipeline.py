@@ -50,7 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = saved(near_duplicate_rows(docs).where("not kept").select("id", "k").distinct(), "gone")
     copy = (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("k"))
     stay = saved(
-        docs.join(bounded_broadcast(gone, gone.count()), copy, "left_anti").select(DOCUMENT_COLUMNS), "stay"
+        docs.select(DOCUMENT_COLUMNS).join(bounded_broadcast(gone, gone.count()), copy, "left_anti"), "stay"
     )
     return _documents(dedup_lines(stay))
 
