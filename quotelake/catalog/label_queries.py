@@ -274,30 +274,32 @@ _VERSES = ["Gen 1:1", "1 sam 1.2", "genesis 1:3.", "John 9:99", "nobody 1:1", "E
 
 
 def _synthetic(spark, sf):
-    """One row per document and passage edition of its position: quotes, other texts and bad rows."""
+    """Every document's text, and beside it the passage of its position, for some with a blank row as well."""
     d = F.col("doc_id")
     docs = B.table(spark, sf, "documents")
     passage = B.passages(spark, sf).filter(F.col("edition") == "AMP").select(
         F.col("passage_id").alias("_pid"), F.col("text").alias("_quote"), "work", "section", "item"
     )
-    n = B.table(spark, sf, "benchmark").count()
-    df = docs.withColumn("_pid", (d % n) * 2).join(passage, "_pid", "left")
-    text = (
-        F.when(d % 11 == 0, F.lit(" "))
-        .when(d % 3 == 0, F.concat(F.lit("  "), F.col("_quote"), F.lit(" ")))
-        .otherwise(F.col("text"))
+    size = B.table(spark, sf, "benchmark").agg(F.count("*").alias("_size"))  # one row
+    df = docs.crossJoin(F.broadcast(size)).withColumn("_pid", (d % F.col("_size")) * 2).join(passage, "_pid", "left")
+    own = F.struct(F.lit(0).alias("part"), F.col("text").alias("said"), B.pick(_VERSES, d).alias("verse"))
+    quote = F.struct(
+        F.lit(1).alias("part"), F.concat(F.lit("  "), F.col("_quote"), F.lit(" ")).alias("said"),
+        T.reference(F.col("work"), F.col("section"), F.col("item")).alias("verse"),
     )
-    verse = F.when(d % 3 == 0, T.reference(F.col("work"), F.col("section"), F.col("item"))).otherwise(B.pick(_VERSES, d))
-    return df.select(
-        d.alias("row_id"), text.alias("text"), verse.alias("verse"), B.pick(_SUBTYPES, F.col("n_chars")).alias("subtype"),
-        F.lit("positive").alias("label"),
+    blank = F.struct(F.lit(2).alias("part"), F.lit(" ").alias("said"), B.pick(_VERSES, d).alias("verse"))
+    made = F.when(d % 11 == 0, F.array(own, quote, blank)).otherwise(F.array(own, quote))
+    return df.select(d, "n_chars", F.explode(made).alias("r")).select(
+        (d * 3 + F.col("r.part")).alias("row_id"), F.col("r.said").alias("text"), "r.verse",
+        B.pick(_SUBTYPES, F.col("n_chars") + F.col("r.part")).alias("subtype"), F.lit("positive").alias("label"),
     )
 
 
 _SYN = f"""
-syn AS (SELECT doc_id AS row_id, CASE WHEN doc_id % 11 = 0 THEN ' ' WHEN doc_id % 3 = 0 THEN '  ' || p.text || ' ' ELSE d.text END AS text0,
-  CASE WHEN doc_id % 3 = 0 THEN work || ' ' || section || ':' || item ELSE {B.sql_pick(_VERSES, "doc_id")} END AS verse0,
-  {B.sql_pick(_SUBTYPES, "n_chars")} AS subtype FROM documents d LEFT JOIN passages p ON p.edition = 'AMP' AND p.passage_id = (doc_id % (SELECT count(*) FROM benchmark)) * 2),
+syn AS (SELECT doc_id * 3 + part AS row_id, CASE part WHEN 0 THEN d.text WHEN 1 THEN '  ' || p.text || ' ' ELSE ' ' END AS text0,
+  CASE WHEN part = 1 THEN work || ' ' || section || ':' || item ELSE {B.sql_pick(_VERSES, "doc_id")} END AS verse0,
+  {B.sql_pick(_SUBTYPES, "n_chars + part")} AS subtype FROM documents d LEFT JOIN passages p ON p.edition = 'AMP' AND p.passage_id = (doc_id % (SELECT count(*) FROM benchmark)) * 2
+  CROSS JOIN (VALUES (0), (1), (2)) h(part) WHERE part < 2 OR doc_id % 11 = 0),
 la(alias, target) AS (VALUES {", ".join(f"({B.lit(k)}, {B.lit(v)})" for k, v in sorted(L.label_aliases().items()))}),
 sp AS (SELECT row_id, {B.sql_trim('text0')} AS text, subtype, rtrim(trim(verse0), '.,;') AS vv FROM syn),
 sr AS (SELECT *, regexp_replace(lower(trim(regexp_extract(vv, {B.lit(L.STRICT_REF_PATTERN)}, 1))), '\\s+', ' ', 'g') AS tok,

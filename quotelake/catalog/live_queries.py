@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from ..operators import activation, live, records
+from ..operators import activation, live, navigation, records
 from ..sources import transcripts
 from . import bindings as B
 from .bindings import query
@@ -118,25 +118,85 @@ def asof_anchor(spark, sf):
     return df.select("seq", "kind", "anchor")
 
 
-_MODE = "CASE WHEN kind = 'mode' THEN CASE item % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'autopilot' ELSE 'semi_autopilot' END END"
+_ACTIONS = ["show", "next_verse", "next_verse", "prev_verse", "next_chapter", "prev_chapter", "swap_translation"]
+_ASKED = ["AMP", "NKJV", "KJV"]
+
+
+def _commands(spark, sf):
+    """A command per turn that depends on its text: references, steps, swaps, and turns without any."""
+    n, turn = F.length("text"), F.col("conv_id") + F.col("turn")
+    action = F.get(F.array(*map(F.lit, [*_ACTIONS, None])), n % (len(_ACTIONS) + 1))
+    return B.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), action.alias("action"),
+        B.pick(_ASKED, n).alias("edition"), B.pick(B.WORK_POOL, turn).alias("work"),
+        (n % 3 + 1).cast("int").alias("section"), (n % 6 + 1).cast("int").alias("item"),
+    )
 
 
 @query(f"""
+WITH RECURSIVE {B.PASSAGES},
+byref AS (SELECT work, section, item, list_sort(list(edition)) AS eds FROM passages GROUP BY ALL),
+refs AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY section, item) AS o, dense_rank() OVER (PARTITION BY work ORDER BY section) AS k FROM byref),
+secs AS (SELECT work, k, min(o) AS lo, max(o) AS hi FROM refs GROUP BY ALL),
+goals AS (SELECT work, o, 'next_verse' AS action, o + 1 AS t FROM refs UNION ALL SELECT work, o, 'prev_verse', o - 1 FROM refs
+  UNION ALL SELECT work, o, 'swap_translation', o FROM refs
+  UNION ALL SELECT r.work, o, 'next_chapter', lo FROM refs r JOIN secs s ON s.work = r.work AND s.k = r.k + 1
+  UNION ALL SELECT r.work, o, 'prev_chapter', hi FROM refs r JOIN secs s ON s.work = r.work AND s.k = r.k - 1),
+leads AS (SELECT g.work, g.o AS from_o, g.action, r.o AS to_o, r.eds FROM goals g JOIN refs r ON r.work = g.work AND r.o = g.t),
+said AS (SELECT conv_id, turn, {B.sql_list(_ACTIONS)}[length(text) % {len(_ACTIONS) + 1} + 1] AS action, {B.sql_pick(_ASKED, "length(text)")} AS edition,
+  {B.sql_pick(B.WORK_POOL, "conv_id + turn")} AS work, (length(text) % 3 + 1)::INTEGER AS section, (length(text) % 6 + 1)::INTEGER AS item FROM conversations),
+ev AS MATERIALIZED (SELECT s.*, r.o AS show_o, CASE WHEN list_contains(r.eds, edition) THEN edition WHEN list_contains(r.eds, 'NKJV') THEN 'NKJV' ELSE r.eds[1] END AS show_e,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM said s LEFT JOIN refs r USING (work, section, item)),
+f AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS rn, NULL::BIGINT AS turn, NULL::VARCHAR AS e, NULL::VARCHAR AS w, NULL::BIGINT AS o, NULL::VARCHAR AS reason FROM ev
+  UNION ALL
+  SELECT conv_id, rn, turn, CASE WHEN ok THEN ne ELSE e END, CASE WHEN ok THEN nw ELSE w END, CASE WHEN ok THEN no ELSE o END,
+    CASE WHEN ok OR action IS NULL THEN NULL WHEN action = 'show' THEN 'reference out of range' WHEN e IS NULL THEN 'no anchor to navigate from'
+      WHEN action = 'swap_translation' THEN 'edition not available' ELSE 'out of range' END
+  FROM (SELECT *, ne IS NOT NULL AS ok FROM (
+    SELECT x.conv_id, x.rn, x.turn, x.action, f.e, f.w, f.o, CASE WHEN x.action = 'show' THEN x.work ELSE f.w END AS nw,
+      CASE WHEN x.action = 'show' THEN x.show_o ELSE g.to_o END AS no,
+      CASE WHEN x.action = 'show' THEN x.show_e WHEN x.action = 'swap_translation' THEN CASE WHEN list_contains(g.eds, x.edition) THEN x.edition END
+        WHEN list_contains(g.eds, f.e) THEN f.e ELSE g.eds[1] END AS ne
+    FROM f JOIN ev x ON x.conv_id = f.conv_id AND x.rn = f.rn + 1
+      LEFT JOIN leads g ON g.work = f.w AND g.from_o = f.o AND g.action = x.action)))
+SELECT conv_id AS stream_id, turn AS seq, e AS to_edition, w AS to_work, section AS to_section, item AS to_item, reason
+FROM f LEFT JOIN refs ON refs.work = f.w AND refs.o = f.o WHERE rn > 0
+""")
+def nav_chain(spark, sf):
+    chain = navigation.nav_chain(_commands(spark, sf), B.passages(spark, sf))
+    return chain.select("stream_id", "seq", "to_edition", "to_work", "to_section", "to_item", "reason")
+
+
+_MODE = "CASE WHEN kind = 'mode' THEN CASE item % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'autopilot' ELSE 'semi_autopilot' END END"
+
+
+MODE_GATE = f"""
 WITH {B.LIVE_LOG}, m AS (SELECT *, coalesce(last_value({_MODE} IGNORE NULLS) OVER
   (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'semi_autopilot') AS mode FROM log)
 SELECT seq, mode, mode <> 'manual' AS accepted, mode = 'autopilot' AND kind = 'present' AND confidence >= 0.6 AS presented FROM m
-""")
+"""
+
+
+def mode_named():
+    name = F.when(F.col("item") % 3 == 0, "manual").when(F.col("item") % 3 == 1, "autopilot").otherwise("semi_autopilot")
+    return F.when(F.col("kind") == "mode", name)
+
+
+@query(MODE_GATE)
 def mode_gate(spark, sf):
     log = B.live_log(spark, sf).withColumn("is_final", F.col("kind") == "present")
-    name = F.when(F.col("item") % 3 == 0, "manual").when(F.col("item") % 3 == 1, "autopilot").otherwise("semi_autopilot")
-    df = live.gate_by_mode(log, "stream_id", "seq", F.when(F.col("kind") == "mode", name))
+    df = live.gate_by_mode(log, "stream_id", "seq", mode_named())
     return df.select("seq", "mode", "accepted", "presented")
 
 
-@query(f"""
+DISPLAY_STATE = f"""
 WITH {B.LIVE_LOG}, l AS (SELECT * FROM log WHERE kind IN ('present', 'clear') QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) = 1)
 SELECT stream_id, seq AS as_of, CASE WHEN kind = 'present' THEN item END AS shown FROM l
-""")
+"""
+
+
+@query(DISPLAY_STATE)
 def display_state(spark, sf):
     return live.display_state(B.live_log(spark, sf), "stream_id", "seq", "kind", "item")
 

@@ -110,6 +110,61 @@ def _session_rows(spark, sf):
     return _finish(stateful.live_session(_replayed(events, "session")), "live_session")
 
 
+def _segment_events(spark, sf):
+    return B.segments(spark, sf).select(
+        F.col("stream_id").cast("string"), F.col("seg_id").alias("seq"), _clock("seg_id").alias("event_time"),
+        "text", "start_time", "end_time",
+    )
+
+
+@query(text_queries.SENTENCE_WINDOWS)
+def stream_windows(spark, sf):
+    """Windows of a growing stream, each once: the rows of `sentence_windows`."""
+    out = _finish(stateful.sentence_windows(_replayed(_segment_events(spark, sf), "windows", slices=8)), "windows")
+    return out.select(
+        F.col("stream_id").cast("long").alias("stream_id"), F.col("seq").alias("seg_id"), "sent_id", "candidate_text",
+        "prev_text", "next_text", "text", "start_time", "end_time",
+    )
+
+
+@query(f"""
+WITH {B.SEGMENTS}, whole AS (SELECT stream_id, 1 AS o, string_agg({B.sql_trim('text')}, ' ' ORDER BY seg_id) AS text
+  FROM segments WHERE {B.sql_trim('text')} <> '' GROUP BY stream_id),
+{text_queries.WINDOW_SQL.format(keys="stream_id", order="o", source="whole")}
+SELECT stream_id, sent_id, candidate_text, prev_text, next_text, text FROM windows
+""")
+def stream_joined_windows(spark, sf):
+    """Windows of sentences that may run over segments."""
+    events = _replayed(_segment_events(spark, sf), "joined", slices=8)
+    out = _finish(stateful.sentence_windows(events, joined=True), "joined_windows")
+    return out.select(
+        F.col("stream_id").cast("long").alias("stream_id"), "sent_id", "candidate_text", "prev_text", "next_text", "text"
+    )
+
+
+@query(live_queries.MODE_GATE)
+def stream_mode_gate(spark, sf):
+    log = _log(spark, sf).select(
+        "stream_id", "seq", "event_time", live_queries.mode_named().alias("mode"),
+        (F.col("kind") == "present").alias("is_final"), "confidence",
+    )
+    return _finish(stateful.mode_gates(_replayed(log, "modes")), "mode_gate").drop("stream_id")
+
+
+@query(live_queries.DISPLAY_STATE)
+def stream_display_state(spark, sf):
+    """Kept up to date per micro-batch: every epoch rewrites the newest row of each stream."""
+    shown = stateful.display_changes(_replayed(_log(spark, sf), "display"), "kind", "item")
+    home = f"{checkpoint_root(spark)}/quotelake-display-{uuid.uuid4().hex}"
+    done = jobs.run(
+        shown, f"display_{uuid.uuid4().hex}", jobs.latest(f"{home}/out", "stream_id", "as_of"), mode="update",
+        checkpoint=f"{home}/state", available_now=True,
+    )
+    done.awaitTermination()
+    out = jobs.read_latest(spark, done, f"{home}/out", shown.schema)
+    return out.select(F.col("stream_id").cast("long").alias("stream_id"), "as_of", "shown")
+
+
 @query(rf"""
 WITH RECURSIVE m AS (SELECT *, conv_id + turn AS n FROM conversations WHERE (conv_id + turn) % 13 <> 0),
 x AS MATERIALIZED (SELECT conv_id, turn, n % 11 = 0 AS closing, CASE WHEN n % 7 = 0 THEN '' ELSE {B.sql_trim('text')} END AS text,

@@ -23,7 +23,7 @@ def document_sentences(spark, sf):
     return SE.document_sentences(B.table(spark, sf, "documents").select("doc_id", "text"))
 
 
-_WINDOW_SQL = rf"""
+WINDOW_SQL = rf"""
 sents AS (
   SELECT {{keys}}, {{order}}, i, ss[i] AS candidate_text FROM (
     SELECT *, unnest(range(1, len(ss) + 1)) AS i
@@ -41,12 +41,15 @@ windows AS (
   FROM numbered)"""
 
 
-@query(f"""
-WITH {B.SEGMENTS}, {_WINDOW_SQL.format(keys="stream_id", order="seg_id", source="segments")}
+SENTENCE_WINDOWS = f"""
+WITH {B.SEGMENTS}, {WINDOW_SQL.format(keys="stream_id", order="seg_id", source="segments")}
 SELECT stream_id, seg_id, sent_id, candidate_text, prev_text, next_text, text,
        seg_id * 10.0::DOUBLE AS start_time, seg_id * 10.0::DOUBLE + 10 AS end_time
 FROM windows
-""")
+"""
+
+
+@query(SENTENCE_WINDOWS)
 def sentence_windows(spark, sf):
     return SE.segment_windows(B.segments(spark, sf)).select(
         "stream_id", "seg_id", "sent_id", "candidate_text", "prev_text", "next_text", "text",
@@ -55,7 +58,7 @@ def sentence_windows(spark, sf):
 
 
 @query(f"""
-WITH {B.SEGMENTS}, {_WINDOW_SQL.format(keys="stream_id", order="seg_id", source="segments")}
+WITH {B.SEGMENTS}, {WINDOW_SQL.format(keys="stream_id", order="seg_id", source="segments")}
 SELECT stream_id, sent_id, candidate_text FROM windows
 """)
 def segment_sentences(spark, sf):
@@ -64,7 +67,7 @@ def segment_sentences(spark, sf):
 
 @query(f"""
 WITH d AS (SELECT doc_id, 1 AS o, text FROM documents),
-{_WINDOW_SQL.format(keys="doc_id", order="o", source="d")}
+{WINDOW_SQL.format(keys="doc_id", order="o", source="d")}
 SELECT doc_id, sent_id, candidate_text, prev_text, next_text, text FROM windows
 """)
 def document_windows(spark, sf):

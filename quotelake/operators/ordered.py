@@ -137,13 +137,13 @@ def _by_group(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[p
 
 def state_scan(
     df: DataFrame, axis: Axis, outcomes: Outcomes, step: Step, out: str, columns: list[str],
-    initial, state_type: t.DataType,
+    initial, state_type: t.DataType, anywhere=None,
 ) -> DataFrame:
     """Sequential fold run in parallel over chunks; the results equal the plain fold.
 
     Folding a chunk is a function of its entry state. Each chunk tabulates that function by
-    `outcomes` (every other state must pass through unchanged), the small tables are
-    composed chunk by chunk, and each chunk is replayed once from its true entry state. Chunks
+    `outcomes` (every other state must pass through unchanged; an entry `anywhere`, if that is given, stands
+    for all states that are not listed), the small tables are composed chunk by chunk, and each chunk is replayed once from its true entry state. Chunks
     are read from sorted partitions, so short streams cost no task or batch of their own.
     """
     df = axis.cut(df)
@@ -177,7 +177,8 @@ def state_scan(
                 if key != current:
                     current, state = key, initial
                 before.append(state)
-                state = dict(zip(given, exits)).get(state, state)
+                passed = dict(zip(given, exits))
+                state = passed.get(state, state if anywhere is None else passed.get(anywhere, state))
             record = {c: rows[c] for c in group} | {"_entry": before}
             yield pa.RecordBatch.from_pydict(record, schema=start_arrow)
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import live, router
 from ..plans import detection
 from ..session import checkpoint_root
+from . import stateful
+from .sources import LATENESS
 
 
 def run(
@@ -35,6 +37,38 @@ def once_per_epoch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def latest(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
+    """Sink of an update-mode query: a table that holds the newest row of every key.
+
+    The table of an epoch is made from that of the one before, so a replay gives the same table; `read_latest`
+    finds the last one.
+    """
+    def write(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        if epoch:
+            df = df.unionByName(spark.read.schema(df.schema).parquet(f"{path}/epoch={epoch - 1}"))
+        keep = [F.max_by(c, order).alias(c) for c in df.columns if c != key]
+        df.groupBy(key).agg(*keep).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
+def read_latest(spark: SparkSession, query: StreamingQuery, path: str, schema) -> DataFrame:
+    """The table after the last epoch of a query that wrote with `latest`."""
+    return spark.read.schema(schema).parquet(f"{path}/epoch={query.lastProgress['batchId']}")
+
+
+def window_feed(segments: DataFrame, path: str, name: str = "windows", joined: bool = True, **kw) -> StreamingQuery:
+    """Write every sentence window of final segments once; `read_windows` streams them on."""
+    return run(stateful.sentence_windows(segments, joined=joined), name, once_per_epoch(path), **kw)
+
+
+def read_windows(spark: SparkSession, path: str, lateness: str = LATENESS) -> DataFrame:
+    """The windows that `window_feed` has written as a stream of events to route."""
+    windows = spark.readStream.schema(stateful.WINDOW_OUT).parquet(f"{path}/epoch=*")
+    return stateful.windows_as_events(windows).withWatermark("event_time", lateness)
+
+
 def detect_batch(passages: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
     """Resolve commands and detect quotations of one micro-batch of the live session."""
     def work(df: DataFrame, epoch: int) -> None:

@@ -19,8 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config as C
 from .. import lexicons as L
+from ..functions import references as R
 from ..functions import text as T
 from ..operators import router
+from ..operators.navigation import Navigator
 
 IDLE_MS = 60_000
 
@@ -150,6 +152,81 @@ def assemble_utterances(messages: DataFrame) -> DataFrame:
     )
 
 
+WINDOW_OUT = (
+    "stream_id string, seq long, sent_id long, at long, candidate_text string, prev_text string, "
+    "next_text string, text string, start_time double, end_time double"
+)
+
+
+def sentence_windows(
+    segments: DataFrame, next_words: int = C.NEXT_WORDS, joined: bool = False
+) -> DataFrame:
+    """Every context window of a growing stream once, with the same rows as `sentences.segment_windows`.
+
+    Input: `stream_id, seq, event_time, text, start_time, end_time` of final segments. A window waits until
+    the words that follow it have come, or the stream falls silent, so the state holds no more than
+    `next_words` sentences, the one before them and the next number. With `joined`, a sentence may run
+    over segments: its open tail is held too, and its span goes from the first to the last segment.
+    `seq` is the segment in which a sentence ends, `at` its event time in milliseconds.
+    """
+    split = F.transform(
+        T.sentences(F.col("text")), lambda s: F.struct(s.alias("t"), F.slice(T.words(s), 1, next_words).alias("w"))
+    )
+
+    def fold(key, row, carried, emit):
+        number, prev, tail, waiting = carried[0], carried[1], json.loads(carried[2]), json.loads(carried[3])
+        for text, words in [(s["t"], s["w"]) for s in json.loads(row["sents"])]:
+            start = row["start_time"]
+            if tail:
+                text, words, start = f"{tail[0]} {text}", (tail[1] + words)[:next_words], tail[2]
+                tail = []
+            if joined and text[-1] not in ".!?":
+                tail = [text, words, start, row["seq"], row["event_time"], row["end_time"]]
+                break  # only the last sentence of a segment can be open
+            fields = (row["seq"], row["event_time"], start, row["end_time"])
+            number, prev = close(key, number, prev, text, words, fields, waiting, emit)
+        return (number, prev, json.dumps(tail), json.dumps(waiting))
+
+    def close(key, number, prev, text, words, fields, waiting, emit):
+        for window in waiting:
+            window["next"] = (window["next"] + words)[:next_words]
+        while waiting and len(waiting[0]["next"]) == next_words:
+            deliver(key, waiting.pop(0), emit)
+        waiting.append({"n": number, "prev": prev, "text": text, "fields": fields, "next": []})
+        return number + 1, text
+
+    def deliver(key, window, emit):
+        seq, at, start, end = window["fields"]
+        ahead = " ".join(window["next"])
+        parts = [window["prev"], window["text"], ahead]
+        emit((key[0], seq, window["n"], at, window["text"], window["prev"], ahead, " ".join(filter(None, parts)), start, end))
+
+    def finish(key, last, carried, emit):
+        number, prev, tail, waiting = carried[0], carried[1], json.loads(carried[2]), json.loads(carried[3])
+        if tail:
+            text, words, start, seq, at, end = tail
+            number, prev = close(key, number, prev, text, words, (seq, at, start, end), waiting, emit)
+        for window in waiting:
+            deliver(key, window, emit)
+        return (number, prev, "[]", "[]")
+
+    rows = segments.select("stream_id", "seq", "event_time", "start_time", "end_time", F.to_json(split).alias("sents"))
+    return _in_order(
+        rows, (0, "", "[]", "[]"), fold, finish, WINDOW_OUT, "number long, prev string, tail string, waiting string"
+    )
+
+
+def windows_as_events(windows: DataFrame) -> DataFrame:
+    """Sentence windows as events to route: every sentence, whole, once."""
+    none = F.lit(None)
+    return windows.select(
+        "stream_id", F.col("sent_id").alias("seq"), F.timestamp_millis("at").alias("event_time"),
+        F.lit("segment").alias("kind"), F.col("candidate_text").alias("text"), F.lit(True).alias("is_final"),
+        none.cast("double").alias("confidence"), none.cast("string").alias("edition"), none.cast("string").alias("work"),
+        none.cast("int").alias("section"), none.cast("int").alias("item"),
+    )
+
+
 SESSION_OUT = (
     "stream_id string, seq long, out_kind string, text string, action string, swap string, "
     "a_edition string, a_work string, a_section int, a_item int, mode string"
@@ -170,18 +247,26 @@ def sentence_events(events: DataFrame) -> DataFrame:
     return events.select(*others, F.posexplode(parts).alias("part", "text"))
 
 
-def live_session(events: DataFrame, initial_mode: str = "semi_autopilot") -> DataFrame:
+def live_session(
+    events: DataFrame, initial_mode: str = "semi_autopilot", navigator: Navigator | None = None
+) -> DataFrame:
     """Route, accumulate and anchor in one state machine per stream.
 
     Kinds: `segment` (final or interim by `is_final`), `present` (carries the displayed
     reference), `clear`, and `mode` (name in `text`). Output kinds: `quote` (a complete quotation
-    text to search), `explicit`, `nav` with the anchor of that moment, and `clear`. Displays feed
-    back as `present` events, so the anchor follows every display and a clear keeps it. A quotation
-    that is open when the stream falls silent is delivered then.
+    text to search), `explicit`, `nav` with the anchor of that moment, and `clear`. The anchor follows
+    every display and a clear keeps it: detections that are shown come back as `present` events, and
+    with a `navigator` the state itself moves to what references and steps lead to, so that
+    commands can follow each other. A quotation that is open when the stream falls silent is delivered then.
     """
     col = F.col("text")
-    df = router.classify(events, "text", F.lit(True)).select(
-        "stream_id", "seq", *[c for c in ("part",) if c in events.columns], "event_time", "kind", "text",
+    df = router.classify(events, "text", F.lit(True))
+    goal = []
+    if navigator is not None:
+        df = R.resolve_works(df, "ref_token", "ref_work")
+        goal = ["ref_work", "ref_section", "ref_item", "named"]
+    df = df.select(
+        *goal, "stream_id", "seq", *[c for c in ("part",) if c in events.columns], "event_time", "kind", "text",
         "is_final", "edition", "work", "section", "item", "intent", "action", "swap", T.word_count(col).alias("n_words"),
         F.coalesce(col.rlike(L.SENTENCE_END_PATTERN), F.lit(False)).alias("ends"),
         F.coalesce(F.lower(col).rlike(L.QUOTE_OPENER_PATTERN), F.lit(False)).alias("opener"),
@@ -194,6 +279,16 @@ def live_session(events: DataFrame, initial_mode: str = "semi_autopilot") -> Dat
         def put(kind, text=None, action=None, swap=None):
             emit((key[0], row.seq, kind, text, action, swap, *ref, mode))
 
+        def followed(kind, action):
+            """The anchor after a command; one that leads nowhere keeps it."""
+            if navigator is None or kind == "clear":
+                return ref
+            if kind == "explicit":
+                to = navigator.find(row.named, row.ref_work, row.ref_section, row.ref_item)
+            else:
+                to = navigator.moved(-1 if ref[0] is None else navigator.find(*ref), action, row.swap)
+            return list(navigator.keys[to]) if to >= 0 else ref
+
         if row.kind == "mode":
             mode = row.text
         elif row.kind == "present":
@@ -215,7 +310,9 @@ def live_session(events: DataFrame, initial_mode: str = "semi_autopilot") -> Dat
             kind = "nav" if row.intent == nav else "clear" if row.intent == clear else "explicit"
             # without an anchor there is nothing to step from: a named edition comes first
             free_swap = row.intent == nav and ref[0] is None and row.swap is not None
-            put(kind, row.text, "swap_translation" if free_swap else row.action, row.swap)
+            action = "swap_translation" if free_swap else row.action
+            put(kind, row.text, action, row.swap)
+            ref = followed(kind, action)
         elif row.n_words >= shortest:
             if acc is not None and row.opener:
                 put("quote", acc)
@@ -240,6 +337,36 @@ def live_session(events: DataFrame, initial_mode: str = "semi_autopilot") -> Dat
     )
 
 
+def mode_gates(
+    events: DataFrame, initial: str = "semi_autopilot", threshold: float = C.AUTOPILOT_THRESHOLD
+) -> DataFrame:
+    """Each event with the mode in force before it, as `live.gate_by_mode` gives for a whole log.
+
+    Input: `stream_id, seq, event_time, mode` (null where it does not change), `is_final, confidence`. Events
+    wait behind the watermark, so a mode change holds for what follows it, whatever came first.
+    """
+    def fold(key, row, carried, emit):
+        (mode,) = carried
+        sure = row["is_final"] and row["confidence"] is not None and row["confidence"] >= threshold
+        emit((key[0], row["seq"], mode, mode != "manual", bool(mode == "autopilot" and sure)))
+        return (row["mode"] or mode,)
+
+    slim = events.select("stream_id", "seq", "event_time", "mode", "is_final", "confidence")
+    out = "stream_id string, seq long, mode string, accepted boolean, presented boolean"
+    return _in_order(slim, (initial,), fold, None, out, "mode string")
+
+
+def display_changes(events: DataFrame, kind: str, value: str) -> DataFrame:
+    """What every stream shows, as an aggregate for update mode: a row replaces the earlier one of its stream.
+
+    The last present or clear event by `seq` decides, in whatever order they come.
+    """
+    relevant = events.filter(F.col(kind).isin("present", "clear"))
+    last = relevant.groupBy("stream_id").agg(F.max(F.struct("seq", kind, value)).alias("_s"))
+    shown = F.when(F.col(f"_s.{kind}") == "present", F.col(f"_s.{value}"))
+    return last.select("stream_id", F.col("_s.seq").alias("as_of"), shown.alias("shown"))
+
+
 def queue_changes(events: DataFrame, item: str = "item") -> DataFrame:
     """Number of waiting items after every add, remove and clear; the items stay in the state."""
     def fold(key, row, carried, emit):
