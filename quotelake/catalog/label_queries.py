@@ -46,16 +46,22 @@ _RAW = """raw AS (
 _HAS_REF = f"regexp_matches(text, {B.re2(L.LABEL_REF_PATTERN)})"
 
 
-@query(f"""
-WITH {_RAW}, t AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'john' ELSE '' END AS trig,
-  {_HAS_REF} AS has_ref, len(list_intersect({B.sql_words('lower(text)')}, {B.sql_list(L.ARCHAIC_WORDS)})) > 0 AS archaic,
-  regexp_matches(lower(text), {B.lit(L.either(L.NEGATIVE_MARKERS))}) AS neg FROM raw),
+def _suggested(source):
+    return f"""t AS (SELECT *, {_HAS_REF} AS has_ref,
+  len(list_intersect({B.sql_words('lower(text)')}, {B.sql_list(L.ARCHAIC_WORDS)})) > 0 AS archaic,
+  regexp_matches(lower(text), {B.lit(L.either(L.NEGATIVE_MARKERS))}) AS neg FROM {source}),
 s AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, 0.1::DOUBLE + CASE WHEN trig <> '' THEN 0.5::DOUBLE ELSE 0::DOUBLE END
   + CASE WHEN has_ref THEN 0.5::DOUBLE ELSE 0::DOUBLE END + CASE WHEN archaic THEN 0.3::DOUBLE ELSE 0::DOUBLE END
-  - CASE WHEN neg THEN 0.4::DOUBLE ELSE 0::DOUBLE END)) AS auto_score FROM t)
-SELECT doc_id, {R4('auto_score', 2)} AS auto_score,
-  CASE WHEN NOT neg AND auto_score >= 0.5 THEN 'positive' ELSE 'negative' END AS label,
-  CASE WHEN neg OR auto_score < 0.5 THEN 'negative' WHEN has_ref THEN 'explicit_reference' ELSE 'cue_phrase' END AS subtype FROM s
+  - CASE WHEN neg THEN 0.4::DOUBLE ELSE 0::DOUBLE END)) AS auto_score FROM t)"""
+
+
+_SUGGESTED_LABEL = """CASE WHEN NOT neg AND auto_score >= 0.5 THEN 'positive' ELSE 'negative' END AS label,
+  CASE WHEN neg OR auto_score < 0.5 THEN 'negative' WHEN has_ref THEN 'explicit_reference' ELSE 'cue_phrase' END AS subtype"""
+
+
+@query(f"""
+WITH {_RAW}, said AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'john' ELSE '' END AS trig FROM raw), {_suggested("said")}
+SELECT doc_id, {R4('auto_score', 2)} AS auto_score, {_SUGGESTED_LABEL} FROM s
 """)
 def suggest_label(spark, sf):
     rows = _raw_labels(spark, sf).drop("label", "subtype").withColumn(
@@ -145,7 +151,36 @@ def break_positions(spark, sf):
     return df.select("doc_id", F.inline("breaks"))
 
 
-@query()
+# the next break kept is the first at least five words after the last one
+_THIN = """
+ats AS (SELECT doc_id, list("at" ORDER BY "at") AS a FROM br GROUP BY doc_id),
+th AS (SELECT doc_id, a[1] AS "at", a FROM ats UNION ALL
+  SELECT doc_id, nxt, a FROM (SELECT doc_id, a, list_min(list_filter(a, lambda x: x >= "at" + 5)) AS nxt FROM th) WHERE nxt IS NOT NULL),
+kept AS MATERIALIZED (SELECT doc_id, "at", phrase FROM th JOIN br USING (doc_id, "at"))"""
+
+
+@query(f"WITH RECURSIVE {_BREAKS}, {_THIN} SELECT * FROM kept")
+def thin_breaks(spark, sf):
+    df = LB.thin_breaks(LB.break_positions(_files(spark, sf)))
+    return df.select("doc_id", F.inline("breaks"))
+
+
+_LINES = rf"""
+fw AS (SELECT doc_id, {B.sql_words(f"text || ' then ' || {B.sql_pick(_TRIGGER_WORK, 'doc_id')} || ' says so.'")} AS words FROM documents),
+w AS MATERIALIZED (SELECT doc_id, words, len(words) AS n, list_transform(words, lambda x: regexp_matches(x, '[.?!]\s*$')) AS closes, coalesce(a, []) AS a
+  FROM fw LEFT JOIN (SELECT doc_id, list("at" ORDER BY "at") AS a FROM kept GROUP BY doc_id) USING (doc_id)),
+ln AS (SELECT doc_id, 0 AS line_no, 0::BIGINT AS start, 0::BIGINT AS stop FROM w UNION ALL
+  SELECT doc_id, line_no + 1, stop, CASE WHEN nb - stop <= 14 THEN nb ELSE coalesce(stop + 4 + se, least(stop + 9, n)) END
+  FROM (SELECT doc_id, line_no, stop, n, list_min(list_filter(a, lambda x: x > stop)) AS nb,
+    nullif(list_position(closes[stop + 5:least(stop + 14, n)], TRUE), 0) AS se FROM ln JOIN w USING (doc_id) WHERE stop < n)),
+lines AS (SELECT doc_id, line_no, start::INTEGER AS first_word, stop::INTEGER AS next_word, array_to_string(words[start + 1:stop], ' ') AS text, coalesce(phrase, '') AS trig
+  FROM ln JOIN w USING (doc_id) LEFT JOIN kept ON kept.doc_id = ln.doc_id AND kept."at" = ln.start WHERE line_no > 0)"""
+
+
+@query(f"""
+WITH RECURSIVE {_BREAKS}, {_THIN}, {_LINES}, {_suggested("lines")}
+SELECT doc_id, line_no, first_word, next_word, text, trig AS matched_trigger, auto_score, {_SUGGESTED_LABEL} FROM s
+""")
 def greedy_lines(spark, sf):
     df = LB.thin_breaks(LB.break_positions(_files(spark, sf)))
     return LB.suggest(LB.build_lines(df))

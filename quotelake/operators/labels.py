@@ -20,103 +20,101 @@ def _blanks(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def trigger_hits(joined: Column) -> Column:
-    """array<struct<word, phrase>>: word index and phrase of every trigger in a text whose words
-    are joined by single blanks.
+def _first_per_place():
+    """Arrow function: places to break at, ascending, each with its first trigger.
 
-    The text between matches comes from a split on the same pattern, so word positions are
-    running counts of blanks. Both arrays are built once and zipped before the fold.
+    The word at which a trigger starts is the number of blanks in all gaps and triggers before it.
     """
-    gaps = F.split(joined, TRIGGER_PATTERN)
-    found = F.regexp_extract_all(joined, F.lit(f"({TRIGGER_PATTERN})"), 1)
-    pieces = F.zip_with(
-        gaps, found,
-        lambda g, m: F.struct(
-            _blanks(g).alias("gap"), _blanks(m).alias("held"), F.lower(m).alias("phrase")
-        ),
-    )
-    start = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<word:int,phrase:string>>").alias("out")
-    )
-    return F.aggregate(
-        F.filter(pieces, lambda p: p["phrase"].isNotNull()),
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["held"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + p["gap"]).alias("word"), p["phrase"].alias("phrase"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    @F.arrow_udf("array<struct<at:int,nr:int>>")
+    def places(gaps: pa.Array, held: pa.Array, back: pa.Array) -> pa.Array:
+        result = []
+        for gap, inside, steps in zip(*(x.to_pylist() for x in (gaps, held, back))):
+            inside = np.array(inside or [], np.int64)
+            word = np.cumsum(np.array(gap or [], np.int64)[:len(inside)]) + np.cumsum(inside) - inside
+            at, number = np.unique(np.maximum(word - np.array(steps or [], np.int64), 0), return_index=True)
+            result.append([{"at": a, "nr": n} for a, n in zip(at.tolist(), number.tolist())])
+        return pa.array(result, pa.list_(pa.struct([("at", pa.int32()), ("nr", pa.int32())])))
+
+    return places
 
 
 def lookback(phrase: Column) -> Column:
-    """Words to step back: the table has three special distances and six for the rest."""
+    """Words to step back: a few phrases have a distance of their own."""
     table = L.trigger_table()
-    expr = F.lit(6)
-    for back in sorted({b for b in table.values() if b != 6}):
+    expr = F.lit(L.TRIGGER_STEP)
+    for back in sorted({b for b in table.values() if b != L.TRIGGER_STEP}):
         expr = F.when(phrase.isin([p for p, b in table.items() if b == back]), back).otherwise(expr)
     return expr
 
 
 def break_positions(files: DataFrame, words: str = "words") -> DataFrame:
-    """Add `breaks`: sorted array<struct<at, phrase>>, the first trigger per position kept."""
-    moved = F.transform(
-        trigger_hits(F.array_join(words, " ")),
-        lambda h, i: F.struct(
-            F.greatest(F.lit(0), h["word"] - lookback(h["phrase"])).alias("at"),
-            i.alias("nr"), h["phrase"].alias("phrase"),
-        ),
-    )
-    none = F.array().cast("array<struct<at:int,phrase:string>>")
-    first = F.aggregate(
-        F.array_sort(moved),
-        none,
-        lambda acc, b: F.when(
-            F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(-1)) == b["at"], acc
-        ).otherwise(
-            F.concat(acc, F.array(F.struct(b["at"].alias("at"), b["phrase"].alias("phrase"))))
-        ),
+    """Add `breaks`: sorted array<struct<at, phrase>>, the first trigger per position kept.
+
+    Triggers are found in the words joined by single blanks. The text between them comes from a split on
+    the same pattern, so word positions are running counts of blanks; the work is linear in the triggers.
+    """
+    joined = F.array_join(words, " ")
+    df = files.withColumns({
+        "_found": F.transform(F.regexp_extract_all(joined, F.lit(f"({TRIGGER_PATTERN})"), 1), F.lower),
+        "_gaps": F.transform(F.split(joined, TRIGGER_PATTERN), _blanks),
+    })
+    df = df.withColumn(
+        "_first", _first_per_place()("_gaps", F.transform("_found", _blanks), F.transform("_found", lookback))
     )
-    return files.withColumn("breaks", first)
+    breaks = F.transform("_first", lambda b: F.struct(b["at"].alias("at"), F.get("_found", b["nr"]).alias("phrase")))
+    return df.withColumn("breaks", breaks).drop("_found", "_gaps", "_first")
+
+
+def _spaced(gap: int):
+    """Arrow function: indexes of the places kept, each at least `gap` after the last kept one."""
+
+    @F.arrow_udf("array<int>")
+    def kept(places: pa.Array) -> pa.Array:
+        result = []
+        for row in places:
+            at = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, int)
+            out, k = [], 0
+            while k < len(at):
+                out.append(k)
+                k = int(np.searchsorted(at, at[k] + gap, side="left"))
+            result.append(out)
+        return pa.array(result, pa.list_(pa.int32()))
+
+    return kept
 
 
 def thin_breaks(df: DataFrame, min_gap: int = C.LINE_MIN_WORDS, breaks: str = "breaks") -> DataFrame:
     """Keep a break only if it is at least `min_gap` words after the last kept one."""
-    start = F.slice(breaks, 1, 1)
-    kept = F.aggregate(
-        F.slice(breaks, 2, F.greatest(F.size(breaks), F.lit(1))),
-        start,
-        lambda acc, b: F.when(
-            b["at"] - F.element_at(acc, -1)["at"] >= min_gap, F.concat(acc, F.array(b))
-        ).otherwise(acc),
-    )
-    return df.withColumn(breaks, F.when(F.size(breaks) > 0, kept).otherwise(start))
+    df = df.withColumn("_kept", _spaced(min_gap)(F.transform(breaks, lambda b: b["at"])))
+    return df.withColumn(breaks, F.transform("_kept", lambda k: F.get(breaks, k))).drop("_kept")
 
 
 def line_ends(target: int, shortest: int, longest: int):
-    """Arrow function giving the end position of every greedy line of a file."""
+    """Arrow function giving (first word, word after the last, break at the first word or -1) of every
+    greedy line of a file."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<struct<start:int,stop:int,hit:int>>")
     def ends(closes: pa.Array, breaks: pa.Array) -> pa.Array:
         result = []
         for row, at in zip(closes, breaks):
             closing = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, bool)
             forced = at.values.to_numpy(zero_copy_only=False) if at.is_valid else np.zeros(0, int)
+            full_stops = np.flatnonzero(closing)
             n, cursor, out = len(closing), 0, []
             while cursor < n:
-                later = np.searchsorted(forced, cursor, side="right")
+                start, later = cursor, int(np.searchsorted(forced, cursor, side="right"))
                 if later < len(forced) and forced[later] - cursor <= longest:
                     cursor = int(forced[later])
                 else:
-                    window = np.flatnonzero(closing[cursor + shortest - 1:min(cursor + longest, n)])
-                    step = shortest + int(window[0]) if len(window) else target
-                    cursor = min(cursor + step, n)
-                out.append(cursor)
+                    k = int(np.searchsorted(full_stops, cursor + shortest - 1))
+                    near = k < len(full_stops) and full_stops[k] < cursor + longest
+                    cursor = int(full_stops[k]) + 1 if near else min(cursor + target, n)
+                hit = later - 1 if later and forced[later - 1] == start else -1
+                out.append({"start": start, "stop": cursor, "hit": hit})
             result.append(out)
-        return pa.array(result, pa.list_(pa.int32()))
+        kind = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("hit", pa.int32())])
+        return pa.array(result, pa.list_(kind))
 
     return ends
 
@@ -134,19 +132,17 @@ def build_lines(
     at = F.transform("breaks", lambda b: b["at"])
     df = files.withColumn("_ends", line_ends(target, shortest, longest)(closes, at))
 
-    def line(end, i):
-        start = F.when(i == 0, F.lit(0)).otherwise(
-            F.get(F.col("_ends"), F.greatest(i - 1, F.lit(0)))
-        )
-        trig = F.filter("breaks", lambda b: b["at"] == start)
+    def line(cut, i):
+        start, stop = cut["start"], cut["stop"]
+        phrase = F.when(cut["hit"] >= 0, F.get("breaks", F.greatest(cut["hit"], F.lit(0)))["phrase"])
         fields = [
-            (i + 1).alias("line_no"), start.alias("first_word"), end.alias("next_word"),
-            F.array_join(F.slice("words", start + 1, end - start), " ").alias("text"),
-            F.coalesce(F.get(trig, 0)["phrase"], F.lit("")).alias("matched_trigger"),
+            (i + 1).alias("line_no"), start.alias("first_word"), stop.alias("next_word"),
+            F.array_join(F.slice("words", start + 1, stop - start), " ").alias("text"),
+            F.coalesce(phrase, F.lit("")).alias("matched_trigger"),
         ]
         if "starts" in files.columns:
             fields.append(F.get("starts", start).alias("start_time"))
-            fields.append(F.get("ends", end - 1).alias("end_time"))
+            fields.append(F.get("ends", stop - 1).alias("end_time"))
         return F.struct(*fields)
 
     keep = [c for c in files.columns if c not in ("words", "breaks", "starts", "ends", "text")]
