@@ -128,7 +128,7 @@ def build_lines(
     `files` holds `words` and thinned `breaks`; optional `starts`/`ends` arrays give word times.
     A file is one row, so a source with very many files spreads over all tasks.
     """
-    closes = F.transform("words", lambda w: w.rlike(r"[.?!]\s*$"))
+    closes = F.transform("words", lambda w: F.substring(w, -1, 1).isin(".", "?", "!"))
     at = F.transform("breaks", lambda b: b["at"])
     df = files.withColumn("_ends", line_ends(target, shortest, longest)(closes, at))
 
