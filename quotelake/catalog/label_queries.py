@@ -207,8 +207,8 @@ r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('
 SELECT doc_id, label, r <= ceil(round(n * 0.1::DOUBLE, 9)) AS is_validation FROM r
 """)
 def stratified_split(spark, sf):
-    rows = training.keep_first_texts(_labelled(spark, sf).select("doc_id", "text", "label"), "doc_id")
-    return training.stratified_split(rows).select("doc_id", "label", "is_validation")
+    split = datasets.prepare_split(_labelled(spark, sf).select("doc_id", "text", "label"), "doc_id")
+    return split.select("doc_id", "label", "is_validation")
 
 
 @query(f"WITH {_LABELLED} SELECT label, count(*) AS n, {R4('(SELECT count(*) FROM labelled)::DOUBLE / (2 * count(*))', 6)} AS weight FROM labelled GROUP BY label")
@@ -377,8 +377,8 @@ acc AS (SELECT row_id, subtype FROM f WHERE ok)"""
 
 
 def _accepted(spark, sf):
-    checked = synthetic.validate(_synthetic(spark, sf), B.passages(spark, sf))
-    return synthetic.accept_fresh(checked.filter(F.col("drop_reason").isNull()), "row_id", targets=_QUOTAS)
+    accepted, _ = datasets.validate_synthetic(_synthetic(spark, sf), B.passages(spark, sf), "row_id", targets=_QUOTAS)
+    return accepted
 
 
 @query(f"WITH RECURSIVE {B.PASSAGES}, {_SYN}, {_ACCEPT} SELECT row_id, subtype FROM acc")

@@ -38,9 +38,11 @@ def prepare_split(rows: DataFrame, order: str, fraction: float = 0.10) -> DataFr
 
 
 def validate_synthetic(
-    rows: DataFrame, passages: DataFrame, order: str, existing: DataFrame | None = None
+    rows: DataFrame, passages: DataFrame, order: str, existing: DataFrame | None = None,
+    targets: dict[str, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, drop counts): validation, duplicate check and quotas in arrival order."""
     checked = synthetic.validate(rows, passages)
     good = checked.filter(F.col("drop_reason").isNull())
-    return synthetic.accept_fresh(good, order, existing=existing), synthetic.drop_counts(checked)
+    accepted = synthetic.accept_fresh(good, order, targets=targets, existing=existing)
+    return accepted, synthetic.drop_counts(checked)

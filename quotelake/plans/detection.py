@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import detect, knn, live, records, rerank, router, sentences, triage
+from ..sources import tables
 
 
 def candidates(
@@ -130,6 +131,23 @@ def triage_rows(
     return df.fillna(defaults)
 
 
+def triage_csv(
+    spark: SparkSession, path: str, passages: DataFrame, out: str, settings: C.Settings = C.Settings(),
+    embedder=None,
+) -> DataFrame:
+    """Triage a ragged CSV into a review sheet at `out`; the outcomes of the gold rows come back.
+
+    The sheet has the twelve review columns, gold rows first, then by band and confidence: its part files
+    in name order hold that order, so no task sorts more than its range.
+    """
+    rows = tables.read_ragged_csv(spark, path)
+    gold, todo, _ = triage.split_rows(rows)
+    triaged = triage_rows(rows, passages, settings=settings, embedder=embedder)
+    tables.write_csv(triage.review_sheet(gold, triaged.join(todo.select("file", "line"), ["file", "line"], "left_semi")), out)
+    checked = triaged.join(gold.select("file", "line"), ["file", "line"], "left_semi")
+    return triage.outcome_counts(checked, "label", "suggested_label")
+
+
 def detect_utterances(
     utterances: DataFrame, passages: DataFrame, key: str = "utt_id", text: str = "text",
     settings: C.Settings = C.Settings(), embedder=None,

@@ -1,3 +1,4 @@
+import csv
 import json
 
 from pyspark.sql import functions as F
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 from quotelake.functions import vectors as V
 from quotelake.operators import labels, sentences, triage
 from quotelake.plans import datasets, detection
-from quotelake.sources import corpus, tables, transcripts
+from quotelake.sources import corpus, ingest, tables, transcripts
 
 
 def _write(path, data):
@@ -156,3 +157,58 @@ def test_detection_finds_the_quoted_passage(spark):
         assert [r["selected_reference"] for r in got] == ["Hebrews 13:1"]
         assert got[0]["edition"] == "AMP" and len(got[0]["candidates"]) == 3
     assert sentences.segment_windows(segs).count() == 3
+
+
+def test_ingest_ledger_over_runs_and_retries(spark, tmp_path):
+    home = {k: str(tmp_path / k) for k in ("in", "out", "ledger", "check")}
+    (tmp_path / "in").mkdir()
+
+    def transcript(name, *texts):
+        segs = [{"text": t, "start_time": i, "end_time": i + 1} for i, t in enumerate(texts)]
+        _write(tmp_path / "in" / name, {"source_file": name, "segments": segs})
+
+    def run():
+        ingest.ingest_files(spark, home["in"], home["out"], home["ledger"], home["check"]).awaitTermination()
+        rows = ingest.ledger_rows(spark, home["ledger"]).collect()
+        return sorted((r["name"], r["safe_id"], r["status"], r["error"], r["n_segments"], r["attempt"]) for r in rows)
+
+    transcript("one (a).json", "first.", "second.")
+    transcript("none.json")
+    _write(tmp_path / "in" / "broken.json", '{"segments": [')
+    _write(tmp_path / "in" / "other.json", '{"lines": []}')
+    broken, none = ("broken.json", "broken", "error", "not JSON", None, 0), ("none.json", "none", "ok", None, 0, 0)
+    one, other = ("one (a).json", "one__a_", "ok", None, 2, 0), ("other.json", "other", "error", "no segments", None, 0)
+    assert run() == [broken, none, one, other]
+    assert run() == [broken, none, one, other]  # nothing is read twice
+    transcript("two.json", "third.")
+    two = ("two.json", "two", "ok", None, 1, 0)
+    assert run() == [broken, none, one, other, two]
+    transcript("broken.json", "mended.")
+    assert ingest.retry_failed(spark, home["out"], home["ledger"]) == 2
+    mended, tried = ("broken.json", "broken", "ok", None, 1, 1), ("other.json", "other", "error", "no segments", None, 1)
+    assert run() == [mended, none, one, tried, two]
+    got = ingest.ingested_segments(spark, home["out"], home["ledger"]).collect()
+    assert sorted((r["stream_id"], r["text"]) for r in got) == [
+        ("broken", "mended."), ("one (a)", "first."), ("one (a)", "second."), ("two", "third.")]
+
+
+def test_triage_writes_an_ordered_sheet(spark, tmp_path):
+    verse = "let brotherly love continue among you always"
+    lines = [f"{verse},,,", "the market closed higher,,,negative", ",,,", "nothing like it at all here,,,", f"{verse},,,positive",
+             "love may continue among friends,,,", "open,,,positive"]
+    path = _write(tmp_path / "t.csv", "text,verse,x,label\n" + "\n".join(lines) + "\n")
+    p = spark.createDataFrame([(1, "AMP", "Hebrews", 13, 1, verse), (2, "NKJV", "Ezra", 1, 1, "quick brown foxes jump")],
+                              "passage_id long, edition string, work string, section int, item int, text string")
+    out = str(tmp_path / "sheet")
+    outcomes = {r["outcome"]: r["n"] for r in detection.triage_csv(spark, path, p, out).collect()}
+    assert outcomes == {"caught": 1, "missed": 1, "rejected": 1}
+    rows = []
+    for part in sorted((tmp_path / "sheet").glob("part-*")):
+        with open(part, newline="") as file:
+            rows += list(csv.DictReader(file))
+    assert list(rows[0]) == triage.OUT_COLUMNS
+    assert [r["label"] for r in rows] == ["negative", "positive", "positive", "", "", ""]
+    assert [r["text"] for r in rows[:3]] == ["the market closed higher", verse, "open"]
+    assert rows[3]["text"] == verse and rows[3]["suggested_verse"] == "Hebrews 13:1"
+    scores = [float(r["confidence"] or 0) for r in rows[3:]]
+    assert scores == sorted(scores, reverse=True)
