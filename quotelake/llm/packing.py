@@ -12,7 +12,6 @@ import json
 import os
 import zlib
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quotelake.llm.common import byte_view, lists, ragged, steps, tidied
 
-CACHED_CHUNKS = 340_000
+CACHED_CHUNKS = 100_000
 POOL = 1024
 LONG_PART = 10_000
 PLAIN_BLANKS = str.maketrans("", "", " \n\r\t")
@@ -87,7 +86,8 @@ class ByteEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        # an Arrow array: a tenth of what a dict of strings takes in each worker
+        self.known = pa.array([], pa.large_string())
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int64)
@@ -121,7 +121,7 @@ class ByteEncoder:
         whole = self._joinable(chunks)
         for token in self.added:
             whole &= ~pc.match_substring(chunks, token).to_numpy(zero_copy_only=False)
-        inner, first = chunks.filter(pa.array(whole)), chunks.filter(pa.array(~whole)).to_pylist()
+        inner, first = chunks.filter(pa.array(whole)), chunks.filter(pa.array(~whole))
         data, offsets = byte_view(inner)
         ids, sizes = [], []
         for k in range(0, len(inner), 8192):
@@ -131,7 +131,7 @@ class ByteEncoder:
             at = np.searchsorted(np.cumsum(self.size_of[got]), ends - offsets[k], "left") + 1
             ids.append(got)
             sizes.append(np.diff(at, prepend=0))
-        for chunk in first:
+        for chunk in first.to_pylist():
             got = np.array(self._alone(chunk), np.int32)
             ids.append(got)
             sizes.append(np.array([len(got)]))
@@ -145,7 +145,7 @@ class ByteEncoder:
         self.sizes[count:count + len(chunks)] = size
         self.starts[count:count + len(chunks)] = self.used + np.cumsum(size) - size
         self.used += len(flat)
-        self.known.update(zip(inner.to_pylist() + first, range(count, count + len(chunks))))
+        self.known = pa.concat_arrays([self.known, inner, first])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, flat, and their number per text. Nulls are empty texts."""
@@ -168,15 +168,14 @@ class ByteEncoder:
             len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)),
             pa.py_buffer(np.ascontiguousarray(data)),
         ).dictionary_encode()
-        names = chunks.dictionary.to_pylist()
-        if len(self.known) + len(names) > CACHED_CHUNKS and self.known:
+        names = chunks.dictionary
+        if len(self.known) + len(names) > CACHED_CHUNKS:
             self._clear()
-        index = np.array(list(map(self.known.get, names, repeat(-1))), np.int64)
-        fresh = np.flatnonzero(index < 0)
+        fresh = names.filter(pc.invert(pc.is_in(names, value_set=self.known)))
         if len(fresh):
-            self._learn(chunks.dictionary.take(pa.array(fresh)))
-            index[fresh] = [self.known[names[k]] for k in fresh.tolist()]
-        index = index[chunks.indices.to_numpy()]
+            self._learn(fresh)
+        index = pc.index_in(names, value_set=self.known).to_numpy(zero_copy_only=False)
+        index = index.astype(np.int64)[chunks.indices.to_numpy()]
         sizes = self.sizes[index]
         ids = self.flat[ragged(self.starts[index], sizes)]
         owner = np.searchsorted(offsets, starts, "right") - 1
