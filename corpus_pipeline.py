@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import bounded_broadcast, saved, table
+from quotelake.llm.common import bounded_broadcast, saved, short_batches, table
 from quotelake.llm.langid import fit, keep_identified
 from quotelake.llm.lines import dedup_lines
 from quotelake.llm.near_dup import near_duplicate_rows
@@ -28,6 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts and texts without letters go. The model is fitted on a bounded sample of the labelled rows.
     """
+    short_batches(spark)
     return keep_identified(docs, fit(docs)).select(DOCUMENT_COLUMNS)
 
 
@@ -47,6 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The repeated lines that the stage before left in likely copies are then cut from those that stay,
     whatever they make up of a document, so no line that repeats one of a document kept is left.
     """
+    short_batches(spark)
     gone = saved(near_duplicate_rows(docs).where("not kept").select("id", "k").distinct(), "gone")
     copy = (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("k"))
     stay = saved(
@@ -57,11 +59,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found is replaced by a mark; every document stays."""
+    short_batches(spark)
     return _documents(redact_secrets(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: one row per piece of a document, with its ids."""
+    short_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
