@@ -4,13 +4,17 @@ The distinct words of a batch lie as flat symbol arrays. Each round finds the be
 word at once, merges its leftmost pairs, closes the gaps and retires words without a pair. A piece
 that better pieces could grow from ("unsafe"), or whose score it shares with others, is merged once a
 round, all other pieces at every place of the word; so the order is that of the one-by-one algorithm.
+Words beyond ``LONG_WORD`` signs would take too many rounds and are merged from a heap instead.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
+from array import array
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,7 @@ from quotelake.llm.common import byte_view, lists, ragged, steps
 
 NEVER = np.int32(2**31 - 1)
 CACHED_WORDS = 200_000
+LONG_WORD = 2000
 MARK = "▁"
 
 
@@ -41,6 +46,11 @@ class PieceTable:
     tied: np.ndarray         # by key: pieces of blanks only that share the last score
     block: int               # a run of blanks is tiled from the left by pieces of this size
 
+    @cached_property
+    def merges(self) -> dict[int, int]:
+        """Piece by key, but for those of blanks."""
+        return dict(zip(self.keys[~self.tied].tolist(), self.made[~self.tied].tolist()))
+
 
 def load_table(path: str) -> PieceTable:
     """Read a SentencePiece BPE model with byte fallback, dummy prefix and identity normalisation."""
@@ -100,6 +110,72 @@ def load_table(path: str) -> PieceTable:
     return table
 
 
+def _pairs(table: PieceTable, left: np.ndarray, right: np.ndarray, blanks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rank and piece of pairs of symbols; ``NEVER`` and 0 where they make none."""
+    rank, piece = np.full(len(left), NEVER, np.int32), np.zeros(len(left), np.int64)
+    key = left * (table.symbols + 1) + right
+    place = np.minimum(np.searchsorted(table.keys, key), len(table.keys) - 1)
+    hit = np.flatnonzero((table.keys[place] == key) & (table.tied[place] == blanks))
+    piece[hit] = table.made[place[hit]]
+    rank[hit] = table.rank[piece[hit]]
+    return rank, piece
+
+
+def _heaped(table: PieceTable, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge one long word pair by pair from a heap of rank and place: the places left, and their symbols.
+
+    A round of merges looks at the whole word, so a word of n symbols that merges one pair a round would
+    take n * n steps; here it takes n * log(n).
+    """
+    n, wide = len(symbols), table.symbols + 1
+    merge, rank_of = table.merges, table.rank.tolist()
+    first, _ = _pairs(table, symbols[:-1], symbols[1:], False)
+    open_ = np.flatnonzero(first < NEVER)
+    heap = (first[open_].astype(np.int64) * n + open_).tolist()
+    heapq.heapify(heap)
+    symbol, after, before = (array("q", x) for x in (symbols.tolist(), range(1, n + 1), range(-1, n - 1)))
+    gone = bytearray(n)
+    while heap:
+        rank, at = divmod(heapq.heappop(heap), n)
+        right = after[at]
+        if gone[at] or right == n:
+            continue
+        made = merge.get(symbol[at] * wide + symbol[right])
+        if made is None or rank_of[made] != rank:
+            continue  # one of the two has been merged meanwhile
+        symbol[at], gone[right] = made, 1
+        after[at] = follow = after[right]
+        if follow < n:
+            before[follow] = at
+            fresh = merge.get(made * wide + symbol[follow])
+            if fresh is not None:
+                heapq.heappush(heap, rank_of[fresh] * n + at)
+        lead = before[at]
+        if lead >= 0:
+            fresh = merge.get(symbol[lead] * wide + made)
+            if fresh is not None:
+                heapq.heappush(heap, rank_of[fresh] * n + lead)
+    left = np.flatnonzero(np.frombuffer(gone, np.uint8) == 0)
+    return left, np.array(symbol, np.int64)[left]
+
+
+def _long_words(
+    table: PieceTable, symbols: np.ndarray, points: np.ndarray, lengths: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same words, those beyond ``LONG_WORD`` symbols merged already."""
+    ends, keep, lengths = np.cumsum(lengths), np.ones(len(symbols), bool), lengths.copy()
+    symbols = symbols.copy()
+    for word in np.flatnonzero(lengths > LONG_WORD).tolist():
+        stop = ends[word]
+        start = stop - lengths[word]
+        left, made = _heaped(table, symbols[start:stop])
+        keep[start:stop] = False
+        keep[start + left] = True
+        symbols[start + left] = made
+        lengths[word] = len(left)
+    return symbols[keep], points[keep], lengths
+
+
 def _rounds(
     table: PieceTable, symbols: np.ndarray, points: np.ndarray, lengths: np.ndarray, blanks: bool
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +183,6 @@ def _rounds(
 
     ``blanks`` chooses between the pairs of blank runs and all others.
     """
-    wide = table.symbols + 1
     word = np.repeat(np.arange(len(lengths)), lengths)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -116,12 +191,7 @@ def _rounds(
         rank, piece = np.full(len(at), NEVER, np.int32), np.zeros(len(at), np.int64)
         inner = np.flatnonzero(at + 1 < len(symbols))
         inner = inner[word[at[inner]] == word[at[inner] + 1]]
-        key = symbols[at[inner]] * wide + symbols[at[inner] + 1]
-        place = np.minimum(np.searchsorted(table.keys, key), len(table.keys) - 1)
-        hit = (table.keys[place] == key) & (table.tied[place] == blanks)
-        inner, place = inner[hit], place[hit]
-        piece[inner] = table.made[place]
-        rank[inner] = table.rank[piece[inner]]
+        rank[inner], piece[inner] = _pairs(table, symbols[at[inner]], symbols[at[inner] + 1], blanks)
         return rank, piece
 
     rank, piece = pairs(np.arange(len(symbols)))
@@ -198,7 +268,10 @@ class Encoder:
         table = self.table
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbols, points, lengths = _rounds(table, self.symbol_of[points], points, lengths, False)
+        symbols = self.symbol_of[points]
+        if (lengths > LONG_WORD).any():
+            symbols, points, lengths = _long_words(table, symbols, points, lengths)
+        symbols, points, lengths = _rounds(table, symbols, points, lengths, False)
         if table.tied.any():
             symbols, points, lengths = self._tiled(symbols, points, lengths)
         # what is no piece becomes bytes

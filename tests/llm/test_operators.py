@@ -186,6 +186,22 @@ def test_pieces_equal_the_library(spark):
     assert encode_pieces(frame.limit(0), path).count() == 0
 
 
+def test_long_words_equal_the_library_in_time(spark):
+    import time
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(9)
+    texts = [base64.b64encode(rng.randbytes(size)).decode() for size in (1499, 1500, 1501, 60_000, 750_000)]
+    texts += ["see " + "é中a😀" * 3000 + " end", "antidisestablishment" * 4000, " " * 3000 + "tion" * 2000, "▁" * 9000 + "x"]
+    start = time.time()
+    got = {r.doc_id: r.ids for r in encode_pieces(docs_of(spark, texts), path).collect()}
+    assert time.time() - start < 40  # a word of a million signs took some twenty minutes in rounds
+    assert got == {i: model.encode(t) for i, t in enumerate(texts)}
+
+
 def test_decoding_of_any_ids_equals_the_library(spark):
     import sentencepiece
 
