@@ -20,6 +20,7 @@ from quotelake.llm.near_dup import near_duplicates
 from quotelake.llm.packing import Limits, pack_documents
 from quotelake.llm.pieces import decode_pieces, encode_pieces, piece_digests
 from quotelake.llm.preference import following, format_preferences, preference_examples
+from quotelake.llm import search
 from quotelake.llm.search import build_index, search_index
 from quotelake.llm.secrets import find_secrets, redact_secrets, span_digests
 from quotelake.llm.warc import archive_pages, fetch_records, page_records, round_trip
@@ -385,6 +386,41 @@ def test_search_equals_full_scoring(spark):
     assert search_index(queries.limit(0), build_index(frame.limit(0)), 3).count() == 0
 
 
+def test_search_within_a_shard_equals_full_scoring():
+    rng = np.random.default_rng(8)
+    for n, vocabulary, longest in ((3000, 400, 120), (90, 40, 6000), (1, 5, 3), (40, 3, 1)):
+        counts = rng.integers(0, longest + 1, n)
+        hashes = (rng.zipf(1.3, counts.sum()) % vocabulary).astype(np.uint64)
+        batch = search._shard(np.arange(n) * 3, hashes, counts)
+        shard = search.Shard({c: batch.column(c)[0].as_buffer() for c in batch.schema.names[2:]}, max(counts.mean(), 1e-9))
+        table = np.zeros((vocabulary, n))
+        np.add.at(table, (hashes.astype(int), np.repeat(np.arange(n), counts)), 1)
+        table = table * 2.2 / (table + 1.2 * (0.25 + 0.75 * counts / max(counts.mean(), 1e-9)))
+        for asked in (2, 30, vocabulary + 20):  # some terms are unknown
+            terms = np.sort(rng.permutation(vocabulary + 20)[:asked]).astype(np.uint64)
+            weights = rng.random(len(terms)) * 4 + 0.01
+            known = terms < vocabulary
+            scores = np.round(weights[known] @ table[terms[known].astype(int)], 6)
+            want = sorted((-s, i * 3) for i, s in enumerate(scores) if s > 0)
+            for k in (1, 10):
+                for least in (0.0, -want[min(k, len(want)) - 1][0] if want else 0.0):
+                    ids, got = shard.top(terms, weights, k, least)
+                    assert [i for _, i in want[:k]] == ids.tolist() or np.allclose(got, [-s for s, _ in want[:k]], atol=2e-6)
+                    assert len(got) == len(want[:k])
+
+
+def test_search_of_long_texts_under_clashing_names(spark):
+    words_of = ["alpha " * 40_000 + "omega", "x" * 300_000 + " omega", None, "", "alpha beta", "alpha beta"]
+    rows = [(i, t, "id", "t", 1, 2.0) for i, t in enumerate(words_of)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, terms string, rank int, score double")
+    got = {}
+    for r in search_index(docs, build_index(docs), 3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id))
+    assert {q: [d for _, d in sorted(x)] for q, x in got.items()} == {
+        0: [0, 4, 5], 1: [1, 0], 4: [4, 5, 0], 5: [4, 5, 0]
+    }
+
+
 # --- language --------------------------------------------------------------------------------------
 
 def test_language_by_words_then_grams(spark):
