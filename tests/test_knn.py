@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +50,18 @@ def test_python_and_native_buckets_agree(spark):
     e = V.BowEmbedder(C.EMBED_DIM)
     for r in df.select("w", V.word_bucket(F.col("w")).alias("b")).collect():
         assert e._bucket(r["w"]) == r["b"]
+
+
+def test_scores_of_a_block_are_held_in_slices():
+    rng = np.random.default_rng(4)
+    q, c, ids = rng.normal(size=(512, 8)), rng.normal(size=(30_000, 8)), rng.permutation(30_000)
+    tracemalloc.start()
+    best, scores, k = knn._top(q, c, ids, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20  # all scores at once are 120 MB, and several times that with their ranks
+    for i in (0, 34, 35, 511):
+        ranked = np.rint(q[i] @ c.T * 1e6)
+        want = np.lexsort((ids, -ranked))[:5]
+        assert best.reshape(-1, k)[i].tolist() == want.tolist()
+        assert np.allclose(scores.reshape(-1, k)[i], ranked[want] / 1e6)
