@@ -61,7 +61,7 @@ def utterance_islands(
     """Updates whose start times follow within `gap` belong to one utterance; the last text wins."""
     axis = Axis((stream,), (seq,), width)
     df = updates.withColumn("_at", at)
-    df = ordered.carry_last(df, axis, {"_before": F.col("_at")})
+    df = ordered.carry_last(axis.cut_long(df), axis, {"_before": F.col("_at")})
     fresh = F.coalesce((F.col("_at") - F.col("_before") >= gap).cast("long"), F.lit(1))
     df = ordered.running_sum(df, axis, fresh, "utterance", inclusive=True)
     return df.groupBy(stream, "utterance").agg(
@@ -142,7 +142,7 @@ def as_of_anchor(
 ) -> DataFrame:
     """Last displayed value before each row; clear events do not reset it."""
     axis = Axis((stream,), (seq,), width)
-    df = ordered.carry_last(events, axis, {"anchor": F.when(shown, value)})
+    df = ordered.carry_last(axis.cut_long(events), axis, {"anchor": F.when(shown, value)})
     return df.drop(CHUNK)
 
 
@@ -155,7 +155,7 @@ def gate_by_mode(
     Input in manual mode is refused; only autopilot presents final, eligible detections.
     """
     axis = Axis((stream,), (seq,), width)
-    df = ordered.carry_last(events, axis, {"_m": mode}).drop(CHUNK)
+    df = ordered.carry_last(axis.cut_long(events), axis, {"_m": mode}).drop(CHUNK)
     df = df.withColumn("mode", F.coalesce("_m", F.lit(initial))).drop("_m")
     accepted = F.col("mode") != "manual"
     presented = (

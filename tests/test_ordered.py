@@ -169,3 +169,27 @@ def test_quotas_count_texts_as_seen_only_when_accepted(spark):
     first = synthetic.accept_fresh(done, "row_id", targets)
     more = synthetic.accept_fresh(rest, "row_id", targets, existing=first)  # a resumed run
     assert sorted(r["row_id"] for r in first.unionByName(more).collect()) == want
+
+
+def test_short_streams_are_one_chunk_however_sparse(spark):
+    rows = [("long", i) for i in range(9)] + [("short", i * 1000) for i in range(3)] + [(None, 0), (None, 50), ("short", None)]
+    df = spark.createDataFrame(rows, "k string, seq long")
+    cut = Axis(("k",), ("seq",), 4).cut_long(df).collect()
+    assert sorted((r["k"], r["seq"], r["_chunk"]) for r in cut if r["k"] and r["seq"] is not None) == (
+        [("long", i, i // 4) for i in range(9)] + [("short", i * 1000, 0) for i in range(3)]
+    )
+    # rows of no stream stay cut by order value, rows without one keep none
+    assert {(r["seq"], r["_chunk"]) for r in cut if r["k"] is None or r["seq"] is None} == {(0, 0), (50, 12), (None, None)}
+
+
+def test_the_license_report_folds_the_log_once(spark, tmp_path):
+    rows = [(1, "a", "x", "activate"), (5, "a", "y", "activate"), (9, "b", "x", "activate"), (12, "b", "z", "revoke"), (15, "c", "q", "heartbeat")]
+    spark.createDataFrame(rows, "seq long, license_key string, fingerprint string, action string").withColumn(
+        "ts", F.timestamp_seconds("seq")).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    out = activation.license_report(activation.activation_outcomes(log))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # tables, entries, replay
+    assert {(r["license_key"], r["n_conflicts"], r["status"], str([(d["fingerprint"], d["status"]) for d in r["devices"] or []]))
+            for r in out.collect()} == {
+        ("a", 1, "active", "[('x', 'active')]"), ("b", 0, "revoked", "[('x', 'deactivated')]"), ("c", 0, "unactivated", "[]")}
