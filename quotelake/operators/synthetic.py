@@ -70,17 +70,19 @@ def _digest(text: str):
     return F.md5(T.norm_text(F.col(text)))
 
 
-def unseen(rows: DataFrame, existing: DataFrame | None, order: str, text: str = "text") -> DataFrame:
+def unseen(
+    rows: DataFrame, existing: DataFrame | None, order: str, text: str = "text", keep: list[str] | None = None
+) -> DataFrame:
     """First row of every normalised text that `existing` does not hold yet.
 
     Texts meet as digests, and an aggregate with map-side combine keeps the first row, so copies of one
-    text never meet in one window task.
+    text never meet in one window task. Only the columns in `keep`, else all, are shuffled with the digest.
     """
     df = rows.withColumn("_norm", _digest(text))
     if existing is not None:
         seen = existing.select(_digest(text).alias("_norm")).distinct()
         df = df.join(seen, "_norm", "left_anti")
-    keep = [c for c in rows.columns]
+    keep = keep or rows.columns
     first = df.groupBy("_norm").agg(F.min_by(F.struct(*keep), order).alias("_row"))
     return first.select("_row.*")
 

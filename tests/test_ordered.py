@@ -193,3 +193,9 @@ def test_the_license_report_folds_the_log_once(spark, tmp_path):
     assert {(r["license_key"], r["n_conflicts"], r["status"], str([(d["fingerprint"], d["status"]) for d in r["devices"] or []]))
             for r in out.collect()} == {
         ("a", 1, "active", "[('x', 'active')]"), ("b", 0, "revoked", "[('x', 'deactivated')]"), ("c", 0, "unactivated", "[]")}
+
+
+def test_unseen_shuffles_only_the_columns_kept(spark):
+    df = spark.createDataFrame([(2, "A  b", 4), (1, "a b", 3), (3, None, None)], "id long, text string, n int")
+    out = synthetic.unseen(df, None, "id", keep=["id", "n"])
+    assert sorted(map(tuple, out.collect())) == [(1, 3), (3, None)]
