@@ -192,3 +192,22 @@ def test_sentences_of_a_segment_are_routed_for_themselves(spark, tmp_path):
         (0, "quote", "Amen to that my friends."), (0, "quote", "The Bible says love is kind."), (0, "nav", "Next verse."),
         (2, "clear", None), (2, "quote", "so it is written"),
     ]
+
+
+def test_stream_rows_reach_the_fold_unrounded(spark, tmp_path):
+    """Rows travel as JSON made by Spark; a frame's own JSON cuts numbers at ten decimals."""
+    schema = "stream_id string, seq long, mode string, is_final boolean, confidence double"
+    rows = [("s", 1, "autopilot", False, None), ("s", 2, None, True, 0.5999999999999), ("s", 3, None, True, 0.6)]
+    path = _feed(spark, tmp_path, rows, schema)
+    out = _run(stateful.mode_gates(_events(spark, path, schema)), tmp_path, "unrounded")
+    assert [(r["seq"], r["presented"]) for r in out.filter("stream_id = 's'").orderBy("seq").collect()] == [
+        (1, False), (2, False), (3, True)]
+
+
+def test_rows_of_a_file_are_dealt_to_all_cores(spark):
+    from quotelake.catalog import stream_queries
+
+    events = spark.range(20).select(
+        F.lit("s").alias("stream_id"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") + 1_000_000).alias("event_time"))
+    plan = stream_queries._replayed(events, "dealt")._jdf.queryExecution().logical().toString()
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
