@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import saved
+from quotelake.llm.common import bounded_broadcast, saved
+
+NEAR_ROWS = 100_000  # smallest neighbours that are sent to all tasks instead of joined by shuffle
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v): component is the smallest node reachable.
 
     Each round is two aggregates with map-side combine and two joins; no neighbour list is ever
-    collected. Rounds are written to the shared folder. Rows with a null end and loops are ignored;
-    without edges the result is empty.
+    collected. While the edges counted are few, the joins move no edge. Rounds are written to the shared
+    folder. Rows with a null end and loops are ignored; without edges the result is empty.
     """
     now = saved(
         edges.select(
@@ -22,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = _mark(now)
     while mark[0]:
-        now = saved(_small_star(_large_star(now)), "edges")
+        now = saved(_small_star(_large_star(now, mark[0]), mark[0]), "edges")
         fresh = _mark(now)
         if fresh == mark:
             break
@@ -38,16 +40,21 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Rows may repeat, but never number more than the edges."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return (
-        both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .where("u > v").distinct()
+        both.join(bounded_broadcast(least, 2 * n, NEAR_ROWS), "u").where("v > u")
+        .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """The edge to a node's smallest neighbour stays; its other smaller neighbours get edges to that one."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return (
+        edges.join(bounded_broadcast(least, n, NEAR_ROWS), "u")
+        .select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        .distinct()
+    )

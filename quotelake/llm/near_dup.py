@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelake.llm.common import bounded_broadcast, byte_view, lists, mixed, saved, steps, tidied
-from quotelake.llm.components import components
+from quotelake.llm.components import NEAR_ROWS, components
 from quotelake.llm.words import shingle_sets
 
 WIDTH, SIMILARITY, GROUPS = 5, 75, 10
@@ -195,8 +195,14 @@ def near_duplicate_rows(
     hubs = saved(_hub_rows(keyed), "hubs")
     pairs = saved(hubs.select(F.col("id").alias("u"), F.col("hub").alias("v")).where("u != v").distinct(), "pairs")
     links = saved(_confirmed(docs, classes, pairs, width, percent, groups), "links")
-    links = links.unionByName(_cross_links(docs, classes, hubs, components(links), width, percent, groups))
-    found = classes.select(*CLASS, "id", "member").join(components(links), F.col("id") == F.col("node"), "left")
+    linked = saved(components(links), "linked")
+    merged = components(_cross_links(docs, classes, hubs, linked, width, percent, groups))
+    merged = merged.select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    found = (
+        classes.select(*CLASS, "id", "member").join(linked, F.col("id") == F.col("node"), "left")
+        .join(merged, F.coalesce("component", "id") == F.col("part"), "left")
+        .select(*CLASS, "member", F.coalesce("whole", "component").alias("component"))
+    )
     # a class without links is its own component
     joined = saved(found.where("component is not null").select(*CLASS, "member", "component"), "joined")
     least = saved(joined.groupBy("component").agg(F.min("member").alias("root")), "least")
@@ -214,7 +220,7 @@ def near_duplicate_rows(
 def _cross_links(
     docs: DataFrame, classes: DataFrame, hubs: DataFrame, found: DataFrame, width: int, percent: int, groups: int
 ) -> DataFrame:
-    """Links between different components that meet in a bucket of three or more.
+    """Links between different components that meet in a bucket of three or more, as (u, v) of the components.
 
     The members of such buckets form clusters (connected by buckets). A cluster is dealt into blocks,
     and each pair of blocks is compared as a product of two incidence matrices, from which only links
@@ -222,7 +228,7 @@ def _cross_links(
     """
     members = hubs.select("key", "id").unionByName(hubs.select("key", F.col("hub").alias("id")).distinct())
     placed = (
-        members.join(found, F.col("id") == F.col("node"), "left")
+        members.join(bounded_broadcast(found, found.count(), NEAR_ROWS), F.col("id") == F.col("node"), "left")
         .select("key", "id", F.coalesce("component", "id").alias("component"))
     )
     open_keys = (
@@ -259,11 +265,11 @@ def _cross_links(
 def _block_links(percent: int):
     def run(group: pa.Table) -> pa.Table:
         left = group.column("left").to_numpy()
-        ids, parts = group.column("id").to_numpy(), group.column("component").to_numpy()
+        parts = group.column("component").to_numpy()
         rows = group.column("shingles").combine_chunks()
         sizes = np.diff(rows.offsets.to_numpy())
         _, code, uses = np.unique(rows.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(ids)), sizes)
+        owner = np.repeat(np.arange(len(parts)), sizes)
         shared = uses[code] > 1
         owner, code = owner[shared], code[shared]
         order = np.argsort(code, kind="stable")
@@ -275,13 +281,14 @@ def _block_links(percent: int):
         common = np.zeros((len(a), len(b)), np.float32)
         for start in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
             i, j = np.searchsorted(column, [start, start + SLICE])
-            seen = np.zeros((len(ids), SLICE), np.float32)
+            seen = np.zeros((len(parts), SLICE), np.float32)
             seen[owner[i:j], column[i:j] - start] = 1
             common += seen[a] @ seen[b].T
         common = common.astype(np.int64)
         union = sizes[a][:, None] + sizes[b][None, :] - common
         hit = (100 * common >= percent * union) & (parts[a][:, None] != parts[b][None, :])
         u, v = np.nonzero(hit)
-        return pa.table({"u": ids[a[u]], "v": ids[b[v]]})
+        pairs = np.unique(np.stack([parts[a[u]], parts[b[v]]]), axis=1)
+        return pa.table({"u": pairs[0], "v": pairs[1]})
 
     return run

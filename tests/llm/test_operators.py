@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quotelake.llm.components import components
+from quotelake.llm.components import _large_star, _small_star, components
 from quotelake.llm.forest import vector_duplicates
 from quotelake.llm.langid import fit, identify, keep_identified
 from quotelake.llm.lines import dedup_lines, within_edits
@@ -661,3 +661,38 @@ def test_following_rows_need_no_dense_ids(spark):
     got = following(spark.createDataFrame(rows, "key long, value string").repartition(4), "key", "value", "next")
     want = [f"v{k}" if k != 3 else None for k in ids[1:] + ids[:1]]
     assert [r["next"] for r in got.orderBy("key").collect()] == want
+
+
+def test_a_round_over_few_edges_moves_no_edge_for_its_joins(spark):
+    rng = random.Random(3)
+    rows = [(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(400)) if a > b]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = (_small_star(_large_star(edges, n), n) for n in (len(rows), 10**9))
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_links_found_late_join_whole_components(spark):
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    # chains of small changes: each text is near the ones beside it only
+    texts = []
+    for i in range(60):
+        words = [*words]
+        words[(i * 7) % 200] = f"x{i}"
+        texts.append(" ".join(words))
+    rows = [(i * 3 % 61 + 1, t) for i, t in enumerate(texts)] + [(100 + i, f"alone {i} " * (i + 1)) for i in range(3)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root
