@@ -65,3 +65,44 @@ def test_scores_of_a_block_are_held_in_slices():
         want = np.lexsort((ids, -ranked))[:5]
         assert best.reshape(-1, k)[i].tolist() == want.tolist()
         assert np.allclose(scores.reshape(-1, k)[i], ranked[want] / 1e6)
+
+
+def test_texts_are_encoded_in_slices():
+    texts = [f"alpha beta{i % 9} gamma" for i in range(8000)]
+    e = V.BowEmbedder(C.EMBED_DIM)
+    tracemalloc.start()
+    mat = V.encoded(e.encode, texts, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # the vectors are 25 MB; counts and squares of all would be as much again, each
+    assert (mat == e.encode(texts, False)).all()
+    assert V.encoded(e.encode, [], True).shape == (0, C.EMBED_DIM)
+
+
+@pytest.mark.parametrize("sizing", [{}, {"shard_bytes": 400}, {"shard_bytes": 400, "held_bytes": 0}])
+def test_one_worker_encodes_and_answers_texts_against_a_held_corpus(spark, sizing):
+    texts = [f"word{'abcdefg'[i % 7]} alpha beta gamma{'xyz'[i % 3]}" for i in range(1200)]
+    queries = spark.createDataFrame(list(enumerate(texts)) + [(1200, None)], "q long, text string").repartition(5)
+    queries = queries.filter("spark_partition_id() != 2").unionByName(queries.filter("q < 0"))  # tasks without rows
+    corpus = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts[:12])], "c long, text string")
+    e = V.BowEmbedder(16)
+    corpus = corpus.select("c", V.embed_column(e, F.col("text"), False).alias("vec"), F.col("text").alias("said"))
+    got = knn.knn_lists(queries, corpus, ["q"], "c", query_vec="text", k=5, meta=["said"], dim=16, encode=e.encode, **sizing)
+    workers = got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert workers == (2 if "held_bytes" in sizing else 1)
+    rows = got.collect()
+    assert sorted(r["q"] for r in rows) == sorted(r["q"] for r in queries.collect()) and len(rows) > 600
+    asked = e.encode([*texts, None], True)
+    score = np.rint(asked @ e.encode(texts[:12], False).T * 1e6) / 1e6
+    for r in rows:
+        order = sorted(range(12), key=lambda j: (-score[r["q"], j], j))[:5]
+        want = [(n + 1, score[r["q"], j], 3 * j, texts[j]) for n, j in enumerate(order)]
+        assert [tuple(h) for h in r["cands"]] == want
+
+
+def test_texts_against_no_corpus_have_no_answer(spark):
+    e = V.BowEmbedder(16)
+    queries = spark.createDataFrame([(1, "alpha")], "q long, text string")
+    corpus = spark.createDataFrame([], "c long, vec array<double>")
+    got = knn.knn_lists(queries, corpus, ["q"], "c", query_vec="text", dim=16, encode=e.encode)
+    assert got.collect() == []
