@@ -409,6 +409,63 @@ def test_search_within_a_shard_equals_full_scoring():
                     assert len(got) == len(want[:k])
 
 
+def test_search_takes_the_queries_of_a_round_together(monkeypatch):
+    rng = np.random.default_rng(11)
+    n, size = 1500, 30
+    # two languages of 300 words; every tenth document is a copy, as are ids 7 and 8
+    hashes = (rng.zipf(1.3, (n, size)) % 300).astype(np.uint64) + (np.arange(n) % 2 * 1000).astype(np.uint64)[:, None]
+    hashes[::10] = hashes[0]
+    counts = np.full(n, size)
+    ids = np.where(np.arange(n) == 8, 7, np.arange(n))
+    table = np.zeros((1300, n))
+    np.add.at(table, (hashes.ravel().astype(int), np.repeat(np.arange(n), size)), 1)
+    table = table * 2.2 / (table + 1.2)
+    terms = [np.unique(rng.choice(hashes[i], rng.integers(1, size + 1))) for i in range(400)]
+    terms[3], terms[4] = np.zeros(0, np.uint64), np.array([5000], np.uint64)  # no words, no known words
+    weights = [rng.random(len(x)) * 4 + 0.01 for x in terms]
+    batch = search._shard(ids, hashes.ravel(), counts)
+    read = []
+    monkeypatch.setattr(search, "ragged", lambda *x, ragged=search.ragged: (read.append(1), ragged(*x))[1])
+    for cells, step in ((search.CELLS, search.STEP), (20_000, 500)):  # all at once, a few queries at a time
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search, "STEP", step)
+        shard = search.Shard({c: batch.column(c)[0].as_buffer() for c in batch.schema.names[2:]}, size)
+        assert len(shard.tiles) > 3 and shard.total > 50
+        least = np.zeros(400)
+        for _ in range(2):
+            del read[:]
+            asked = search.Asked(
+                np.arange(400) * 2, np.array([len(x) for x in terms]), np.concatenate(terms), np.concatenate(weights), least
+            )
+            query, doc, score = shard.best(asked, 5)
+            if step > 500:
+                assert len(read) < 100  # not one or more for each query
+            for q in range(400):
+                known = terms[q] < 1300
+                full = np.round(weights[q][known] @ table[terms[q][known].astype(int)], 6)
+                want = sorted((-s, i) for i, s in zip(ids.tolist(), full) if s > 0)[:5]
+                assert np.allclose(score[query == 2 * q], [-s for s, _ in want], atol=2e-6)
+                assert doc[query == 2 * q].tolist() == [i for _, i in want]
+                least[q] = -want[4][0] if len(want) == 5 else 0.0
+
+
+def test_search_leaves_out_tiles_by_their_block_maxima():
+    rng = np.random.default_rng(12)
+    n, size = 2000, 40
+    hashes = rng.integers(0, 60, (n, size)).astype(np.uint64) + (np.arange(n) // 1000 * 1000).astype(np.uint64)[:, None]
+    batch = search._shard(np.arange(n), hashes.ravel(), np.full(n, size))
+    shard = search.Shard({c: batch.column(c)[0].as_buffer() for c in batch.schema.names[2:]}, size)
+    terms = np.arange(60, dtype=np.uint64)
+    asked = search.Asked(np.zeros(1, np.int64), np.array([60]), terms, np.ones(60), np.zeros(1))
+    want = [x.tolist() for x in shard.best(asked, 10)]
+    other = [t for t in shard.tiles if (shard.ids[t.start:t.stop] >= 1000).all()]
+    assert len(other) >= 2
+    for tile in other:  # these are not read
+        tile.brief[:] = np.nan
+        tile.weight[:] = np.nan
+    assert [x.tolist() for x in shard.best(asked, 10)] == want and len(want[0]) == 10
+
+
 def test_search_of_long_texts_under_clashing_names(spark):
     words_of = ["alpha " * 40_000 + "omega", "x" * 300_000 + " omega", None, "", "alpha beta", "alpha beta"]
     rows = [(i, t, "id", "t", 1, 2.0) for i, t in enumerate(words_of)]
